@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,8 +35,24 @@ def session(app: str = "tidemill", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each context, so that it needn't be installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_tidemill_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():  # not when it already runs from such an archive
+        path = f"{tempfile.mkdtemp(prefix='tidemill-')}/tidemill.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+            for file in sorted(root.rglob("*.py")):
+                archive.write(file, file.relative_to(root.parent))
+        context.addPyFile(path)
+    context._tidemill_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir`` (any path Spark can read)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
