@@ -13,10 +13,12 @@ linked where the Jaccard similarity of their sets is at least 0.75, and a compon
 3. Band keys held by two classes or more give buckets. Star rounds: in each bucket that still spans several components
    the members are compared with one hub of the bucket, confirmed links are merged, and the next round takes another
    hub. A bucket whose members are all connected drops out, so pairs inside a group are never listed.
-4. What then still shares a bucket across components is joined pair by pair, with the set sizes and the sketches
-   (256 bits, one of each of 256 further min-max values) in the join condition, so that only pairs that can be similar
-   come out: a pair at similarity 0.75 differs in 32 bits of 256 on average and is let through up to ``SKETCH_MAX``
-   (over 5 standard deviations). No cap, no sampling: every such pair is checked.
+4. What then still shares a bucket across components is checked completely. Buckets of up to ``SMALL`` members are
+   joined pair by pair, with the set sizes and the sketches (256 bits, one of each of 256 further min-max values) in
+   the join condition: a pair at similarity 0.75 differs in 32 bits of 256 on average and is let through up to
+   ``SKETCH_MAX`` (over 5 standard deviations). Larger buckets are dealt into blocks of bounded size; each pair of
+   blocks is one task, which multiplies the sets' incidence matrices and hands on only links that join components.
+   No cap, no sampling: every pair that shares a bucket is either connected already or compared.
 5. Every link is confirmed on the full sets of both texts.
 6. Components come from rounds of minimum labels over the confirmed links, as joins and group-bys; nothing but counts
    reaches the driver, and each round is written to the shared folder.
@@ -48,6 +50,9 @@ SKETCH_PERMUTATIONS = 128
 SKETCH_MAX = 62
 STAR_ROUNDS = 6
 STAR_YIELD = 5
+SMALL = 16
+BLOCK_MEMBERS = 2048
+BLOCK_SHINGLES = 2_000_000
 
 _SCHEMA = "doc_id long, n_shingles long, fingerprint binary, bands array<long>, s0 long, s1 long, s2 long, s3 long"
 
@@ -213,9 +218,16 @@ def near_duplicates(df: DataFrame) -> DataFrame:
             span = joined.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
             open_rows = materialize(joined.join(span.filter("lo < hi").select("key"), "key"), "open")
         last = turn < 0
-        pairs = _open_pairs(open_rows, narrow) if last else _likely(_star_pairs(open_rows, turn), narrow)
-        pairs = materialize(pairs, "pairs")
-        found = materialize(confirm(pairs, docs), "found")
+        if last:
+            rows_n = materialize(open_rows.join(narrow, "node"), "open")
+            sizes = rows_n.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
+            sized = rows_n.join(sizes, "key")
+            pairs = materialize(_open_pairs(sized.filter(F.col("members") <= SMALL)), "pairs")
+            in_blocks = materialize(_block_links(sized.filter(F.col("members") > SMALL), docs), "found")
+            found = materialize(confirm(pairs, docs).unionByName(in_blocks), "found")
+        else:
+            pairs = materialize(_likely(_star_pairs(open_rows, turn), narrow), "pairs")
+            found = materialize(confirm(pairs, docs), "found")
         confirmed = found.count()
         if confirmed:
             links = found if links is None else links.unionByName(found)
@@ -254,13 +266,78 @@ def _likely(pairs: DataFrame, narrow: DataFrame) -> DataFrame:
     return joined.filter(_alike("l", "r")).select("a", "b")
 
 
-def _open_pairs(open_rows: DataFrame, narrow: DataFrame) -> DataFrame:
-    rows = open_rows.join(narrow, "node")
+def _open_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of different components in buckets of at most ``SMALL`` members: under ``SMALL`` pairs for each row."""
     left, right = rows.alias("l"), rows.alias("r")
     on = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component")) & _alike("l", "r")
     return left.join(right, on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
+def _block_links(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that connect components inside larger buckets, without listing pairs.
+
+    A bucket's members are dealt into blocks of bounded size; each pair of blocks is one task that multiplies the
+    incidence matrices of the full sets and hands on only links that join components not yet joined in it.
+    """
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK_MEMBERS, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
+    dealt = rows.select("key", "node", "component", blocks.alias("blocks")).withColumn("own", own)
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    dealt = dealt.select("key", "node", "component", F.explode(cells).alias("cell"))
+    texts = docs.select(F.col("doc_id").alias("node"), "text")
+    member = F.struct("node", "component", "text")
+    groups = dealt.join(texts, "node").groupBy("key", "cell").agg(F.collect_list(member).alias("members")).select("members")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in batch.column(0):
+                members = cell.values
+                sets = [shingles(t.as_py()) for t in members.field("text")]
+                links = joining_links(sets, members.field("node").to_pylist(), members.field("component").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return groups.mapInArrow(run, "a long, b long")
+
+
+def joining_links(sets: list[np.ndarray], nodes: list[int], component: list[int]) -> list[tuple[int, int]]:
+    """A spanning forest of the links between different components, out of all pairs of the sets."""
+    size = np.array([len(x) for x in sets], dtype=np.float32)
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+    _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[code]
+    owner, code = owner[keep], column[code[keep]]
+    both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    width = 2048
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        part = slice(*np.searchsorted(code, [lo, lo + width]))
+        dense = np.zeros((len(sets), width), dtype=np.float32)
+        dense[owner[part], code[part] - lo] = 1
+        both += dense @ dense.T
+    close = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+    known = np.array(component)
+    close &= known[:, None] != known[None, :]
+    parent = {c: c for c in component}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(close)), strict=True):
+        a, b = root(component[i]), root(component[j])
+        if a != b:
+            parent[a] = b
+            out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+    return out
+
+
 def groups(df: DataFrame) -> DataFrame:
     """The contract columns of the query."""
     return near_duplicates(df).withColumn("kept", F.col("doc_id") == F.col("component_id"))
