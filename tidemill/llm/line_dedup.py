@@ -8,7 +8,7 @@ of the remaining tokens must agree then). No leaf is ever gathered: a template i
 tree and its constant tokens, and templates are counted with map-side combine.
 
 A template recurs across documents if it occurs in at least ``CONTEXTS`` different contexts and in about as many
-contexts as documents (``SHARE``). The context of a document is the minimum hash of its word shingles: copies and near
+contexts as documents (``SHARE``). The context of a document is the minimum hash of its pairs of words: copies and near
 copies of one document share it, so the lines of a group of copies, however large, aren't taken for boilerplate; such
 groups are the business of near-duplicate detection. All lines of a recurring template are dropped, in every document.
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.neardup import shingles
+from tidemill.llm.neardup import word_hashes
 from tidemill.runtime import materialize
 
 DEPTH = 3
@@ -41,29 +41,34 @@ CONTEXTS = 5
 SHARE = 0.5
 BROADCAST_ROWS = 2_000_000
 
-_FIELD = re.compile(r"\S*(?:\d|@|://)\S*")
+_FIELD = re.compile(r"\d|@|://")
 
 
 def templates(line: str) -> list[int]:
     """Hashes of the templates that a line belongs to; none for a blank line."""
-    tokens = _FIELD.sub("<*>", line).split()
+    tokens = line.split()
     if not tokens:
         return []
+    if _FIELD.search(line):
+        tokens = ["<*>" if _FIELD.search(t) else t for t in tokens]
     lead = f"{len(tokens)} {' '.join(tokens[:DEPTH])}\n"
     rest = tokens[DEPTH:]
     out = [xxhash.xxh3_64_intdigest(lead + " ".join(rest))]
     if len(tokens) >= LONG:
         n = len(rest)
+        parts = [" ".join(rest[n * k // PARTS : n * (k + 1) // PARTS]) for k in range(PARTS)]
         for k in range(PARTS):
-            constant = rest[: n * k // PARTS] + ["<*>"] + rest[n * (k + 1) // PARTS :]
-            out.append(xxhash.xxh3_64_intdigest(f"{k} " + lead + " ".join(constant)))
+            out.append(xxhash.xxh3_64_intdigest("\n".join([lead, *parts[:k], "<*>", *parts[k + 1 :]])))
     return out
 
 
 def context(text: str) -> int:
-    """The minimum hash of the text's word shingles."""
-    items = shingles(text)
-    return int((items * np.uint64(0xFF51AFD7ED558CCD)).min()) if len(items) else 0
+    """The minimum hash of the text's pairs of words."""
+    h = word_hashes(text)
+    if len(h) < 2:
+        return int(h[0]) if len(h) else 0
+    pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:]
+    return int((pairs * np.uint64(0xFF51AFD7ED558CCD)).min())
 
 
 def _signed(values: list[int]) -> pa.Array:
