@@ -14,7 +14,7 @@ linked where the Jaccard similarity of their sets is at least 0.75, and a compon
    the members are compared with one hub of the bucket, confirmed links are merged, and the next round takes another
    hub. A bucket whose members are all connected drops out, so pairs inside a group are never listed.
 4. What then still shares a bucket across components is checked completely. Buckets of up to ``SMALL`` members are
-   joined pair by pair, with the set sizes and the sketches (256 bits, one of each of 256 further min-max values) in
+   joined pair by pair, with the set sizes and the sketches (256 bits, one of each of 256 min-max values) in
    the join condition: a pair at similarity 0.75 differs in 32 bits of 256 on average and is let through up to
    ``SKETCH_MAX`` (over 5 standard deviations). Larger buckets are dealt into blocks of bounded size; each pair of
    blocks is one task, which multiplies the sets' incidence matrices and hands on only links that join components.
@@ -51,33 +51,52 @@ SKETCH_MAX = 62
 STAR_ROUNDS = 6
 STAR_YIELD = 5
 SMALL = 16
-BLOCK_MEMBERS = 2048
-BLOCK_SHINGLES = 2_000_000
+BLOCK_MEMBERS = 1024
+BLOCK_SHINGLES = 1_000_000
 
 _SCHEMA = "doc_id long, n_shingles long, fingerprint binary, bands array<long>, s0 long, s1 long, s2 long, s3 long"
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) > 400_000:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = value
-        return value
+_BASE = 0x9E6C63D0876A9A47 | 1
 
 
-_words = _WordHashes()
+@lru_cache(maxsize=2)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse, modulo 2^64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        values = np.full(1 << bits, base, dtype=np.uint64)
+        values[0] = 1
+        out.append(np.cumprod(values, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word, in order: a polynomial over its bytes, out of prefix sums over the whole text."""
+    data = np.frombuffer((text or "").encode().lower(), dtype=np.uint8)  # bytes: lower() knows ASCII only
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True]))))
+    starts, ends = edges[0::2], edges[1::2]
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    power, inverse = _powers(max(16, len(data).bit_length()))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * inverse[starts]
+    h ^= (ends - starts).astype(np.uint64) << np.uint64(56)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
-    words = (text or "").encode().lower().split()  # bytes: lower() and split() know ASCII only
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.array([_words[w] for w in words], dtype=np.uint64)
+    h = word_hashes(text)
+    if not len(h):
+        return h
     n = max(1, len(h) - size + 1)
-    out = np.full(n, len(h) if len(h) < size else size, dtype=np.uint64)
+    out = np.full(n, min(len(h), size), dtype=np.uint64)
     for k in range(min(size, len(h))):
         out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(31)
@@ -87,7 +106,7 @@ def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
 @lru_cache(maxsize=1)
 def _hash_functions() -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(20240229)
-    n = PERMUTATIONS + SKETCH_PERMUTATIONS
+    n = SKETCH_PERMUTATIONS
     return draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
@@ -108,7 +127,7 @@ def signature(items: np.ndarray) -> tuple[list[int], list[int]]:
     for row in values:
         keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(29)
-    mixed = np.concatenate([low[PERMUTATIONS:], high[PERMUTATIONS:]]) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = np.concatenate([low, high]) * np.uint64(0xBF58476D1CE4E5B9)
     bits = np.packbits((mixed >> np.uint64(63)).astype(np.uint8)).view(np.int64)
     return keys.view(np.int64), bits.tolist()
 
