@@ -2,8 +2,9 @@
 
 Tier one is a compact table of the corpus's most frequent pre-tokens with their token counts, broadcast to every
 worker. It comes from one pass over all texts in which each partition keeps a bounded summary of its pre-tokens (at
-most ``SUMMARY`` counters, the rarest dropped when full) and hands on its ``table_size`` best; only these summaries are
-added up, no pre-token is ever shuffled. Tier two is the worker's own bounded cache: a pre-token that the table lacks
+most ``SUMMARY`` counters, the rarest dropped when full) and hands on its ``HANDED_ON`` best; only these summaries are
+added up, no pre-token is ever shuffled. What makes up more than 1 / ``BOUND`` of the corpus enters the table, which can
+thus never hold ``BOUND`` entries. Tier two is the worker's own bounded cache: a pre-token that the table lacks
 is encoded once by the tokenizer library and remembered. The table only makes things fast: counts are exact whatever
 it holds.
 
@@ -24,9 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.llm.bpe import vocabulary_path
+from tidemill.runtime import materialize
 
 VOCAB = "byte_bpe_50k.json"
-TABLE_SIZE = 16384
+BOUND = 100_000
+HANDED_ON = 16384
 SUMMARY = 150_000
 CACHE = 400_000
 MAX_KEY = 64
@@ -85,8 +88,8 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[str]:
         yield value.as_py() or ""
 
 
-def frequent_lengths(df: DataFrame, text: str = "text", vocab: str = VOCAB, table_size: int = TABLE_SIZE) -> dict[str, int]:
-    """The table of tier one: at most ``table_size`` frequent pre-tokens of all texts, with their token counts."""
+def frequent_lengths(df: DataFrame, text: str = "text", vocab: str = VOCAB, bound: int = BOUND) -> dict[str, int]:
+    """The table of tier one: the pre-tokens that make up more than 1 / ``bound`` of all texts, with their token counts."""
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, seen = pre_tokens(vocab), Counter()
@@ -96,31 +99,26 @@ def frequent_lengths(df: DataFrame, text: str = "text", vocab: str = VOCAB, tabl
                     seen.update(tool.pattern.findall(part))
                 if len(seen) > 2 * SUMMARY:
                     seen = Counter(dict(seen.most_common(SUMMARY)))
-        best = [(p, n) for p, n in seen.most_common(table_size) if n > 1 and len(p) <= MAX_KEY]
+        best = [(p, n) for p, n in seen.most_common(HANDED_ON) if n > 1 and len(p) <= MAX_KEY]
         yield pa.RecordBatch.from_arrays(
             [pa.array([p for p, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], names=["piece", "n"]
         )
 
-    found = (
-        df.select(F.col(text).cast("string"))
-        .mapInArrow(summaries, "piece string, n long")
-        .groupBy("piece")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "piece")
-        .limit(table_size)
-        .collect()
-    )
+    summed = df.select(F.col(text).cast("string")).mapInArrow(summaries, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    summed = materialize(summed, "pieces")
+    total = summed.agg(F.sum("n")).head()[0] or 0
+    found = summed.filter(F.col("n") * bound > total).collect()  # fewer than ``bound`` pieces hold more than 1 / bound
     tool = pre_tokens(vocab)
     return {row.piece: tool.length(row.piece) for row in found}
 
 
 def count_tokens(
-    df: DataFrame, text: str = "text", vocab: str = VOCAB, table_size: int = TABLE_SIZE, max_tokens: int = MAX_TOKENS
+    df: DataFrame, text: str = "text", vocab: str = VOCAB, bound: int = BOUND, max_tokens: int = MAX_TOKENS
 ) -> DataFrame:
     """``df`` without its text, with ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``max_tokens``)."""
     made = ("n_tokens", "n_bytes", "over_limit")
     kept = [c for c in df.columns if c not in (*made, text)]
-    shared = df.sparkSession.sparkContext.broadcast(frequent_lengths(df, text, vocab, table_size))
+    shared = df.sparkSession.sparkContext.broadcast(frequent_lengths(df, text, vocab, bound))
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("n_tokens", T.LongType())])
     schema = schema.add("n_bytes", T.LongType())
 
