@@ -77,7 +77,7 @@ class _Vectors:
         return df.join(self.table.select(F.col("node").alias(key), F.col("packed").alias(name)), key)
 
     def score(self, pairs: DataFrame, a: str, b: str, *kept: str) -> DataFrame:
-        """``pairs`` with ``sim``, the inner product of the packed vectors of a and b."""
+        """``pairs`` with ``sim``, the inner product of the vectors of a and b, without the added component."""
         shared, dim = self.shared, self.dim
         rows = self.attach(self.attach(pairs.select(a, b, *kept), a, "va"), b, "vb").select(a, b, *kept, "va", "vb")
 
@@ -89,7 +89,7 @@ class _Vectors:
                     right = vectors[np.searchsorted(ids, batch.column(1).to_numpy())]
                 else:
                     left, right = _matrix(batch.column(batch.num_columns - 2), dim), _matrix(batch.column(batch.num_columns - 1), dim)
-                sim = np.einsum("ij,ij->i", left, right)
+                sim = np.einsum("ij,ij->i", left[:, :-1], right[:, :-1])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(sim, pa.float32())], names=[a, b, *kept, "sim"])
 
         fields = ", ".join(f"{n} {t}" for n, t in rows.dtypes[:-2])

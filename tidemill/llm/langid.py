@@ -37,12 +37,13 @@ ALPHABET = 62
 TEMPER = 24.0
 UNKNOWN = "und"
 _BREAK, _OTHER = 0, 1
-_END = np.int32(1 << 30)
+_END = np.int32(1 << 29)
 
 
 def automaton(codes: list[int], width: int) -> np.ndarray:
-    """The suffix automaton of ``codes`` as a full table: entry [state * width + code] is the next state's offset, with
-    ``_END`` added where no phrase of the text goes on and a new one begins."""
+    """The suffix automaton of ``codes`` as a full table: entry [state * width + code] is the next state's offset, plus
+    ``_END`` for each phrase that ends there: the one so far if the text doesn't hold it with this code, and a code that
+    the text lacks altogether, which is a phrase by itself."""
     links, lengths, nexts, last = [-1], [0], [{}], 0
     for code in codes:
         new = len(lengths)
@@ -71,8 +72,10 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
     for state, edges in enumerate(nexts):
         for code, target in edges.items():
             table[state, code] = target * width
-    fresh = np.where(table[0] < 0, 0, table[0]) + _END
+    fresh = np.where(table[0] < 0, 2 * _END, table[0] + _END).astype(np.int32)
+    first = np.where(table[0] < 0, _END, table[0])
     table = np.where(table < 0, fresh[None, :], table)
+    table[0] = first
     return table.ravel()
 
 
@@ -130,11 +133,12 @@ class Model:
             steps[t, :n] = flat[start[:n] + t]
         for k, table in enumerate(self.tables):
             at = np.zeros(len(size), dtype=np.int32)
-            ends = np.ones(len(size), dtype=np.int32)  # the phrase that the window's end cuts off
+            ends = np.zeros(len(size), dtype=np.int32)
             for t, n in enumerate(active):
                 step = table[at[:n] + steps[t, :n]]
-                ends[:n] += step >> 30
+                ends[:n] += step >> 29
                 at[:n] = step & (_END - 1)
+            ends += at != 0  # the phrase that the window's end cuts off
             out[:, k] = np.bincount(owner, weights=ends, minlength=len(texts)).astype(np.int64)
         return out
 
