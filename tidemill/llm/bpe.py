@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.llm.memory import trimmed
+
 VOCAB = "byte_bpe_50k.tiktoken"
 LEAF_CHARS = 2048
 BATCH_CHARS = 1 << 20
@@ -196,7 +198,7 @@ def round_trip(
                 columns = [batch.column(i).slice(lo, hi - lo) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*columns, _list_array(rows), back], names=[*kept, ids, decoded])
 
-    return df.select(*kept, F.col(text).cast("string")).mapInArrow(run, schema)
+    return df.select(*kept, F.col(text).cast("string")).mapInArrow(trimmed(run), schema)
 
 
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocab: str = VOCAB) -> DataFrame:
@@ -216,7 +218,7 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "text", vocab: str = VOC
             columns = [batch.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(back, type=pa.binary())], names=[*kept, text])
 
-    return df.select(*kept, F.col(ids).cast("array<int>")).mapInArrow(run, schema)
+    return df.select(*kept, F.col(ids).cast("array<int>")).mapInArrow(trimmed(run), schema)
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.llm.memory import trimmed
+
 TRAIN_DOCS = 96
 TRAIN_CHARS = 24_000
 EXCERPT = 600
@@ -211,7 +213,7 @@ def identify(
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*kept, language, score])
                 lo = hi
 
-    return df.select(*kept).mapInArrow(run, schema)
+    return df.select(*kept).mapInArrow(trimmed(run), schema)
 
 
 def predictions(df: DataFrame) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.llm.memory import trimmed
 from tidemill.llm.neardup import word_hashes
 from tidemill.runtime import materialize
 
@@ -96,7 +97,7 @@ def recurring(df: DataFrame, text: str = "text", contexts: int = CONTEXTS, share
                     found, around = [], []
             yield full()
 
-    rows = df.select(F.col(text).cast("string")).mapInArrow(run, "template long, context long")
+    rows = df.select(F.col(text).cast("string")).mapInArrow(trimmed(run), "template long, context long")
     once = rows.groupBy("template", "context").agg(F.count(F.lit(1)).alias("docs"))
     counts = once.groupBy("template").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("contexts"))
     return counts.filter((F.col("contexts") >= contexts) & (F.col("contexts") >= share * F.col("docs"))).select("template")
@@ -140,7 +141,7 @@ def drop_lines(
                     part = batch.slice(lo, 1000)
                     yield rebuilt(part, [_strip(v.as_py(), lambda _, line: known.any(templates(line))) for v in part.column(at)])
 
-        return df.select(*kept).mapInArrow(run, schema)
+        return df.select(*kept).mapInArrow(trimmed(run), schema)
 
     keyed = df.select(*kept).withColumn("__row", F.xxhash64(*kept))  # equal rows lose equal lines
 
@@ -155,7 +156,7 @@ def drop_lines(
                         hashes.append(h)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(numbers, pa.int32()), _signed(hashes)], names=["__row", "line", "template"])
 
-    hit = keyed.select("__row", text).mapInArrow(lines, "__row long, line int, template long").join(found, "template")
+    hit = keyed.select("__row", text).mapInArrow(trimmed(lines), "__row long, line int, template long").join(found, "template")
     hit = hit.select("__row", "line").distinct().groupBy("__row").agg(F.array_sort(F.collect_list("line")).alias("__gone"))
     joined = keyed.join(hit, "__row", "left").select(*kept, "__gone")
 
@@ -164,7 +165,7 @@ def drop_lines(
             gone = [set(g or ()) for g in batch.column(len(kept)).to_pylist()]
             yield rebuilt(batch, [_strip(v.as_py(), lambda i, _, g=g: i in g) for v, g in zip(batch.column(at), gone, strict=True)])
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(trimmed(cut), schema)
 
 
 class _Sorted:

@@ -39,6 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.memory import trimmed
 from tidemill.runtime import discard, materialize
 
 WORDS = 5
@@ -51,8 +52,8 @@ SKETCH_MAX = 62
 STAR_ROUNDS = 6
 STAR_YIELD = 5
 SMALL = 16
-BLOCK_MEMBERS = 1024
-BLOCK_SHINGLES = 1_000_000
+BLOCK_MEMBERS = 512
+BLOCK_SHINGLES = 300_000
 
 _SCHEMA = "doc_id long, n_shingles long, fingerprint binary, bands array<long>, s0 long, s1 long, s2 long, s3 long"
 
@@ -156,7 +157,7 @@ def signatures(df: DataFrame) -> DataFrame:
                 columns += [pa.array([s[i] for s in sketch], pa.int64()) for i in range(4)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "fingerprint", "bands", "s0", "s1", "s2", "s3"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SCHEMA)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), _SCHEMA)
 
 
 def linked(left: np.ndarray, right: np.ndarray, percent: int = PERCENT) -> bool:
@@ -188,7 +189,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text")
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     with_both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return with_both.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(run), "a long, b long")
 
 
 def components(links: DataFrame, label: str = "links") -> DataFrame:
@@ -315,7 +316,7 @@ def _block_links(rows: DataFrame, docs: DataFrame) -> DataFrame:
                 links = joining_links(sets, members.field("node").to_pylist(), members.field("component").to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return groups.mapInArrow(run, "a long, b long")
+    return groups.mapInArrow(trimmed(run), "a long, b long")
 
 
 def joining_links(sets: list[np.ndarray], nodes: list[int], component: list[int]) -> list[tuple[int, int]]:
