@@ -524,7 +524,11 @@ def sari(spark, sf_dir):
     return textops.scored(rows, "id", "sari", textops.sari_score, "source", "answer", "question")
 
 
-@query()
+@query(r"""WITH parts AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w,
+    greatest(1, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?]+'), lambda p: regexp_matches(p, '\S')))) AS sentences FROM documents),
+  counted AS (SELECT doc_id, len(w) AS n, sentences, list_sum(list_transform(w, lambda x:
+    greatest(1, len(regexp_extract_all(x, '[aeiouyáàâäéèêëíìîïóòôöúùûü]+')) - CASE WHEN x LIKE '%e' AND len(regexp_extract_all(x, '[aeiouyáàâäéèêëíìîïóòôöúùûü]+')) > 1 THEN 1 ELSE 0 END))) AS syl FROM parts)
+  SELECT doc_id, CASE WHEN n > 0 THEN round(0.39::DOUBLE * n / sentences + 11.8::DOUBLE * syl / n - 15.59::DOUBLE, 6) END AS fkgl FROM counted""")
 def fkgl(spark, sf_dir):
     return textops.scored(table(spark, sf_dir, "documents"), "doc_id", "fkgl", textops.fkgl_score, "text")
 
@@ -585,7 +589,8 @@ def event_windows(spark, sf_dir):
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query()
+@query(r"""SELECT conv_id, turn, regexp_replace(regexp_replace(text, '[\w.+-]+@[\w-]+\.[\w.]+', '[EMAIL]', 'g'), '\+?\d[\d ()-]{7,}\d', '[PHONE]', 'g') AS masked
+  FROM conversations""")
 def pii_masked(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", textops.mask(F.col("text")).alias("masked"))
 
