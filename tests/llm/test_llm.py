@@ -251,6 +251,28 @@ def test_lines(spark):
     assert line_dedup.listing(docs(spark, texts).limit(0)).count() == 0
 
 
+def lines_of(draw, n, words=12):
+    return "\n".join(" ".join("".join(draw.choice("abcdefgh") for _ in range(7)) for _ in range(words)) for _ in range(n))
+
+
+@pytest.mark.parametrize("rows", [line_dedup.BROADCAST_ROWS, -1])
+def test_lines_beside_copies(spark, rows):
+    draw = random.Random(11)
+    licence = "this text is given under the terms of the open licence"
+    copy = lines_of(draw, 8) + "\n" + licence
+    near = []
+    for _ in range(150):
+        words = copy.split(" ")
+        for _ in range(3):
+            words[draw.randrange(len(words) - 12)] = f"e{draw.randint(0, 99999)}x"
+        near.append(" ".join(words))
+    texts = [lines_of(draw, 8) + "\n" + licence for _ in range(8)] + [copy] * 40 + near
+    out = line_dedup.drop_lines(docs(spark, texts), broadcast_rows=rows).collect()
+    assert all(r.dropped == [r.n_lines - 1] and licence not in r.text for r in out)  # of the copies no other line
+    kept = line_dedup.drop_lines(docs(spark, [copy] * 40 + near), broadcast_rows=rows).collect()
+    assert all(r.dropped == [] for r in kept)
+
+
 # --- 8: neighbours ---------------------------------------------------------------------------------------------------------
 def exact(ids, vectors, query, k=20):
     score = vectors @ vectors[query]

@@ -7,13 +7,18 @@ template of its remaining tokens, and, so that fields which aren't recognisable
 of the remaining tokens must agree then). No leaf is ever gathered: a template is a 64-bit hash of its place in the
 tree and its constant tokens, and templates are counted with map-side combine.
 
-A template recurs across documents if it occurs in at least ``CONTEXTS`` different contexts and in about as many
-contexts as documents (``SHARE``). The context of a document is the minimum hash of its pairs of words: copies and near
-copies of one document share it, so the lines of a group of copies, however large, aren't taken for boilerplate; such
-groups are the business of near-duplicate detection. All lines of a recurring template are dropped, in every document.
-
-Two map passes over the texts. The recurring templates are broadcast while they are at most ``BROADCAST_ROWS``
-(8 bytes each); beyond that the lines' hashes meet them in a shuffled join and only line numbers travel back.
+A template recurs across documents if ``CONTEXTS`` documents that are pairwise unrelated hold it. Two documents are
+related if their sketches (minimum hashes of the pairs of words in a line, under ``SLOTS`` functions) agree in
+``RELATED`` of the slots, so copies and near copies count as one document however many they are: a group of them
+neither makes its own lines boilerplate, which is the business of near-duplicate detection, nor hides lines that
+unrelated documents hold as well. The unrelated documents are picked one after the other, by partition and then over
+all partitions; no more than ``CONTEXTS`` sketches of a template are ever kept or sent on, so a hot line is no hot key.
+All lines of a recurring template are dropped, in every document.
+
+Three map passes over the texts: templates by distinct contents, sketches for the templates that enough contents hold,
+and the cut. Both sets of templates are broadcast while they are at most ``BROADCAST_ROWS`` (8 bytes each); beyond that
+sketches are made for all templates, and the lines' hashes meet the recurring ones in a shuffled join from which only
+line numbers travel back.
 
 Defined results: null texts count as empty and have no lines; blank lines are kept and not counted; line numbers count
 from 0 over all lines split at line feeds. Repeated rows of an id are each treated, extra columns pass through.
@@ -39,8 +44,10 @@ DEPTH = 3
 PARTS = 4
 LONG = 12
 CONTEXTS = 5
-SHARE = 0.5
+SLOTS = 64
+RELATED = 0.4
 BROADCAST_ROWS = 2_000_000
+HELD = 50_000
 
 _FIELD = re.compile(r"\d|@|://")
 
@@ -63,21 +70,59 @@ def templates(line: str) -> list[int]:
     return out
 
 
-def context(text: str) -> int:
-    """The minimum hash of the text's pairs of words."""
-    h = word_hashes(text)
-    if len(h) < 2:
-        return int(h[0]) if len(h) else 0
-    pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:]
-    return int((pairs * np.uint64(0xFF51AFD7ED558CCD)).min())
+_FACTORS = np.random.default_rng(7).integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _line_minima(lines: list[str]) -> np.ndarray:
+    """A row of ``SLOTS`` minimum hashes for each line, over its pairs of words (a single word by itself); all ones for
+    a blank line."""
+    out = np.full((len(lines), SLOTS), 0xFFFFFFFF, dtype=np.uint32)
+    h = word_hashes("\n".join(lines))
+    sizes = np.array([len(line.encode().split()) for line in lines], dtype=np.int64)
+    filled = np.flatnonzero(sizes)
+    if not len(filled):
+        return out
+    last = np.cumsum(sizes)[filled] - 1
+    features = np.empty_like(h)
+    features[:-1] = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:]
+    features[last] = features[np.maximum(last - 1, 0)]  # a line's last word has no pair of its own
+    single = last[sizes[filled] == 1]
+    features[single] = h[single]
+    starts = last + 1 - sizes[filled]
+    step = max(1, (1 << 18) // len(h))
+    for lo in range(0, SLOTS, step):
+        values = (features[None, :] * _FACTORS[lo : lo + step, None]) >> np.uint64(32)
+        out[filled, lo : lo + step] = np.minimum.reduceat(values, starts, axis=1).T
+    return out
+
+
+class _Picked:
+    """Sketches of up to ``most`` pairwise unrelated documents for each template."""
+
+    def __init__(self, most: int):
+        self.most, self.kept, self.n = most, {}, 0
+
+    def full(self, template: int) -> bool:
+        return len(self.kept.get(template, ())) >= self.most
+
+    def add(self, template: int, sketch: np.ndarray) -> None:
+        have = self.kept.setdefault(template, [])
+        if len(have) < self.most and all(np.count_nonzero(sketch == other) < RELATED * SLOTS for other in have):
+            have.append(sketch)
+            self.n += 1
+
+    def batch(self) -> pa.RecordBatch:
+        found = [t for t, have in self.kept.items() for _ in have]
+        sketches = [s.tobytes() for have in self.kept.values() for s in have]
+        return pa.RecordBatch.from_arrays([_signed(found), pa.array(sketches, pa.binary())], names=["template", "sketch"])
 
 
 def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
 
-def recurring(df: DataFrame, text: str = "text", contexts: int = CONTEXTS, share: float = SHARE) -> DataFrame:
-    """(template): the hashes of the templates that recur across documents."""
+def _contents(df: DataFrame, text: str, contexts: int) -> DataFrame:
+    """(template): the hashes of the templates that at least ``contexts`` different texts hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,22 +130,81 @@ def recurring(df: DataFrame, text: str = "text", contexts: int = CONTEXTS, share
             around: list[int] = []
 
             def full() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([_signed(found), _signed(around)], names=["template", "context"])
+                return pa.RecordBatch.from_arrays([_signed(found), _signed(around)], names=["template", "content"])
 
             for value in batch.column(0):
                 source = value.as_py() or ""
                 own = {t for line in source.split("\n") for t in templates(line)}
                 found.extend(own)
-                around.extend([context(source)] * len(own))
+                around.extend([xxhash.xxh3_64_intdigest(source)] * len(own))
                 if len(found) > 100_000:
                     yield full()
                     found, around = [], []
             yield full()
 
-    rows = df.select(F.col(text).cast("string")).mapInArrow(trimmed(run), "template long, context long")
-    once = rows.groupBy("template", "context").agg(F.count(F.lit(1)).alias("docs"))
-    counts = once.groupBy("template").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("contexts"))
-    return counts.filter((F.col("contexts") >= contexts) & (F.col("contexts") >= share * F.col("docs"))).select("template")
+    rows = df.select(F.col(text).cast("string")).mapInArrow(trimmed(run), "template long, content long").distinct()
+    return rows.groupBy("template").agg(F.count(F.lit(1)).alias("contents")).filter(F.col("contents") >= contexts).select("template")
+
+
+def _sketches(df: DataFrame, text: str, contexts: int, known) -> DataFrame:
+    """(template, sketch): for each partition, up to ``contexts`` unrelated documents of each template (of those in the
+    broadcast ``known``, or of all)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if known is None else _Sorted(known.value)
+        picked, seen = _Picked(contexts), set()
+        for batch in batches:
+            for value in batch.column(0):
+                source = value.as_py() or ""
+                content = xxhash.xxh3_64_intdigest(source)
+                if content in seen:
+                    continue
+                seen.add(content)
+                lines = source.split("\n")
+                places: dict[int, list[int]] = {}
+                for i, line in enumerate(lines):
+                    for t in templates(line):
+                        places.setdefault(t, []).append(i)
+                own = list(places) if wanted is None else wanted.among(list(places))
+                own = [t for t in own if not picked.full(t)]
+                if own:
+                    whole = _line_minima(lines).min(axis=0)
+                    for t in own:
+                        picked.add(t, whole)
+                if picked.n > HELD or len(seen) > 1_000_000:
+                    yield picked.batch()
+                    picked, seen = _Picked(contexts), set()
+        yield picked.batch()
+
+    return df.select(F.col(text).cast("string")).mapInArrow(trimmed(run), "template long, sketch binary")
+
+
+def recurring(df: DataFrame, text: str = "text", contexts: int = CONTEXTS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(template): the hashes of the templates that recur across documents."""
+    held = materialize(_contents(df, text, contexts), "held")
+    known = _shared(held) if held.count() <= broadcast_rows else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        picked, last = _Picked(contexts), None
+        for batch in batches:
+            out = []
+            for t, sketch in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if t != last:
+                    picked, last = _Picked(contexts), t
+                if not picked.full(t):
+                    picked.add(t, np.frombuffer(sketch, dtype=np.uint32))
+                    if picked.full(t):
+                        out.append(t)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["template"])
+
+    rows = _sketches(df, text, contexts, known).repartition("template").sortWithinPartitions("template", "sketch")
+    return rows.mapInArrow(trimmed(run), "template long")
+
+
+def _shared(found: DataFrame):
+    """The template hashes as a sorted broadcast array."""
+    column = found.toArrow().column(0).to_numpy()
+    return found.sparkSession.sparkContext.broadcast(np.sort(column.astype(np.int64).view(np.uint64)))
 
 
 def _strip(source: str | None, drop) -> tuple[str, int, list[int]]:
@@ -116,8 +220,7 @@ def drop_lines(
     df: DataFrame, text: str = "text", found: DataFrame | None = None, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """``df`` with the recurring lines taken out of ``text``, and ``n_lines`` and ``dropped`` (line numbers)."""
-    spark = df.sparkSession
-    found = materialize(recurring(df, text) if found is None else found, "recurring")
+    found = materialize(recurring(df, text, broadcast_rows=broadcast_rows) if found is None else found, "recurring")
     made = ("n_lines", "dropped")
     kept = [c for c in df.columns if c not in made]
     at = kept.index(text)
@@ -131,8 +234,7 @@ def drop_lines(
         return pa.RecordBatch.from_arrays(columns, names=[*kept, *made])
 
     if found.count() <= broadcast_rows:
-        hashes = np.array([r[0] for r in found.collect()], dtype=np.int64).view(np.uint64)
-        shared = spark.sparkContext.broadcast(np.sort(hashes))
+        shared = _shared(found)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = _Sorted(shared.value)
@@ -169,17 +271,24 @@ def drop_lines(
 
 
 class _Sorted:
-    """Membership in a sorted array, the last answers remembered."""
+    """Membership in a sorted array."""
 
     def __init__(self, values: np.ndarray):
         self.values = values
 
-    def any(self, wanted: list[int]) -> bool:
+    def _held(self, wanted: list[int]) -> np.ndarray:
         if not wanted or not len(self.values):
-            return False
+            return np.zeros(len(wanted), dtype=bool)
         want = np.array(wanted, dtype=np.uint64)
         at = np.searchsorted(self.values, want)
-        return bool((self.values[np.minimum(at, len(self.values) - 1)] == want).any())
+        return self.values[np.minimum(at, len(self.values) - 1)] == want
+
+    def any(self, wanted: list[int]) -> bool:
+        return bool(self._held(wanted).any())
+
+    def among(self, wanted: list[int]) -> list[int]:
+        """Those of ``wanted`` that are held."""
+        return [wanted[i] for i in np.flatnonzero(self._held(wanted))]
 
 
 def listing(df: DataFrame) -> DataFrame:
