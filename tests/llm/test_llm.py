@@ -273,6 +273,16 @@ def test_lines_beside_copies(spark, rows):
     assert all(r.dropped == [] for r in kept)
 
 
+def test_long_lines_in_short_documents(spark):
+    draw = random.Random(12)
+    notice = lines_of(draw, 1, 60)
+    texts = [f"{notice}\n{lines_of(draw, 1, n)}" for n in (30, 30, 10, 10, 5, 5, 2, 1)] + [notice] * 3
+    out = {r.doc_id: r.dropped for r in line_dedup.drop_lines(docs(spark, texts)).collect()}
+    assert all(out[i] == [0] for i in range(len(texts)))
+    alone = line_dedup.drop_lines(docs(spark, [notice + " " * i for i in range(20)])).collect()
+    assert all(r.dropped == [] for r in alone)  # texts of nothing else are copies
+
+
 # --- 8: neighbours ---------------------------------------------------------------------------------------------------------
 def exact(ids, vectors, query, k=20):
     score = vectors @ vectors[query]

@@ -8,11 +8,13 @@ of the remaining tokens must agree then). No leaf is ever gathered: a template i
 tree and its constant tokens, and templates are counted with map-side combine.
 
 A template recurs across documents if ``CONTEXTS`` documents that are pairwise unrelated hold it. Two documents are
-related if their sketches (minimum hashes of the pairs of words in a line, under ``SLOTS`` functions) agree in
-``RELATED`` of the slots, so copies and near copies count as one document however many they are: a group of them
-neither makes its own lines boilerplate, which is the business of near-duplicate detection, nor hides lines that
-unrelated documents hold as well. The unrelated documents are picked one after the other, by partition and then over
-all partitions; no more than ``CONTEXTS`` sketches of a template are ever kept or sent on, so a hot line is no hot key.
+related if the sketches of what they hold besides the template's lines (minimum hashes of the pairs of words in a line,
+under ``SLOTS`` functions) agree in ``RELATED`` of the slots. However much of its documents a line makes up, they stay
+unrelated; texts that hold nothing but the line are copies of one another and count as one document. Copies and near
+copies, however many, count as one document: a group of them neither makes its own lines boilerplate, which is the
+business of near-duplicate detection, nor hides lines that unrelated documents hold as well. The unrelated documents
+are picked one after the other, by partition and then over all partitions; no more than ``CONTEXTS`` sketches of a
+template are ever kept or sent on, so a hot line is no hot key.
 All lines of a recurring template are dropped, in every document.
 
 Three map passes over the texts: templates by distinct contents, sketches for the templates that enough contents hold,
@@ -96,6 +98,21 @@ def _line_minima(lines: list[str]) -> np.ndarray:
     return out
 
 
+class _Rest:
+    """Sketches of a document without some of its lines."""
+
+    def __init__(self, lines: list[str]):
+        self.minima = _line_minima(lines)
+        none = np.full((1, SLOTS), 0xFFFFFFFF, dtype=np.uint32)
+        self.before = np.minimum.accumulate(np.concatenate([none, self.minima]))
+        self.after = np.minimum.accumulate(np.concatenate([none, self.minima[::-1]]))[::-1]
+
+    def without(self, places: list[int]) -> np.ndarray:
+        if len(places) == 1:
+            return np.minimum(self.before[places[0]], self.after[places[0] + 1])
+        return np.delete(self.minima, places, axis=0).min(axis=0, initial=0xFFFFFFFF)
+
+
 class _Picked:
     """Sketches of up to ``most`` pairwise unrelated documents for each template."""
 
@@ -168,9 +185,9 @@ def _sketches(df: DataFrame, text: str, contexts: int, known) -> DataFrame:
                 own = list(places) if wanted is None else wanted.among(list(places))
                 own = [t for t in own if not picked.full(t)]
                 if own:
-                    whole = _line_minima(lines).min(axis=0)
+                    rest = _Rest(lines)
                     for t in own:
-                        picked.add(t, whole)
+                        picked.add(t, rest.without(places[t]))
                 if picked.n > HELD or len(seen) > 1_000_000:
                     yield picked.batch()
                     picked, seen = _Picked(contexts), set()
