@@ -283,6 +283,23 @@ def test_long_lines_in_short_documents(spark):
     assert all(r.dropped == [] for r in alone)  # texts of nothing else are copies
 
 
+def test_word_fields(spark):
+    draw = random.Random(13)
+    names = "Anna Peter Julia Otto Maria Clara Bruno".split()
+    forms = [
+        "Posted by {} in Travel",
+        "Back to {} news",
+        "{} wrote this page here",
+        "{} is the editor of these pages and holds all rights to every text",
+        "All the pages of {} are free to read and may be copied by {} at any time",
+    ]
+    texts = ["\n".join([lines_of(draw, 10), *(f.format(n, names[-1 - i]) for f in forms)]) for i, n in enumerate(names)]
+    short = [lines_of(draw, 10) + f"\n12 of {w}\n{w}\n{w} 7 8 9" for w in names]
+    out = {r.doc_id: r.dropped for r in line_dedup.drop_lines(docs(spark, texts + short)).collect()}
+    assert all(out[i] == [10, 11, 12, 13, 14] for i in range(len(texts)))
+    assert all(out[i] == [] for i in range(len(texts), len(out)))  # too little of these is constant
+
+
 # --- 8: neighbours ---------------------------------------------------------------------------------------------------------
 def exact(ids, vectors, query, k=20):
     score = vectors @ vectors[query]

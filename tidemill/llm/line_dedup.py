@@ -2,10 +2,13 @@
 
 Each line falls through a tree of fixed depth: first by its token count, then by its ``DEPTH`` leading tokens, with
 variable fields (tokens that hold digits, addresses, links) replaced by ``<*>``. In a leaf the line belongs to the
-template of its remaining tokens, and, so that fields which aren't recognisable by sight are generalised too, to
-``PARTS`` templates that each leave out one stretch of them (lines of ``LONG`` tokens or more; at least three quarters
-of the remaining tokens must agree then). No leaf is ever gathered: a template is a 64-bit hash of its place in the
-tree and its constant tokens, and templates are counted with map-side combine.
+template of its tokens, and, so that fields which aren't recognisable by sight are generalised too, to templates that
+leave some out. A line of ``LONG`` tokens or more is its leading tokens and ``PARTS`` stretches of the remaining ones;
+one stretch is left out, or two (at least half of the line's tokens must be constant then), or the leading tokens (three
+quarters must be constant then). Of a shorter line each token, the leading ones included, is left out in turn while
+three quarters of the line stay constant; so lines under four tokens have to be equal but for fields known by sight. No
+leaf is ever gathered: a template is a 64-bit hash of its place in the tree and its constant tokens, and templates are
+counted with map-side combine.
 
 A template recurs across documents if ``CONTEXTS`` documents that are pairwise unrelated hold it. Two documents are
 related if the sketches of what they hold besides the template's lines (minimum hashes of the pairs of words in a line,
@@ -54,21 +57,42 @@ HELD = 50_000
 _FIELD = re.compile(r"\d|@|://")
 
 
+_MASK = (1 << 64) - 1
+_MARKS = [xxhash.xxh3_64_intdigest("<*>", seed=1000 + k) for k in range(LONG)]
+_LEFT_OUT = [(0,), *((k,) for k in range(1, PARTS + 1)), *((j, k) for k in range(1, PARTS + 1) for j in range(1, k))]
+
+
 def templates(line: str) -> list[int]:
     """Hashes of the templates that a line belongs to; none for a blank line."""
     tokens = line.split()
     if not tokens:
         return []
+    n = fixed = len(tokens)
     if _FIELD.search(line):
         tokens = ["<*>" if _FIELD.search(t) else t for t in tokens]
-    lead = f"{len(tokens)} {' '.join(tokens[:DEPTH])}\n"
+        fixed -= tokens.count("<*>")
+    if n < LONG:
+        terms = [xxhash.xxh3_64_intdigest(t, seed=i) for i, t in enumerate(tokens)]
+        whole = sum(terms) + n * 0x9E3779B97F4A7C15
+        out = [whole & _MASK]
+        if 4 * (fixed - 1) >= 3 * n:  # so much stays constant
+            out += [(whole - h + _MARKS[i]) & _MASK for i, h in enumerate(terms) if tokens[i] != "<*>"]
+        return out
     rest = tokens[DEPTH:]
-    out = [xxhash.xxh3_64_intdigest(lead + " ".join(rest))]
-    if len(tokens) >= LONG:
-        n = len(rest)
-        parts = [" ".join(rest[n * k // PARTS : n * (k + 1) // PARTS]) for k in range(PARTS)]
-        for k in range(PARTS):
-            out.append(xxhash.xxh3_64_intdigest("\n".join([lead, *parts[:k], "<*>", *parts[k + 1 :]])))
+    size = n - DEPTH
+    cuts = [size * k // PARTS for k in range(PARTS + 1)]
+    parts = [tokens[:DEPTH], *(rest[lo:hi] for lo, hi in zip(cuts, cuts[1:]))]
+    terms = [xxhash.xxh3_64_intdigest(" ".join(part), seed=i) for i, part in enumerate(parts)]
+    whole = sum(terms) + n * 0x9E3779B97F4A7C15
+    left = [_MARKS[i] - h for i, h in enumerate(terms)]
+    out = [whole & _MASK]
+    constant = [len(part) - part.count("<*>") for part in parts] if fixed < n else [len(part) for part in parts]
+    for k in _LEFT_OUT:
+        if len(k) == 1:
+            if k[0] or 4 * (fixed - constant[0]) >= 3 * n:
+                out.append((whole + left[k[0]]) & _MASK)
+        elif 2 * (fixed - constant[k[0]] - constant[k[1]]) >= n:
+            out.append((whole + left[k[0]] + left[k[1]]) & _MASK)
     return out
 
 
@@ -225,10 +249,10 @@ def _shared(found: DataFrame):
 
 
 def _strip(source: str | None, drop) -> tuple[str, int, list[int]]:
-    """(text that stays, number of lines that aren't blank, dropped line numbers)."""
+    """(text that stays, number of lines that aren't blank, dropped line numbers): ``drop`` gives those of the lines."""
     lines = (source or "").split("\n")
-    gone = [i for i, line in enumerate(lines) if drop(i, line)]
-    out = set(gone)
+    out = drop(lines)
+    gone = sorted(out)
     kept = "\n".join([line for i, line in enumerate(lines) if i not in out]) if gone else (source or "")
     return kept, sum(1 for line in lines if line.strip()), gone
 
@@ -258,7 +282,7 @@ def drop_lines(
             for batch in batches:
                 for lo in range(0, batch.num_rows, 1000):
                     part = batch.slice(lo, 1000)
-                    yield rebuilt(part, [_strip(v.as_py(), lambda _, line: known.any(templates(line))) for v in part.column(at)])
+                    yield rebuilt(part, [_strip(v.as_py(), known.lines) for v in part.column(at)])
 
         return df.select(*kept).mapInArrow(trimmed(run), schema)
 
@@ -282,7 +306,7 @@ def drop_lines(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone = [set(g or ()) for g in batch.column(len(kept)).to_pylist()]
-            yield rebuilt(batch, [_strip(v.as_py(), lambda i, _, g=g: i in g) for v, g in zip(batch.column(at), gone, strict=True)])
+            yield rebuilt(batch, [_strip(v.as_py(), lambda _, g=g: g) for v, g in zip(batch.column(at), gone, strict=True)])
 
     return joined.mapInArrow(trimmed(cut), schema)
 
@@ -300,8 +324,11 @@ class _Sorted:
         at = np.searchsorted(self.values, want)
         return self.values[np.minimum(at, len(self.values) - 1)] == want
 
-    def any(self, wanted: list[int]) -> bool:
-        return bool(self._held(wanted).any())
+    def lines(self, lines: list[str]) -> set[int]:
+        """Numbers of the lines of which a template is held."""
+        own = [templates(line) for line in lines]
+        places = [i for i, t in enumerate(own) for _ in t]
+        return {places[k] for k in np.flatnonzero(self._held([h for t in own for h in t]))}
 
     def among(self, wanted: list[int]) -> list[int]:
         """Those of ``wanted`` that are held."""
