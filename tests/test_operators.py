@@ -111,6 +111,16 @@ def test_cosine_bounds(spark, small):
     assert 0 <= sims[1] <= sims[0] <= 1
 
 
+def test_cosine_of_one_shared(spark):
+    rows = [(1, 1, 3.0), (1, 2, 4.0), (2, 2, 1.0), (2, 3, 2.0), (3, 1, 5.0), (3, 3, 6.0)]
+    dense = np.zeros((4, 4))
+    for u, i, r in rows:
+        dense[u, i] = r
+    got = {(r.a, r.b): r.sim for r in recommend.cosine(spark.createDataFrame(rows, "user long, item long, rating double"), "item", "user").collect()}
+    unit = dense[1:, 1:] / np.linalg.norm(dense[1:, 1:], axis=0)
+    assert got == {(a + 1, b + 1): pytest.approx((unit.T @ unit)[a, b], abs=1e-6) for a in range(3) for b in range(a + 1, 3)}
+
+
 def test_sgd_learns_and_cold_start():
     rows = [(u, i, float((u + i) % 3)) for u in range(8) for i in range(6)]
     model = recommend.sgd(rows, k=4, rate=0.05, epochs=300)

@@ -41,8 +41,9 @@ def known_pairs(test: DataFrame, train: DataFrame) -> DataFrame:
     return test.join(train.select("user").distinct(), "user", "left_semi").join(train.select("item").distinct(), "item", "left_semi")
 
 
-def cosine(ui: DataFrame, entity: str, by: str, support: int = 2) -> DataFrame:
-    """Cosine of two entities over what they share, for pairs that share at least ``support``: (a, b, shared, sim)."""
+def cosine(ui: DataFrame, entity: str, by: str, support: int = 1) -> DataFrame:
+    """Cosine of two entities, missing counting as 0, for pairs that share at least ``support``: (a, b, shared, sim).
+    Pairs that share nothing have 0 and no row; a higher support leaves out pairs of other than 0."""
     norms = ui.groupBy(entity).agg(F.sqrt(F.sum(F.col("rating") * F.col("rating"))).alias("norm"))
     left = ui.select(F.col(by), F.col(entity).alias("a"), F.col("rating").alias("ra"))
     right = ui.select(F.col(by), F.col(entity).alias("b"), F.col("rating").alias("rb"))

@@ -296,24 +296,25 @@ COSINE = UI + """, norms AS (SELECT {0} AS e, sqrt(sum(rating * rating)) AS norm
     GROUP BY 1, 2 HAVING count(*) >= 2),
   sims AS (SELECT a, b, shared, round(dot / nullif(na.norm * nb.norm, 0), 6) AS sim FROM pairs JOIN norms na ON na.e = a JOIN norms nb ON nb.e = b),
   both_ways AS (SELECT a, b, sim FROM sims UNION ALL SELECT b, a, sim FROM sims)"""
+SUPPORT = 2  # the HAVING above; the operator's default is every pair that shares something
 ITEMS, USERS = COSINE.format("item", '"user"'), COSINE.format('"user"', "item")
 
 
 @query(ITEMS + "SELECT * FROM sims")
 def item_cosine(spark, sf_dir):
-    return recommend.cosine(_ui(spark, sf_dir), "item", "user")
+    return recommend.cosine(_ui(spark, sf_dir), "item", "user", SUPPORT)
 
 
 @query(USERS + "SELECT * FROM sims")
 def user_cosine(spark, sf_dir):
-    return recommend.cosine(_ui(spark, sf_dir), "user", "item")
+    return recommend.cosine(_ui(spark, sf_dir), "user", "item", SUPPORT)
 
 
 @query(ITEMS + """SELECT ui."user", ui.item, round(coalesce(sum(sim * o.rating) / nullif(sum(sim), 0), 0), 6) AS pred
   FROM ui JOIN both_ways ON a = ui.item JOIN ui o ON o."user" = ui."user" AND o.item = b GROUP BY 1, 2""")
 def item_cf_predict(spark, sf_dir):
     ui = materialize(_ui(spark, sf_dir), "ui")
-    return recommend.item_cf(ui, recommend.cosine(ui, "item", "user"))
+    return recommend.item_cf(ui, recommend.cosine(ui, "item", "user", SUPPORT))
 
 
 @query(USERS + """, means AS (SELECT "user", avg(rating) AS mean FROM ui GROUP BY 1)
@@ -321,12 +322,12 @@ def item_cf_predict(spark, sf_dir):
   FROM ui JOIN both_ways ON a = ui."user" JOIN ui o ON o."user" = b AND o.item = ui.item JOIN means om ON om."user" = b JOIN means m ON m."user" = ui."user" GROUP BY 1, 2""")
 def user_cf_predict(spark, sf_dir):
     ui = materialize(_ui(spark, sf_dir), "ui")
-    return recommend.user_cf(ui, recommend.cosine(ui, "user", "item"))
+    return recommend.user_cf(ui, recommend.cosine(ui, "user", "item", SUPPORT))
 
 
 @query(ITEMS + """SELECT a, b, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank FROM both_ways) WHERE rank <= 3""")
 def item_neighbours(spark, sf_dir):
-    sims = recommend.cosine(_ui(spark, sf_dir), "item", "user")
+    sims = recommend.cosine(_ui(spark, sf_dir), "item", "user", SUPPORT)
     both = sims.select("a", "b", "sim").unionByName(sims.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     return recommend.top_k(both.select(F.col("a").alias("user"), F.col("b").alias("item"), F.col("sim").alias("pred")), 3).toDF("a", "b", "sim", "rank")
 
