@@ -233,6 +233,14 @@ def test_decontamination(spark):
     assert decontaminate.listing(docs(spark, texts).limit(0), bench).count() == 0
 
 
+def test_decontamination_of_a_later_place(spark):
+    bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    before = "A farmer sells 99 apples to Otto for 11 cents and then 55 pears to Bruno for 77 cents. These are other words. "
+    texts = [before + QUESTION, QUESTION + " " + before, before * 3 + QUESTION.replace("and then", "and only then")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.listing(docs(spark, texts), bench).collect()}
+    assert got == {(0, 1), (1, 1), (2, 1)}
+
+
 def test_lines(spark):
     draw = random.Random(4)
 

@@ -5,7 +5,9 @@ sentence) into ``@``, the rest into lower-case words. Windows of ``WINDOW`` temp
 shorter) are hashed and joined with the windows of the benchmark items; a re-parameterised question has the same
 windows. A document is contaminated by an item if at least ``COVERAGE`` of the item's distinct windows occur in it and
 the slots are consistent: over the matched windows, every slot value of the item stands for one value of the document
-(at least ``CONSISTENT`` of the item's matched slots do).
+(at least ``CONSISTENT`` of the item's matched slots do). Both are asked of each alignment by itself: the windows of one
+shift of the document against the item, of a range of ``BAND`` shifts (words put in or left out), or the first place of
+every window; one alignment that passes is enough, and the one that matches most is listed.
 
 The documents' windows meet the benchmark's in a join on the hash. The benchmark's windows are broadcast only while
 they are at most ``BROADCAST_ROWS``; beyond that the join shuffles on the hash. Only what matched is grouped, with
@@ -25,6 +27,7 @@ from tidemill.runtime import materialize
 WINDOW = 8
 COVERAGE = 0.6
 CONSISTENT = 0.8
+BAND = 16
 BROADCAST_ROWS = 500_000
 
 NUMBER = r"\p{N}+(?:[.,:/]\p{N}+)*"
@@ -92,29 +95,47 @@ def matches(df: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
 
 def contaminated(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, coverage, n_slots, n_consistent): the contaminated pairs."""
-    found = matches(df, benchmark, window)
-    once = found.groupBy("doc_id", "item_id", "hash").agg(
-        F.min("size").alias("size"), F.min("at").alias("at"), F.min("item_at").alias("item_at"), F.min("n_windows").alias("n_windows")
-    )
-    once = materialize(once, "matched")
-    pairs = once.groupBy("doc_id", "item_id").agg(F.first("n_windows").alias("n_windows"), F.count(F.lit(1)).alias("n_matched"))
-    pairs = pairs.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).filter(F.col("coverage") >= coverage)
-    pairs = materialize(pairs, "covered")
+    places = matches(df, benchmark, window).select("doc_id", "item_id", "hash", "size", "at", "item_at", "n_windows").distinct()
+    places = materialize(places, "matched")
+    pair = ["doc_id", "item_id"]
+    enough = places.groupBy(*pair).agg(F.countDistinct("hash").alias("n_matched"), F.first("n_windows").alias("n_windows"))
+    enough = enough.filter(F.col("n_matched") >= coverage * F.col("n_windows")).select(*pair)
+    near = places.join(enough, pair, "left_semi").withColumn("shift", F.col("at") - F.col("item_at"))
+    near = materialize(_aligned(near), "aligned")
+    groups = near.groupBy(*pair, "align").agg(F.first("n_windows").alias("n_windows"), F.countDistinct("hash").alias("n_matched"))
+    groups = groups.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).filter(F.col("coverage") >= coverage)
+    groups = materialize(groups, "covered")
     # slots, of matched documents and items only
-    near = once.join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"])
-    ids = pairs.select("doc_id").distinct()
+    near = near.join(groups.select(*pair, "align"), [*pair, "align"], "left_semi")
+    ids = groups.select("doc_id").distinct()
     texts = df.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     doc_slots = _located(texts, "doc_id", "doc_value").withColumnRenamed("at", "doc_at")
     item_slots = _located(benchmark.select("item_id", "text"), "item_id", "item_value").withColumnRenamed("at", "slot_at")
-    slot = near.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), F.explode(F.sequence("item_at", F.col("item_at") + F.col("size") - 1)).alias("slot_at")).distinct()
+    slot = near.select(*pair, "align", "shift", F.explode(F.sequence("item_at", F.col("item_at") + F.col("size") - 1)).alias("slot_at")).distinct()
     slot = slot.join(item_slots, ["item_id", "slot_at"]).withColumn("doc_at", F.col("slot_at") + F.col("shift"))
     slot = slot.join(doc_slots, ["doc_id", "doc_at", "kind"])
-    by_value = slot.groupBy("doc_id", "item_id", "kind", "item_value").agg(
-        F.countDistinct("doc_value").alias("values"), F.countDistinct("slot_at").alias("n")
+    by_value = slot.groupBy(*pair, "align", "kind", "item_value").agg(F.countDistinct("doc_value").alias("values"), F.countDistinct("slot_at").alias("n"))
+    checked = by_value.groupBy(*pair, "align").agg(F.sum("n").alias("n_slots"), F.sum(F.when(F.col("values") == 1, F.col("n")).otherwise(0)).alias("n_consistent"))
+    out = groups.join(checked, [*pair, "align"], "left").fillna(0, ["n_slots", "n_consistent"])
+    out = out.filter(F.col("n_consistent") >= CONSISTENT * F.col("n_slots"))
+    best = F.max(F.struct("n_matched", "n_consistent", "n_slots", "n_windows", "coverage")).alias("best")
+    return out.groupBy(*pair).agg(best).select(*pair, "best.n_windows", "best.n_matched", "best.coverage", "best.n_slots", "best.n_consistent")
+
+
+def _aligned(places: DataFrame) -> DataFrame:
+    """``places`` by alignment (``align``): each shift of document against item, overlapping ranges of shifts, and the
+    first place of every window."""
+    columns = ["doc_id", "item_id", "hash", "size", "item_at", "shift", "n_windows"]
+    shift = F.col("shift")
+    keys = F.array(
+        F.concat(F.lit("s"), shift), F.concat(F.lit("a"), F.floor(shift / BAND)), F.concat(F.lit("b"), F.floor((shift + BAND // 2) / BAND))
+    )
+    rows = places.select(*columns, F.explode(keys).alias("align"))
+    first = places.groupBy("doc_id", "item_id", "hash").agg(
+        F.min("size").alias("size"), F.min("item_at").alias("item_at"), F.min("at").alias("at"), F.min("n_windows").alias("n_windows")
     )
-    checked = by_value.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_slots"), F.sum(F.when(F.col("values") == 1, F.col("n")).otherwise(0)).alias("n_consistent"))
-    out = pairs.join(checked, ["doc_id", "item_id"], "left").fillna(0, ["n_slots", "n_consistent"])
-    return out.filter(F.col("n_consistent") >= CONSISTENT * F.col("n_slots"))
+    first = first.withColumn("shift", F.col("at") - F.col("item_at")).select(*columns, F.lit("first").alias("align"))
+    return rows.unionByName(first)
 
 
 def _located(df: DataFrame, key: str, value: str) -> DataFrame:
