@@ -241,6 +241,21 @@ def test_decontamination_of_a_later_place(spark):
     assert got == {(0, 1), (1, 1), (2, 1)}
 
 
+def test_decontamination_of_edits_and_excerpts(spark):
+    draw = random.Random(21)
+    short, long, edge = lines_of(draw, 1, 15), lines_of(draw, 1, 100), lines_of(draw, 1, 26)
+    bench = spark.createDataFrame([(1, short), (2, long), (3, edge)], "item_id long, text string")
+
+    def changed(text, *places):
+        return " ".join("other" if i in places else w for i, w in enumerate(text.split()))
+
+    around = lines_of(draw, 1, 40)
+    bodies = [changed(short, 7), " ".join(long.split()[30:60]), changed(edge, 8, 17), " ".join(long.split()[:15]), changed(long, *range(0, 100, 7))]
+    texts = [f"{around} {b} {around}" for b in bodies]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.listing(docs(spark, texts), bench).collect()}
+    assert got == {(0, 1), (1, 2), (2, 3)}
+
+
 def test_lines(spark):
     draw = random.Random(4)
 

@@ -1,10 +1,11 @@
 """Operator 6: benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 Texts become templates: numbers turn into ``#``, units behind numbers into ``~``, names (capitalised words inside a
-sentence) into ``@``, the rest into lower-case words. Windows of ``WINDOW`` template words (of a whole item where it is
-shorter) are hashed and joined with the windows of the benchmark items; a re-parameterised question has the same
-windows. A document is contaminated by an item if at least ``COVERAGE`` of the item's distinct windows occur in it and
-the slots are consistent: over the matched windows, every slot value of the item stands for one value of the document
+sentence) into ``@``, the rest into lower-case words. Windows of ``WINDOW`` template words (``SHORT_WINDOW`` for items
+under ``SHORT`` words, so that a changed word breaks fewer of their windows; the whole item where it is shorter still) are
+hashed and joined with the windows of the benchmark items; a re-parameterised question has the same windows. A document
+is contaminated by an item if at least ``COVERAGE`` of the item's distinct windows occur in it, or ``RUN`` template words
+in a row, and the slots are consistent: over the matched windows, every slot value of the item stands for one value of the document
 (at least ``CONSISTENT`` of the item's matched slots do). Both are asked of each alignment by itself: the windows of one
 shift of the document against the item, of a range of ``BAND`` shifts (words put in or left out), or the first place of
 every window; one alignment that passes is enough, and the one that matches most is listed.
@@ -19,12 +20,15 @@ count; windows without any plain word are not compared. Repeated rows of an id a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.runtime import materialize
 
 WINDOW = 8
+SHORT_WINDOW = 4
+SHORT = 48
+RUN = 24
 COVERAGE = 0.6
 CONSISTENT = 0.8
 BAND = 16
@@ -76,7 +80,8 @@ def _windows(df: DataFrame, lengths: list[int], *kept: str) -> DataFrame:
 def matches(df: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, at, item_at, size, n_windows): windows of documents that equal windows of items."""
     items = benchmark.select("item_id", template(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    items = items.withColumn("length", F.least(F.size("words"), F.lit(window)))
+    least = F.when(F.size("words") < SHORT, F.lit(min(window, SHORT_WINDOW))).otherwise(F.lit(window))
+    items = items.withColumn("length", F.least(F.size("words"), least))
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # at most ``window`` values
     if not lengths:
         lengths = [window]
@@ -99,11 +104,14 @@ def contaminated(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     places = materialize(places, "matched")
     pair = ["doc_id", "item_id"]
     enough = places.groupBy(*pair).agg(F.countDistinct("hash").alias("n_matched"), F.first("n_windows").alias("n_windows"))
-    enough = enough.filter(F.col("n_matched") >= coverage * F.col("n_windows")).select(*pair)
+    whole = F.col("n_matched") >= coverage * F.col("n_windows")
+    runs = materialize(_runs(places), "runs")
+    enough = enough.filter(whole).select(*pair).union(runs.select(*pair)).distinct()
     near = places.join(enough, pair, "left_semi").withColumn("shift", F.col("at") - F.col("item_at"))
     near = materialize(_aligned(near), "aligned")
     groups = near.groupBy(*pair, "align").agg(F.first("n_windows").alias("n_windows"), F.countDistinct("hash").alias("n_matched"))
-    groups = groups.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).filter(F.col("coverage") >= coverage)
+    groups = groups.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).join(runs.withColumn("run", F.lit(True)), [*pair, "align"], "left")
+    groups = groups.filter((F.col("coverage") >= coverage) | F.col("run")).drop("run")
     groups = materialize(groups, "covered")
     # slots, of matched documents and items only
     near = near.join(groups.select(*pair, "align"), [*pair, "align"], "left_semi")
@@ -122,6 +130,17 @@ def contaminated(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     return out.groupBy(*pair).agg(best).select(*pair, "best.n_windows", "best.n_matched", "best.coverage", "best.n_slots", "best.n_consistent")
 
 
+def _runs(places: DataFrame) -> DataFrame:
+    """(doc_id, item_id, align): the shifts at which at least ``RUN`` template words in a row agree."""
+    key = ["doc_id", "item_id", "shift"]
+    rows = places.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "size").distinct()
+    long = rows.groupBy(*key).agg((F.count(F.lit(1)) + F.max("size") - 1).alias("words")).filter(F.col("words") >= RUN)
+    rows = rows.join(long.select(*key), key, "left_semi")
+    island = F.col("item_at") - F.row_number().over(Window.partitionBy(*key).orderBy("item_at"))
+    runs = rows.withColumn("island", island).groupBy(*key, "island").agg((F.count(F.lit(1)) + F.max("size") - 1).alias("words"))
+    return runs.filter(F.col("words") >= RUN).select("doc_id", "item_id", F.concat(F.lit("s"), "shift").alias("align")).distinct()
+
+
 def _aligned(places: DataFrame) -> DataFrame:
     """``places`` by alignment (``align``): each shift of document against item, overlapping ranges of shifts, and the
     first place of every window."""
@@ -130,7 +149,10 @@ def _aligned(places: DataFrame) -> DataFrame:
     keys = F.array(
         F.concat(F.lit("s"), shift), F.concat(F.lit("a"), F.floor(shift / BAND)), F.concat(F.lit("b"), F.floor((shift + BAND // 2) / BAND))
     )
-    rows = places.select(*columns, F.explode(keys).alias("align"))
+    support = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "item_id", "shift"))
+    rows = places.withColumn("support", support).select(*columns, "support", F.explode(keys).alias("align"))
+    most = Window.partitionBy("doc_id", "item_id", "align", "item_at").orderBy(F.desc("support"), "shift")  # windows may recur in the item
+    rows = rows.withColumn("rank", F.row_number().over(most)).filter(F.col("rank") == 1).select(*columns, "align")
     first = places.groupBy("doc_id", "item_id", "hash").agg(
         F.min("size").alias("size"), F.min("item_at").alias("item_at"), F.min("at").alias("at"), F.min("n_windows").alias("n_windows")
     )
