@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -73,21 +74,65 @@ def test_secrets(spark):
         assert [row.n_assign, row.n_access, row.n_hex] == [sum(k == n for _, k, _ in spans) for n in range(3)]
 
 
+def entropy_spans(text):
+    """Every candidate by Python's patterns, every window counted anew."""
+    taken = [(s, e) for s, _, e in base_spans(text)]
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        word = m[0]
+        if any(s < m.end() and m.start() < e for s, e in taken) or not re.search("[0-9]", word) or not re.search("[A-Za-z]", word):
+            continue
+        if any(re.search(p.replace("++", "+"), word) for p in secrets.ALLOWED):
+            continue
+        best = 0.0
+        for i in range(len(word) - 19):
+            best = max(best, -sum(c / 20 * math.log2(c / 20) for c in Counter(word[i : i + 20]).values()))
+        kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", word) else "upper" if re.fullmatch("[0-9A-Z]+", word) else "alnum"
+        if not re.fullmatch("[0-9A-Za-z]+", word):
+            kind = "base64"
+        if best >= secrets.LIMITS[kind]:
+            yield m.start(), 3, m.end()
+
+
 def test_entropy(spark):
     draw = random.Random(5)
-    words = ["".join(draw.choice("abcdefghijKLMNOP0123456789"[: draw.choice([2, 9, 26])]) for _ in range(draw.randint(20, 50))) for _ in range(60)]
+    letters = ["abcdefghijKLMNOP0123456789", "ab1", "0123456789abcdef", "ABCDEFGH012345", secrets.ALPHABET]
+    words = ["".join(draw.choice(draw.choice(letters)) for _ in range(draw.randint(10, 60))) for _ in range(200)]
+    glue = [" ", "\n", ".", "token=", " password: ", "\x01", "😀", " AKIA", "deadbeefdeadbeef", "/usr/lib/", "2024-01-01"]
+    texts = ["".join(draw.choice(words) + draw.choice(glue) for _ in range(draw.randint(1, 12))) for _ in range(150)]
+    texts += ["550e8400-e29b-41d4-a716-446655440000", "v1-22-333-4444-55555-66666-777777", "abc12/def/ghi_jkl-mno/pq", "see wJalrXUtnFEMI7K9MDENGbPxRfiCYzq8 now"]
+    got = {r.doc_id: r.spans for r in secrets.listing(docs(spark, texts)).collect()}
+    total = 0
+    for i, text in enumerate(texts):
+        spans = sorted([*base_spans(text), *entropy_spans(text)])
+        total += sum(k == 3 for _, k, _ in spans)
+        assert got[i] == ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+    assert total > 100 and got[len(texts) - 1] == "entropy:4:36"
+
+
+def test_long_texts(spark):
+    """Texts that made patterns recurse or work grow with the square: results come, and in seconds."""
+    draw = random.Random(6)
+    size = 300_000
+    texts = [
+        "".join(draw.choice(secrets.ALPHABET) for _ in range(size)), "ab1/" * (size // 4), "1," * (size // 2), "1-" * (size // 2), "AKIA" * (size // 4),
+        " ".join("".join(draw.choice("0123456789abcdef") for _ in range(n)) for n in (6, 20) for _ in range(size // 20)),
+        " ".join(f"token=abcdefgh{i:05d}Zq" for i in range(size // 20)),
+    ]
+    began = time.monotonic()
+    for row in secrets.listing(docs(spark, texts)).collect():
+        spans = base_spans(texts[row.doc_id])
+        text = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+        assert row.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert time.monotonic() - began < 90
 
-    def plain(word):
-        best = 0.0
-        for i in range(len(word) - 19):
-            counts = Counter(word[i : i + 20]).values()
-            best = max(best, -sum(c / 20 * math.log2(c / 20) for c in counts))
-        return best
-
-    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", secrets.window_entropy(F.col("w")).alias("h")).collect()
-    assert all(abs(r.h - plain(r.w)) < 1e-9 for r in rows)
-    found = secrets.listing(docs(spark, ["see wJalrXUtnFEMI7K9MDENGbPxRfiCYzq8 now", "550e8400-e29b-41d4-a716-446655440000"])).orderBy("doc_id").collect()
-    assert [r.spans for r in found] == ["entropy:4:36", ""]
+
+def test_secrets_shapes(spark):
+    empty = secrets.listing(docs(spark, ["a"]).limit(0))
+    assert empty.count() == 0 and empty.columns[:6] == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    twice = docs(spark, ["token=abcdefghijkl"]).union(docs(spark, ["token=abcdefghijkl"])).withColumn("secret_spans", F.lit(1)).withColumn("spans", F.lit("x"))
+    assert [(r.n_assign, r.spans) for r in secrets.listing(twice).collect()] == [(1, "assign:0:18")] * 2
+    out = secrets.scan(twice)
+    assert sorted(out.columns) == sorted([*twice.columns]) and {r.spans for r in out.collect()} == {"x"}
 
 
 # --- 3, 10: learned ------------------------------------------------------------------------------------------------------
