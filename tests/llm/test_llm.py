@@ -278,6 +278,14 @@ def test_decontamination(spark):
     assert decontaminate.listing(docs(spark, texts).limit(0), bench).count() == 0
 
 
+def test_decontamination_of_long_texts(spark):
+    bench = spark.createDataFrame([(1, QUESTION), (2, "1, 2, 3, 4, 5 and 6 apples")], "item_id long, text string")
+    texts = ["1," * 500_000, "12.5 km, " * 100_000, "1 " * 200_000 + QUESTION + " 2" * 200_000, "Anna " * 100_000, "a#b~c@d " * 50_000]
+    began = time.monotonic()
+    got = {(r.doc_id, r.item_id) for r in decontaminate.listing(docs(spark, texts), bench).collect()}
+    assert got == {(2, 1)} and time.monotonic() - began < 90
+
+
 def test_decontamination_of_a_later_place(spark):
     bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
     before = "A farmer sells 99 apples to Otto for 11 cents and then 55 pears to Bruno for 77 cents. These are other words. "

@@ -34,7 +34,7 @@ CONSISTENT = 0.8
 BAND = 16
 BROADCAST_ROWS = 500_000
 
-NUMBER = r"\p{N}+(?:[.,:/]\p{N}+)*"
+NUMBER = r"\p{N}++(?:[.,:/]\p{N}++)*+"  # possessive: other repeats of a group recurse once a repeat
 # Unit words and signs that may follow a number.
 UNITS = (
     "km|kilometers?|kilometres?|m|meters?|metres?|cm|mm|miles?|feet|foot|ft|inches|inch|kg|kilograms?|g|grams?|mg|lbs?|pounds?|"
@@ -163,11 +163,14 @@ def _aligned(places: DataFrame) -> DataFrame:
 def _located(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, at, kind, value): the slots of each text's template, by place."""
     rows = df.select(key, template(F.col("text")).alias("words"), slots(F.col("text")).alias("slots"))
-    rows = rows.filter(F.exists("words", lambda w: w.isin("#", "~", "@")))
-    rows = rows.select(key, "slots", F.explode(F.filter(F.transform("words", lambda w, i: F.struct(w.alias("kind"), i.alias("at"))), lambda x: x["kind"].isin("#", "~", "@"))).alias("x"))
-    rows = rows.groupBy(key, "x.kind").agg(F.first("slots").alias("slots"), F.array_sort(F.collect_list("x.at")).alias("places"))
-    values = F.try_element_at("slots", F.col("kind"))
-    return rows.select(key, "kind", F.posexplode("places").alias("i", "at"), values.alias("values")).select(key, "at", "kind", F.get("values", F.col("i")).alias(value))
+
+    def of_kind(kind: str) -> Column:
+        places = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("at"))), lambda x: x["w"] == kind)
+        pairs = F.zip_with(places, F.try_element_at("slots", F.lit(kind)), lambda x, v: F.struct(x["at"].alias("at"), F.lit(kind).alias("kind"), v.alias("value")))
+        return F.filter(pairs, lambda x: x["at"].isNotNull())
+
+    found = F.explode(F.concat(*map(of_kind, ("#", "~", "@"))))
+    return rows.select(key, found.alias("x")).select(key, "x.at", "x.kind", F.col("x.value").alias(value))
 
 
 def listing(df: DataFrame, benchmark: DataFrame) -> DataFrame:
