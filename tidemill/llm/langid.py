@@ -4,22 +4,25 @@ For each language a suffix automaton of labelled text is built. A text is cut, f
 phrases that occur in that labelled text; the number of phrases times log2 of the labelled length is the cross-parsing
 estimate of the bits the language needs for the text. The language that needs fewest bits per letter wins.
 
-Labelled text is a bounded sample, the only thing learned: from each language about ``train_docs`` documents picked by
-a hash of their id (so the pick doesn't depend on order or place), at most ``excerpt`` characters of each, at most
-``train_chars`` in all. Its size doesn't grow with the corpus and only it travels to the workers, each of which builds
-the automata once. Prediction reads whole texts: the characters of many texts, cut into windows of ``WINDOW``, walk
-the automata in lockstep in numpy (a phrase ends at a window's end, for every language alike).
+Labelled text is a bounded sample of labelled rows, the only thing learned: rows are picked by a hash of their id (so the
+pick doesn't depend on order or place), about ``train_docs`` for each language, and used whole, in that order, as long as
+their characters come to ``train_chars`` at most; rows longer than that are not picked (where a language has no others,
+its shortest one is the sample). Repeated ids and equal texts count once. The sample doesn't grow with the corpus and
+only it travels to the workers, each of which builds the automata once. Every letter of the sample has its own code.
+
+Prediction reads whole texts. Windows of ``WINDOW`` characters of many texts walk the automata in lockstep in numpy, each
+as if a phrase began with it; then every window goes on beyond its end until one of its phrases begins where a phrase of
+a later window begins, from where on that window's phrases are the text's. So the phrases are those of the uncut text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0. With nothing to learn from, every
 text is ``und``. Equal bits go to the alphabetically first language. The score is the winner's share of
-2^(-bits / TEMPER) over all languages. Rows are independent: repeated rows get repeated results; extra columns pass
-through and columns that clash with output names are replaced.
+2^(-bits / TEMPER) over all languages. Rows without an id are neither learned from nor held out. Rows are independent:
+repeated rows get repeated results; extra columns pass through and columns that clash with output names are replaced.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,21 +34,69 @@ from pyspark.sql import types as T
 
 from tidemill.llm.memory import trimmed
 
-TRAIN_DOCS = 96
-TRAIN_CHARS = 24_000
-EXCERPT = 600
+TRAIN_DOCS = 192
+TRAIN_CHARS = 32_000
 WINDOW = 512
-ALPHABET = 62
 TEMPER = 24.0
 UNKNOWN = "und"
 _BREAK, _OTHER = 0, 1
-_END = np.int32(1 << 29)
+_PLANES = 0x30000  # code points looked up in a table; rarer ones one by one
+
+
+class Automaton:
+    """The suffix automaton of a coded text. Its transitions are kept as displaced rows: that of state s by code c is
+    ``target[base[s] + c]`` if ``check[base[s] + c]`` is s, else the text lacks the phrase. The root (state 0) has a row
+    of its own, with 0 for codes that the text lacks altogether, and no entry among the displaced ones."""
+
+    def __init__(self, codes: list[int], width: int):
+        nexts = _suffix_states(codes)
+        self.bits = math.log2(max(2, len(codes)))
+        self.root = np.zeros(width, dtype=np.int32)
+        for code, state in nexts[0].items():
+            self.root[code] = state
+        base, check, target = [0] * len(nexts), [-1] * (2 * width), [0] * (2 * width)
+        low = width  # no cell before this one is free
+
+        def put(state: int, at: int) -> None:
+            if at + width >= len(check):
+                more = at + 2 * width - len(check)
+                check.extend([-1] * more)
+                target.extend([0] * more)
+            base[state] = at
+            for code, to in nexts[state].items():
+                check[at + code], target[at + code] = state, to
+
+        for state in sorted(range(1, len(nexts)), key=lambda s: -len(nexts[s])):
+            row = list(nexts[state])
+            if not row:
+                continue
+            while low < len(check) and check[low] >= 0:
+                low += 1
+            first, tries = row[0], 0
+            for cell in range(low, len(check)):  # the first place where the row fits; after some tries, behind the last
+                if check[cell] < 0 and all(cell - first + c < len(check) and check[cell - first + c] < 0 for c in row):
+                    put(state, cell - first)
+                    break
+                tries += 1
+                if tries > 200:
+                    put(state, len(check))
+                    break
+            else:
+                put(state, len(check))
+        size = len(check) + width
+        self.base = np.array(base, dtype=np.int32)
+        self.check, self.target = np.full(size, -1, dtype=np.int32), np.zeros(size, dtype=np.int32)
+        self.check[: len(check)], self.target[: len(target)] = check, target
 
+    def step(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, whether a phrase begins with this code)."""
+        at = self.base[state] + code
+        goes_on = self.check[at] == state
+        return np.where(goes_on, self.target[at], self.root[code]), ~goes_on
 
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """The suffix automaton of ``codes`` as a full table: entry [state * width + code] is the next state's offset, plus
-    ``_END`` for each phrase that ends there: the one so far if the text doesn't hold it with this code, and a code that
-    the text lacks altogether, which is a phrase by itself."""
+
+def _suffix_states(codes: list[int]) -> list[dict[int, int]]:
+    """The transitions of the suffix automaton's states."""
     links, lengths, nexts, last = [-1], [0], [{}], 0
     for code in codes:
         new = len(lengths)
@@ -70,15 +121,15 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                     at = links[at]
                 links[target] = links[new] = clone
         last = new
-    table = np.full((len(nexts), width), -1, dtype=np.int32)
-    for state, edges in enumerate(nexts):
-        for code, target in edges.items():
-            table[state, code] = target * width
-    fresh = np.where(table[0] < 0, 2 * _END, table[0] + _END).astype(np.int32)
-    first = np.where(table[0] < 0, _END, table[0])
-    table = np.where(table < 0, fresh[None, :], table)
-    table[0] = first
-    return table.ravel()
+    return nexts
+
+
+@lru_cache(maxsize=1)
+def _letters() -> tuple[np.ndarray, list[tuple[int, str]]]:
+    """Classes of the code points before any letter has a code, and the letters with another lower-case form."""
+    chars = [chr(cp) for cp in range(_PLANES)]
+    classes = np.array([_OTHER if c.isalpha() else _BREAK for c in chars], dtype=np.int32)
+    return classes, [(ord(c), c.lower()[0]) for c in chars if c.lower()[0] != c]
 
 
 class Model:
@@ -86,31 +137,27 @@ class Model:
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
-        letters = Counter(c for text in samples.values() for c in text.lower() if c.isalpha())
-        best = sorted(letters, key=lambda c: (-letters[c], c))[:ALPHABET]
-        self.codes = {c: i + 2 for i, c in enumerate(sorted(best))}
-        self.width = len(self.codes) + 2
-        self.classes = np.full(0x3000, 255, dtype=np.uint8)
-        for cp in range(0x3000):
-            self.classes[cp] = self._class(chr(cp))
-        self.tables, self.bits = [], []
-        for language in self.languages:
-            codes = self.encode(samples[language])
-            self.tables.append(automaton(codes.tolist(), self.width))
-            self.bits.append(math.log2(max(2, len(codes))))
-
-    def _class(self, char: str) -> int:
-        if not char.isalpha():
-            return _BREAK
-        low = char.lower()
-        return self.codes.get(low, _OTHER) if len(low) == 1 else _OTHER
+        found = {c.lower()[0] for text in samples.values() for c in set(text) if c.isalpha()}
+        self.codes = {c: i + 2 for i, c in enumerate(sorted(found))}
+        classes, cased = _letters()
+        self.classes = classes.copy()
+        for c, code in self.codes.items():
+            if ord(c) < _PLANES:
+                self.classes[ord(c)] = code
+        for cp, low in cased:
+            if low in self.codes:
+                self.classes[cp] = self.codes[low]
+        self.automata = [Automaton(self.encode(samples[k]).tolist(), len(self.codes) + 2) for k in self.languages]
+        self.bits = [a.bits for a in self.automata]
 
     def encode(self, text: str) -> np.ndarray:
-        """Classes of the characters; a run of characters that are no letters counts once."""
-        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        codes = self.classes[np.minimum(points, 0x2FFF)]
-        for i in np.flatnonzero(points >= 0x2FFF):
-            codes[i] = self._class(chr(points[i]))
+        """Codes of the characters; a run of characters that are no letters counts once. Letters that no sample has
+        share a code, as none of them continues a phrase."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        codes = self.classes[np.minimum(points, _PLANES - 1)]
+        for i in np.flatnonzero(points >= _PLANES):
+            char = chr(points[i])
+            codes[i] = self.codes.get(char.lower()[0], _OTHER) if char.isalpha() else _BREAK
         keep = np.ones(len(codes), dtype=bool)
         keep[1:] = (codes[1:] != _BREAK) | (codes[:-1] != _BREAK)
         return codes[keep]
@@ -123,27 +170,57 @@ class Model:
         owner = np.repeat(np.arange(len(texts)), pieces)
         if not len(owner):
             return out
-        part = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = np.cumsum(pieces) - pieces  # window of each text
+        ends = np.cumsum(lengths)
         flat = np.concatenate(texts).astype(np.int32)
-        start = np.repeat(np.cumsum(lengths) - lengths, pieces) + part * WINDOW
-        size = np.minimum(lengths[owner] - part * WINDOW, WINDOW)
+        begin = (ends - lengths)[owner] + (np.arange(len(owner)) - first[owner]) * WINDOW
+        size = np.minimum(ends[owner] - begin, WINDOW)
+        # lanes: the windows, longest first, so that those still walking are the first ones
         order = np.argsort(-size, kind="stable")
-        owner, start, size = owner[order], start[order], size[order]
-        active = len(size) - np.searchsorted(size[::-1], np.arange(int(size[0])), side="right")
-        steps = np.zeros((int(size[0]), len(size)), dtype=np.int32)  # column by column: the t-th code of each window
+        lane = np.empty_like(order)
+        lane[order] = np.arange(len(order))
+        active = len(size) - np.searchsorted(size[order][::-1], np.arange(int(size.max())), side="right")
+        steps = np.zeros((len(active), len(size)), dtype=np.int32)  # the t-th code of each lane
         for t, n in enumerate(active):
-            steps[t, :n] = flat[start[:n] + t]
-        for k, table in enumerate(self.tables):
-            at = np.zeros(len(size), dtype=np.int32)
-            ends = np.zeros(len(size), dtype=np.int32)
+            steps[t, :n] = flat[begin[order[:n]] + t]
+        followed = np.flatnonzero(begin + size < ends[owner])
+        for k, machine in enumerate(self.automata):
+            state = np.zeros(len(size), dtype=np.int32)
+            starts = np.zeros(steps.shape, dtype=bool)
             for t, n in enumerate(active):
-                step = table[at[:n] + steps[t, :n]]
-                ends[:n] += step >> 29
-                at[:n] = step & (_END - 1)
-            ends += at != 0  # the phrase that the window's end cuts off
-            out[:, k] = np.bincount(owner, weights=ends, minlength=len(texts)).astype(np.int64)
+                state[:n], starts[t, :n] = machine.step(state[:n], steps[t, :n])
+            own = np.bincount(order, weights=starts.sum(axis=0), minlength=len(size)).astype(np.int64)
+            more, joined, place = self._beyond(machine, flat, owner, first, ends, lane, starts, followed, begin + size, state[lane])
+            single = pieces == 1
+            out[single, k] = own[first[single]]
+            for i in np.flatnonzero(pieces > 1):
+                window, at, n = int(first[i]), 0, 0
+                while window >= 0:
+                    n += own[window] + more[window] - (int(starts[:at, lane[window]].sum()) if at else 0)
+                    window, at = int(joined[window]), int(place[window])
+                out[i, k] = n
         return out
 
+    @staticmethod
+    def _beyond(machine, flat, owner, first, ends, lane, starts, open_windows, at, state) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each window: how many phrases begin beyond its end before one that a later window has as well, and that
+        window (-1: none) and the place in it."""
+        more, joined, place = np.zeros(len(owner), np.int64), np.full(len(owner), -1, np.int64), np.zeros(len(owner), np.int64)
+        window, at, state = open_windows, at[open_windows], state[open_windows]
+        begin = ends - np.diff(ends, prepend=0)
+        while len(window):
+            state, fresh = machine.step(state, flat[at])
+            text = owner[window]
+            offset = at - begin[text]
+            there, inside = first[text] + offset // WINDOW, offset % WINDOW
+            meets = fresh & starts[inside, lane[there]]
+            joined[window[meets]], place[window[meets]] = there[meets], inside[meets]
+            more[window[fresh & ~meets]] += 1
+            at = at + 1
+            goes_on = ~meets & (at < ends[text])
+            window, at, state = window[goes_on], at[goes_on], state[goes_on]
+        return more, joined, place
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         codes = [self.encode(t or "") for t in texts]
         letters = [bool((c != _BREAK).any()) for c in codes]
@@ -167,24 +244,37 @@ def is_training(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != 0
 
 
-def sample_texts(
-    df: DataFrame, text: str, label: str, key: str, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, excerpt: int = EXCERPT
-) -> dict[str, str]:
-    """The labelled sample: {language: text of at most ``train_chars``}. ``df`` holds rows to learn from only."""
-    known = df.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
-    counts = {r[label]: r["n"] for r in known.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+def held_out(doc_id: str = "doc_id") -> F.Column:
+    return F.coalesce(~is_training(doc_id), F.lit(False))
+
+
+def sample_texts(df: DataFrame, text: str, label: str, key: str, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> dict[str, str]:
+    """The labelled sample: {language: whole texts, about ``train_docs`` rows and ``train_chars`` characters at most}.
+    ``df`` holds rows to learn from only."""
+    known = df.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
+    size = F.length(text)
+    stats = known.groupBy(label).agg(F.count(F.when(size <= train_chars, 1)).alias("n")).collect()  # a row a language
+    if not stats:
         return {}
     rank = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30))
     chosen = F.lit(False)
-    for language, n in counts.items():
-        share = min(1.0, 2 * train_docs / n)
-        chosen = chosen | ((F.col(label) == language) & (rank < int(share * (1 << 30))))
-    rows = known.filter(chosen).select(label, rank.alias("rank"), F.substring(text, 1, excerpt).alias("part"), key)
-    texts: dict[str, list[str]] = {}
-    for row in sorted(rows.collect(), key=lambda r: (r[label], r["rank"], r[key])):
-        texts.setdefault(row[label], []).append(row["part"])
-    return {k: "\n".join(v[: 2 * train_docs])[:train_chars] for k, v in texts.items()}
+    for row in stats:
+        if row["n"]:
+            chosen = chosen | ((F.col(label) == row[label]) & (size <= train_chars) & (rank <= int(min(1.0, train_docs / row["n"]) * (1 << 30))))
+    rows = known.filter(chosen).groupBy(label, rank.alias("__rank"), key).agg(F.min(text).alias("__text"))  # repeated ids once
+    texts: dict[str, dict[str, None]] = {}
+    room: dict[str, int] = {}
+    for row in sorted(rows.collect(), key=lambda r: (r[label], r["__rank"], r[key])):
+        own, left = texts.setdefault(row[label], {}), room.get(row[label], train_chars)
+        if row["__text"] not in own and len(row["__text"]) <= left:
+            own[row["__text"]] = None
+            room[row[label]] = left - len(row["__text"]) - 1
+    out = {k: "\n".join(v) for k, v in texts.items()}
+    lone = [row[label] for row in stats if not row["n"]]
+    if lone:
+        shortest = known.filter(F.col(label).isin(lone)).groupBy(label).agg(F.min_by(text, F.struct(size, F.col(key))).alias("__text"))
+        out |= {row[label]: row["__text"] for row in shortest.collect()}
+    return out
 
 
 def identify(
@@ -220,7 +310,7 @@ def predictions(df: DataFrame) -> DataFrame:
     """The contract columns of the query: learn from the rows in training, predict for all."""
     samples = sample_texts(df.filter(is_training()), "text", "lang", "doc_id")
     out = identify(df.select("doc_id", "text"), samples)
-    return out.select("doc_id", (~is_training()).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(df: DataFrame) -> DataFrame:
