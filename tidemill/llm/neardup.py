@@ -59,36 +59,62 @@ _SCHEMA = "doc_id long, n_shingles long, fingerprint binary, bands array<long>,
 
 
 _BASE = 0x9E6C63D0876A9A47 | 1
-
-
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of the base and of its inverse, modulo 2^64."""
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        values = np.full(1 << bits, base, dtype=np.uint64)
-        values[0] = 1
-        out.append(np.cumprod(values, dtype=np.uint64))
-    return out[0], out[1]
+BLOCK_BYTES = 1 << 20
+_tables: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """At least the first ``n`` powers of the base and of its inverse, modulo 2^64; grown as needed, kept by the worker."""
+    if not _tables or len(_tables[0]) < n:
+        _tables.clear()
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            values = np.full(1 << max(16, n.bit_length()), base, dtype=np.uint64)
+            values[0] = 1
+            _tables.append(np.cumprod(values, dtype=np.uint64))
+    return _tables
+
+
+def _blank(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | ((data >= 9) & (data <= 13))
+
+
+def hashed_words(source: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(offset of the block, hashes, starts, ends) of the words, block by block; starts and ends count from the offset.
+
+    A word's hash is a polynomial over its bytes, out of prefix sums over the block. Blocks end at blanks, so what is
+    held besides the words follows the block (or the longest word), not the text."""
+    data = np.frombuffer(source, dtype=np.uint8)
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + BLOCK_BYTES)
+        if end < len(data):
+            found = np.flatnonzero(_blank(data[at:end]))
+            reach = end
+            while not len(found) and reach < len(data):  # a word longer than a block
+                found = np.flatnonzero(_blank(data[reach : reach + BLOCK_BYTES])) + (reach - at)
+                found = found[:1]
+                reach += BLOCK_BYTES
+            end = at + int(found[-1]) + 1 if len(found) else len(data)
+        part = data[at:end]
+        edges = np.flatnonzero(np.diff(np.concatenate(([True], _blank(part), [True]))))
+        starts, ends = edges[0::2], edges[1::2]
+        if len(starts):
+            power, inverse = _powers(len(part) + 1)
+            sums = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=sums[1:])
+            h = (sums[ends] - sums[starts]) * inverse[starts]
+            h ^= (ends - starts).astype(np.uint64) << np.uint64(56)
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+            yield at, h, starts, ends
+        at = end
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word, in order: a polynomial over its bytes, out of prefix sums over the whole text."""
-    data = np.frombuffer((text or "").encode().lower(), dtype=np.uint8)  # bytes: lower() knows ASCII only
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    edges = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True]))))
-    starts, ends = edges[0::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    power, inverse = _powers(max(16, len(data).bit_length()))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
-    h ^= (ends - starts).astype(np.uint64) << np.uint64(56)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    return h
+    """A 64-bit hash of each word, in order, A-Z in lower case."""
+    found = [h for _, h, _, _ in hashed_words((text or "").encode().lower())]  # bytes: lower() knows ASCII only
+    return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
 
 def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
