@@ -136,24 +136,56 @@ def test_secrets_shapes(spark):
 
 
 # --- 3, 10: learned ------------------------------------------------------------------------------------------------------
-def test_automaton_phrases():
-    model = langid.Model({"x": "abracadabra", "y": "zzz"})
+def longest_phrases(source, codes):
+    """The number of phrases by trying every length."""
+    text, held = "".join(map(chr, codes)), "".join(map(chr, source))
+    n = at = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in held:
+            size += 1
+        at, n = at + size, n + 1
+    return n
+
+
+@pytest.mark.parametrize("window", [3, 16, 512])
+def test_phrases(monkeypatch, window):
+    monkeypatch.setattr(langid, "WINDOW", window)
+    samples = {
+        "a": "abracadabra", "b": "zzz", "c": "солнце светит ярко над морем", "d": "日本語の文章は漢字と仮名で書かれる。日本は島国である",
+        "e": "ο ήλιος λάμπει πάνω από τη θάλασσα", "f": "abcabcabcabdabcabd" * 20,
+    }
+    model = langid.Model(samples)
+    sources = [model.encode(samples[k]).tolist() for k in model.languages]
     draw = random.Random(3)
-    source = model.encode("abracadabra").tolist()
-
-    def phrases(codes):
-        n = at = 0
-        while at < len(codes):
-            size = 1
-            while at + size < len(codes) and any(source[i : i + size + 1] == codes[at : at + size + 1] for i in range(len(source))):
-                size += 1
-            at, n = at + size, n + 1
-        return n
-
-    for _ in range(300):
-        text = "".join(draw.choice("abrcdz") for _ in range(draw.randint(1, 60)))
-        codes = model.encode(text)
-        assert model.phrases([codes])[0][0] == phrases(codes.tolist()), text
+    texts = ["".join(draw.choice(s) for _ in range(draw.randint(1, 60))) for s in ["abrcdz", "abcd", "солнце я", "日本語文章は漢。x", "ο λάμπήx日"] * 40]
+    texts += ["".join(draw.choice(list(samples.values()))[draw.randint(0, 9) :] for _ in range(n)) for n in (60, 200, 400)]
+    texts += ["abc" * 2000, "z" * 3000, samples["f"] * 8, "İSTANBUL ǅ 😀 ΟΔΟΣ", "x" * 1000 + "abracadabra" * 100]
+    codes = [model.encode(t) for t in texts]
+    got = model.phrases(codes)
+    for i, own in enumerate(codes):
+        assert got[i].tolist() == [longest_phrases(s, own.tolist()) for s in sources], texts[i][:40]
+
+
+def test_scripts_apart():
+    """Letters of every script count, however many there are."""
+    draw = random.Random(8)
+    alphabets = {"zh": range(0x4E00, 0x4E00 + 900), "ja": range(0x3041, 0x3090), "ru": range(0x430, 0x450), "el": range(0x3B1, 0x3C9), "en": range(97, 123)}
+    words = {k: ["".join(chr(draw.choice(a)) for _ in range(draw.randint(1, 6))) for _ in range(400)] for k, a in alphabets.items()}
+    model = langid.Model({k: " ".join(draw.choice(w) for _ in range(2000)) for k, w in words.items()})
+    texts = [" ".join(draw.choice(w) for _ in range(30)) for w in words.values() for _ in range(20)]
+    assert model.predict(texts)[0] == [k for k in words for _ in range(20)]
+
+
+def test_learning_rows(spark):
+    rows = [(i, f"text {i} " + "ab " * 20, "x") for i in range(300)] + [(1000, "same " * 30, "x")] * 50 + [(2000 + i, "long " * 40, "y") for i in range(3)] + [(None, "none", "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.sample_texts(frame, "text", "lang", "doc_id", train_docs=30, train_chars=180)
+    assert sample["y"] == "long " * 40  # no shorter one: the shortest, whole
+    whole = {t for _, t, _ in rows}
+    assert 1 <= len(sample["x"].split("\n")) <= 3 and set(sample["x"].split("\n")) <= whole and "none" not in sample["x"]
+    out = langid.predictions(frame).filter("doc_id IS NULL").collect()
+    assert [r.held_out for r in out] == [False]
 
 
 def test_language(spark, small):
