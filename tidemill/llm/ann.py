@@ -13,6 +13,10 @@ Search. A query starts from its own list, keeps the ``BEAM`` best nodes seen and
 no better ones turn up or ``HOPS`` is reached. The last step scores the pool by the original vectors in double
 precision and ranks by score, then smaller id.
 
+Equal vectors are one node of the graph, their smallest id, so that a crowd of copies neither fills lists nor hides
+what lies behind it. Queries with equal vectors are searched once. Of each of a query's ``k`` + 1 best nodes the ``k`` + 1
+smallest ids are expanded at last, which ranks copies exactly.
+
 The vectors travel to the workers as one table only while they take at most ``BROADCAST_BYTES``; beyond that every
 step joins them in by id. No graph, list or vector of all nodes comes to the driver in that case.
 
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.runtime import materialize
+from tidemill.runtime import discard, materialize
 
 K = 20
 DEGREE = 36
@@ -41,12 +45,12 @@ SETTLED = 0.01
 OFFERS = 8
 BEAM = 192
 HOPS = 6
-BROADCAST_BYTES = 256 << 20
+BROADCAST_BYTES = 64 << 20
 
 
 def valid(df: DataFrame) -> DataFrame:
     """(node, vector array<double>) of the vectors that take part."""
-    vector = F.col("embedding").cast("array<double>")
+    vector = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))  # no -0.0
     rows = df.select(F.col("vec_id").cast("long").alias("node"), vector.alias("vector")).filter(F.col("node").isNotNull() & F.col("vector").isNotNull())
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(sound & F.exists("vector", lambda x: x != 0))
@@ -190,7 +194,8 @@ def graph(nodes: DataFrame, vectors: _Vectors, count: int, rounds: int = ROUNDS)
         offers = _local_join(groups, vectors).withColumn("fresh", F.lit(True))
         merged = edges.withColumn("fresh", F.lit(False)).unionByName(offers)
         merged = merged.groupBy("node", "other").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
-        edges = materialize(_best(merged, "node", "other", DEGREE), "graph")
+        before, edges = edges, materialize(_best(merged, "node", "other", DEGREE), "graph")
+        discard(before)
         changed = edges.agg(F.avg(F.col("fresh").cast("double"))).head()[0] or 0.0
         if changed < SETTLED:
             break
@@ -209,7 +214,8 @@ def search(queries: DataFrame, edges: DataFrame, vectors: _Vectors, beam: int =
         reached = frontier.join(links, "node").select("query", F.col("other").alias("node")).filter("query != node").distinct()
         reached = reached.join(pool.select("query", "node"), ["query", "node"], "left_anti")
         scored = vectors.score(reached, "query", "node").withColumn("done", F.lit(False))
-        pool = materialize(_best(pool.withColumn("done", F.lit(True)).unionByName(scored), "query", "node", beam), "pool")
+        before, pool = pool, materialize(_best(pool.withColumn("done", F.lit(True)).unionByName(scored), "query", "node", beam), "pool")
+        discard(before)
         if pool.filter("not done").isEmpty():
             break
     return pool.select("query", "node")
@@ -221,7 +227,12 @@ def _dot(a: str, b: str) -> Column:
 
 def nearest(df: DataFrame, is_query: Column, k: int = K, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query, among all other rows."""
-    base = materialize(valid(df), "vectors")
+    rows = valid(df)
+    base = materialize(rows.groupBy("vector").agg(F.min("node").alias("node")).select("node", "vector"), "vectors")
+    own = F.xxhash64("vector"), F.hash("vector")  # to find the class of a row; the vectors themselves are compared as well
+    marked = base.select(own[0].alias("h0"), own[1].alias("h1"), F.col("node").alias("class"), F.col("vector").alias("same"))
+    members = rows.select(own[0].alias("h0"), own[1].alias("h1"), "node", "vector").join(marked, ["h0", "h1"]).filter("vector = same").select("class", "node")
+    members = materialize(members, "members")
     norm = F.sqrt(_dot("vector", "vector"))
     stats = base.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("largest"), F.max(F.size("vector")).alias("dim")).head()
     count, dim = stats["n"], (stats["dim"] or 0) + 1
@@ -237,14 +248,25 @@ def nearest(df: DataFrame, is_query: Column, k: int = K, broadcast_bytes: int =
 
     nodes = materialize(base.mapInArrow(pack, "node long, packed binary"), "packed")
     vectors = _Vectors(nodes, dim, count, broadcast_bytes)
-    asked = base.filter(is_query).select("node")
+    queries = members.filter(is_query).select(F.col("node").alias("query_id"), "class")
     edges = graph(nodes, vectors, count)
-    pool = search(asked, edges, vectors)
+    asked = queries.select(F.col("class").alias("node")).distinct()
+    reached = search(asked, edges, vectors)
+    pool = reached.unionByName(asked.select(F.col("node").alias("query"), "node"))  # its copies as well
     exact = pool.join(base.select(F.col("node").alias("query"), F.col("vector").alias("a")), "query")
     exact = exact.join(base.select("node", F.col("vector").alias("b")), "node").select("query", "node", _dot("a", "b").alias("sim"))
-    order = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
-    ranked = exact.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select(F.col("query").alias("query_id"), "rank", F.col("node").alias("vec_id"), F.col("sim").alias("score"))
+    # k + 1 nodes hold k candidates besides the query itself; ties go to the node of the smaller id
+    best = materialize(_best(exact, "query", "node", k + 1), "best")
+    discard(edges)
+    discard(reached)
+    first = Window.partitionBy("class").orderBy("node")
+    few = members.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k + 1).select("class", "node")
+    held = best.select(F.col("query").alias("asked"), F.col("node").alias("class"), "sim").join(few, "class")
+    wide = held.groupBy("asked").agg(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("far"), "node"))).alias("found"))
+    top = wide.select("asked", F.slice("found", 1, k + 1).alias("found"))  # at most (k + 1)^2 before the cut
+    out = queries.join(top, queries["class"] == top["asked"]).select("query_id", F.filter("found", lambda x: x["node"] != F.col("query_id")).alias("found"))
+    out = out.select("query_id", F.posexplode(F.slice("found", 1, k)).alias("at", "x"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.node").alias("vec_id"), (-F.col("x.far")).alias("score"))
 
 
 def listing(df: DataFrame) -> DataFrame:
