@@ -65,14 +65,15 @@ class PreTokens:
         self._library = Tokenizer.from_file(vocabulary_path(vocab))
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         special = [t.content for t in self._library.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.names = sorted(special, key=len, reverse=True)
+        self.special = regex.compile("|".join(map(regex.escape, self.names)))
 
     def length(self, piece: str) -> int:
         return len(self._library.encode(piece, add_special_tokens=False).ids)
 
     def parts(self, text: str) -> tuple[list[str], int]:
         """The stretches between special strings, and how many of these there are."""
-        if self.special is None or "<" not in text:
+        if not any(name in text for name in self.names):
             return [text], 0
         parts = self.special.split(text)
         return parts, len(parts) - 1
