@@ -3,13 +3,14 @@
 Features are indicators of word n-grams (one and two words, letters A-Z lower-cased) and of shape n-grams (one to
 three words, each word replaced by its letter case, its trailing signs and whether it repeats the word before), hashed
 into ``1 << BITS`` buckets. Each indicator is scaled by its class log-count ratio, log((p / |p|) / (q / |q|)) with one
-added to the counts, and a linear model with squared hinge loss is fitted on the scaled features by dual coordinate
+added to the counts, and a linear model with hinge loss is fitted on the scaled features by dual coordinate
 descent. A logistic curve fitted to the training margins turns a margin into a score from 0 to 1.
 
 Only the fit is bounded: about ``sample`` labelled rows, picked by a hash of the id, from the rows in training. Their
 features (not their texts) come to the driver. Scoring reads every whole text, in one map pass without a shuffle.
 
-Defined results: empty and null texts have no features and get the score of the bias alone. Without any labelled row
+Defined results: rows without an id are neither learned from nor held out; a repeated id is learned from once, by the
+text that sorts first; empty and null texts have no features and get the score of the bias alone. Without any labelled row
 the score is 0.5; with one class only it is that class's share with one added to each side. Repeated rows get repeated
 results, extra columns pass through, columns that clash with output names are replaced.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.langid import is_training
+from tidemill.llm.langid import held_out, is_training
 
 SAMPLE = 4000
 BITS = 18
@@ -107,7 +108,7 @@ class Model:
 
 
 def fit(rows: list[np.ndarray], labels: list[int], bits: int = BITS, epochs: int = EPOCHS, cost: float = COST) -> Model:
-    """Log-count ratios, then dual coordinate descent (L2-regularised, squared hinge), then the logistic curve."""
+    """Log-count ratios, then dual coordinate descent (L2-regularised hinge loss), then the logistic curve."""
     y = np.array([1.0 if v == 1 else -1.0 for v in labels])
     positive, negative = float((y > 0).sum()), float((y < 0).sum())
     width = 1 << bits
@@ -119,14 +120,13 @@ def fit(rows: list[np.ndarray], labels: list[int], bits: int = BITS, epochs: int
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     values = [ratio[r] / np.sqrt(max(1, len(r))) for r in rows]
     caps = np.where(y > 0, cost * len(y) / (2 * positive), cost * len(y) / (2 * negative))  # classes weigh the same
-    diagonal = 1 / (2 * caps)
-    norms = np.array([float(v @ v) + 1.0 for v in values]) + diagonal
+    norms = np.array([float(v @ v) + 1.0 for v in values])
     w, bias, alpha = np.zeros(width), 0.0, np.zeros(len(y))
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for i in order.permutation(len(y)):
-            gradient = y[i] * (float(w[rows[i]] @ values[i]) + bias) - 1 + diagonal[i] * alpha[i]
-            new = max(0.0, alpha[i] - gradient / norms[i])
+            gradient = y[i] * (float(w[rows[i]] @ values[i]) + bias) - 1
+            new = min(caps[i], max(0.0, alpha[i] - gradient / norms[i]))
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
                 w[rows[i]] += step * values[i]
@@ -166,6 +166,8 @@ def train(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = (
         df.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")  # at most about ``sample`` rows, whatever the corpus
+        .groupBy("doc_id", "quality")
+        .agg(F.min("text").alias("text"))  # a repeated id once
         .select("text", F.col("quality").cast("int").alias("quality"), "doc_id")
         .mapInArrow(extract, "buckets array<int>, quality int, doc_id long")
         .collect()
@@ -193,5 +195,5 @@ def predictions(df: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract columns of the query."""
     out = score(df.select("doc_id", "text"), train(df, labels))
     return out.select(
-        "doc_id", (~is_training()).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted")
+        "doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted")
     )
