@@ -7,8 +7,9 @@ dimension (its range as a share of the whole table's range), until every node is
 Points that tie on the dimension are ordered by the hash of their text.
 
 The quantile is distributed: bytes are summed by node and 16 bits of the sort key, the bin in which the quantile falls
-is looked up by a running sum over bins, and only that bin is refined by the next bits until its weight no longer
-matters. Of each node only the widths and the cut reach the driver, at most ``shards`` rows.
+is looked up by running sums over blocks of 256 bins and then inside a block, and only that bin is refined by the next
+bits until its weight no longer matters. Of each node only the widths and the cut reach the driver, at most ``shards``
+rows.
 
 A group of copies heavier than ``PIECE`` of a shard (there are at most shards / PIECE such groups, so their list may be
 broadcast) is dealt into pieces by a hash of the id. Pieces are neighbours in every order, so that such a group is
@@ -118,8 +119,14 @@ def _cuts(points: DataFrame, tree: _Tree, widths: dict[str, float], fine: float)
             inside = inside | (mine & F.col("key").between(low[n], span))
             target = F.when(mine, F.lit(wanted[n] - before[n])).otherwise(target)
         bins = keyed.filter(inside).groupBy("node", F.shiftright("key", bits).alias("bin")).agg(F.sum("bytes").alias("bytes"))
-        running = Window.partitionBy("node").orderBy("bin")
-        summed = bins.withColumn("upto", F.sum("bytes").over(running))
+        # running sums in two levels: over blocks of bins, then inside a block, so that no task sorts all bins of a node
+        bins = bins.withColumn("block", F.shiftright("bin", _Q // 2))
+        blocks = bins.groupBy("node", "block").agg(F.sum("bytes").alias("sum"))
+        before_block = Window.partitionBy("node").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.select("node", "block", F.coalesce(F.sum("sum").over(before_block), F.lit(0)).alias("behind"))
+        running = Window.partitionBy("node", "block").orderBy("bin")
+        summed = bins.withColumn("inner", F.sum("bytes").over(running)).join(F.broadcast(blocks), ["node", "block"])  # 256 rows a node at most
+        summed = summed.select("node", "bin", "bytes", (F.col("behind") + F.col("inner")).alias("upto"))
         hit = summed.filter(F.col("upto") >= target).groupBy("node").agg(F.min(F.struct("bin", "bytes", "upto")).alias("hit"))
         found = {r.node: r.hit for r in hit.collect()}
         for n in live:
@@ -184,7 +191,7 @@ def with_slots(placed: DataFrame) -> DataFrame:
     first = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32")
     numbered = rows.withColumn("at", F.row_number().over(inside) - 1)
-    return numbered.join(first, ["shard", "bucket"]).withColumn("slot", (F.col("first") + F.col("at")).cast("int")).drop("first", "at", "bucket")
+    return numbered.join(first, ["shard", "bucket"]).withColumn("slot", (F.col("first") + F.col("at")).cast("long")).drop("first", "at", "bucket")
 
 
 def shards(df: DataFrame) -> DataFrame:
