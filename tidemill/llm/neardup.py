@@ -4,31 +4,35 @@ A document's set holds its distinct shingles of five words (words: runs without
 case; a shorter text is one shingle; a text without words has an empty set and is linked with nothing). Documents are
 linked where the Jaccard similarity of their sets is at least 0.75, and a component is what links connect.
 
-1. One map pass makes each document's row: set size, a 128-bit fingerprint of the set, the keys of its bands and a bit
+1. One map pass makes each document's row: set size, a 128-bit fingerprint of the set, the keys of its bands and a
    sketch. Min-max hashing keeps the minimum and the maximum of the set under each of ``PERMUTATIONS`` hash functions,
-   two signature values for one evaluation. ``BANDS`` bands of ``ROWS`` values miss a pair at similarity 0.75 with
-   probability (1 - 0.75^3)^42 < 2e-10.
+   two signature values for one evaluation, and both uses below are made of these values only. ``BANDS`` bands of
+   ``ROWS`` values miss a pair at similarity 0.75 with probability (1 - 0.75^3)^42 < 2e-10.
 2. Equal sets form one class (a group-by with map-side combine); only its smallest id goes on, so that a group of
    copies of any size is one row from here on.
 3. Band keys held by two classes or more give buckets. Star rounds: in each bucket that still spans several components
    the members are compared with one hub of the bucket, confirmed links are merged, and the next round takes another
    hub. A bucket whose members are all connected drops out, so pairs inside a group are never listed.
 4. What then still shares a bucket across components is checked completely. Buckets of up to ``SMALL`` members are
-   joined pair by pair, with the set sizes and the sketches (256 bits, one of each of 256 min-max values) in
-   the join condition: a pair at similarity 0.75 differs in 32 bits of 256 on average and is let through up to
-   ``SKETCH_MAX`` (over 5 standard deviations). Larger buckets are dealt into blocks of bounded size; each pair of
+   joined pair by pair, with the set sizes and the sketches (three bits of each signature value) in the join condition:
+   a pair is let through while at most ``SKETCH_MAX`` of the values' bits differ, which a pair at similarity 0.75
+   exceeds with probability under ``SKETCH_MISS``; with the bands, a link is missed with probability under 3e-10.
+   Larger buckets (of those with the same members only one) are dealt into blocks of bounded size; each pair of
    blocks is one task, which multiplies the sets' incidence matrices and hands on only links that join components.
    No cap, no sampling: every pair that shares a bucket is either connected already or compared.
-5. Every link is confirmed on the full sets of both texts.
+5. Every link is confirmed on the full sets of both texts. Only texts of documents that share a bucket are kept for
+   this, and of these only those in question are read and shuffled in a round.
 6. Components come from rounds of minimum labels over the confirmed links, as joins and group-bys; nothing but counts
    reaches the driver, and each round is written to the shared folder.
 
-Defined results: repeated rows of a document id are treated as one document; null texts count as empty; ties need no
+Defined results: repeated rows of a document id are one document (with different texts under one id, of the largest
+size and the smallest component); null texts count as empty; ties need no
 rule, the smallest id of a component names it.
 """
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -47,15 +51,29 @@ PERCENT = 75
 PERMUTATIONS = 63
 ROWS = 3
 BANDS = 2 * PERMUTATIONS // ROWS
-SKETCH_PERMUTATIONS = 128
-SKETCH_MAX = 62
+SKETCH_BITS = 3
+SKETCH_MISS = 1e-10
 STAR_ROUNDS = 6
 STAR_YIELD = 5
 SMALL = 16
 BLOCK_MEMBERS = 512
 BLOCK_SHINGLES = 300_000
 
-_SCHEMA = "doc_id long, n_shingles long, fingerprint binary, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+SKETCH = [f"s{i}" for i in range(6)]  # 21 codes of three bits each
+_SCHEMA = f"doc_id long, n_shingles long, fingerprint binary, bands array<long>, {', '.join(f'{s} long' for s in SKETCH)}"
+
+
+def _sketch_max() -> int:
+    """The least number of differing codes that a pair at similarity 0.75 exceeds with probability under ``SKETCH_MISS``."""
+    n, p, tail = 2 * PERMUTATIONS, (1 - PERCENT / 100) * (1 - 2.0**-SKETCH_BITS), 0.0
+    for k in range(n, 0, -1):
+        tail += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if tail >= SKETCH_MISS:
+            return k
+    return 0
+
+
+SKETCH_MAX = _sketch_max()
 
 
 _BASE = 0x9E6C63D0876A9A47 | 1
@@ -133,12 +151,12 @@ def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
 @lru_cache(maxsize=1)
 def _hash_functions() -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(20240229)
-    n = SKETCH_PERMUTATIONS
+    n = PERMUTATIONS
     return draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
 def signature(items: np.ndarray) -> tuple[list[int], list[int]]:
-    """(keys of the bands, four words of the sketch) of a set that isn't empty."""
+    """(keys of the bands, words of the sketch) of a set that isn't empty."""
     a, b = _hash_functions()
     low = np.full(len(a), np.iinfo(np.uint64).max, dtype=np.uint64)
     high = np.zeros(len(a), dtype=np.uint64)
@@ -149,14 +167,15 @@ def signature(items: np.ndarray) -> tuple[list[int], list[int]]:
         block ^= block >> np.uint64(32)
         np.minimum(low, block.min(axis=1), out=low)
         np.maximum(high, block.max(axis=1), out=high)
-    values = np.concatenate([low[:PERMUTATIONS], high[:PERMUTATIONS]]).reshape(ROWS, BANDS)
+    both = np.concatenate([low, high])
     keys = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    for row in values:
+    for row in both.reshape(ROWS, BANDS):
         keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(29)
-    mixed = np.concatenate([low, high]) * np.uint64(0xBF58476D1CE4E5B9)
-    bits = np.packbits((mixed >> np.uint64(63)).astype(np.uint8)).view(np.int64)
-    return keys.view(np.int64), bits.tolist()
+    codes = (both * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - SKETCH_BITS)
+    places = np.arange(len(codes) // len(SKETCH), dtype=np.uint64) * np.uint64(SKETCH_BITS)
+    words = (codes.reshape(len(SKETCH), -1) << places).sum(axis=1, dtype=np.uint64)
+    return keys.view(np.int64), words.view(np.int64).tolist()
 
 
 def signatures(df: DataFrame) -> DataFrame:
@@ -178,10 +197,10 @@ def signatures(df: DataFrame) -> DataFrame:
                     else:
                         marks.append(None)
                         bands.append(None)
-                        sketch.append([None] * 4)
+                        sketch.append([None] * len(SKETCH))
                 columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-                columns += [pa.array([s[i] for s in sketch], pa.int64()) for i in range(4)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "fingerprint", "bands", "s0", "s1", "s2", "s3"])
+                columns += [pa.array([s[i] for s in sketch], pa.int64()) for i in range(len(SKETCH))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "fingerprint", "bands", *SKETCH])
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), _SCHEMA)
 
@@ -193,7 +212,7 @@ def linked(left: np.ndarray, right: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts' full sets are linked."""
+    """The pairs (a, b) whose texts' full sets are linked. Only the texts of these pairs are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: OrderedDict[int, np.ndarray] = OrderedDict()  # hubs come again and again
@@ -212,7 +231,8 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
-    texts = docs.select("doc_id", "text")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi")
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     with_both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(run), "a long, b long")
@@ -250,10 +270,12 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     classes = rows.filter("n_shingles > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "classes")
     reps = rows.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    narrow = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "s0", "s1", "s2", "s3")
+    narrow = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), *SKETCH)
     keyed = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     members = materialize(keyed.join(shared, "key"), "members")
+    docs = docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    docs = materialize(docs.dropDuplicates(["doc_id"]), "texts")
 
     links, labels, turn = None, None, 0
     while True:
@@ -282,20 +304,29 @@ def near_duplicates(df: DataFrame) -> DataFrame:
             break
         # stars go on while they merge much; the rest is settled pair by pair
         turn = turn + 1 if turn + 1 < STAR_ROUNDS and confirmed * STAR_YIELD >= pairs.count() else -1
+        discard(pairs)
+    discard(docs)
     named = rows.select("doc_id", "n_shingles", "fingerprint").join(classes, "fingerprint", "left")
     if labels is not None:
         named = named.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
         component = F.coalesce("component", "rep", "doc_id")
     else:
         component = F.coalesce("rep", "doc_id")
-    return named.select("doc_id", "n_shingles", component.alias("component_id"))
+    return named.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min(component).alias("component_id"))  # repeated ids once
 
 
 def _alike(a: str, b: str) -> F.Column:
     """Sets of these sizes and sketches can be linked."""
     sizes = (100 * F.col(f"{a}.n") >= PERCENT * F.col(f"{b}.n")) & (100 * F.col(f"{b}.n") >= PERCENT * F.col(f"{a}.n"))
-    bits = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(4)), F.lit(0))
-    return sizes & (bits <= SKETCH_MAX)
+    ones = F.lit(sum(1 << (SKETCH_BITS * i) for i in range(2 * PERMUTATIONS // len(SKETCH))))
+
+    def differing(word: str) -> F.Column:
+        x = F.col(f"{a}.{word}").bitwiseXOR(F.col(f"{b}.{word}"))
+        for step in range(1, SKETCH_BITS):
+            x = x.bitwiseOR(F.shiftrightunsigned(F.col(f"{a}.{word}").bitwiseXOR(F.col(f"{b}.{word}")), step))
+        return F.bit_count(x.bitwiseAND(ones))
+
+    return sizes & (sum(map(differing, SKETCH), F.lit(0)) <= SKETCH_MAX)
 
 
 def _star_pairs(open_rows: DataFrame, turn: int) -> DataFrame:
@@ -325,6 +356,9 @@ def _block_links(rows: DataFrame, docs: DataFrame) -> DataFrame:
     A bucket's members are dealt into blocks of bounded size; each pair of blocks is one task that multiplies the
     incidence matrices of the full sets and hands on only links that join components not yet joined in it.
     """
+    own_set = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
+    sets = rows.groupBy("key", "members", "total").agg(*own_set).groupBy("members", "total", "x0", "x1").agg(F.min("key").alias("key"))
+    rows = rows.join(sets.select("key"), "key", "left_semi")  # of buckets with the same members one
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK_MEMBERS, F.col("total") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
     dealt = rows.select("key", "node", "component", blocks.alias("blocks")).withColumn("own", own)
