@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -65,13 +66,17 @@ def register_views(spark: SparkSession, sf_dir: str, names: list[str] | None = N
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (local tests) a temporary folder is made and set.
+    Only where that is unset and the master is local (as in tests) a temporary folder is made and set; on a cluster the
+    executors couldn't read one another's files in it.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
         where = where.rsplit("/", 1)[0] if where else None
     if not where:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         where = "file://" + tempfile.mkdtemp(prefix="tidemill-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -86,16 +91,25 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+_written: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _delete_written() -> None:
+    for path, spark in _written.items():
+        _delete(spark, path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The files live until the driver exits, because lazily evaluated results still read them.
+    The files live until ``discard`` or until the driver exits, because lazily evaluated results still read them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemill/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
+    _written[path] = spark
     return spark.read.schema(schema).parquet(path)
 
 
@@ -105,3 +119,5 @@ def discard(df: DataFrame) -> None:
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/tidemill/" in name:
             _delete(spark, name)
+            for path in [p for p in _written if p.rsplit("/", 1)[-1] == name.rsplit("/", 1)[-1]]:
+                del _written[path]
