@@ -1,5 +1,7 @@
 import json
 import math
+import re
+import uuid
 
 import numpy as np
 import pytest
@@ -76,8 +78,12 @@ def test_constant_correlation(spark):
 
 def test_dashboard(spark, small):
     document = json.loads(retail.dashboard(retail.sales_fact(spark, small)).head()[0])
-    assert len(document) == 11
-    assert sum(r["n"] for r in document["ship_mode_dist"]) == document["kpi"][0]["n_rows"]
+    order = "meta kpi monthly_series by_sub_category by_market_area by_order_region discount_buckets headline tables_by_manufacturer ship_mode_dist eta_dist"
+    assert list(document) == order.split()
+    assert sum(r["n"] for r in document["ship_mode_dist"]) == document["kpi"]["n_transactions"] == document["meta"]["n_transactions"]
+    assert [r["bucket"] for r in document["discount_buckets"]] == [f"{i}-{i + 1}%" for i in range(11)]
+    totals = [r["total"] for r in document["by_sub_category"]]
+    assert totals == sorted(totals) and len(document["kpi"]["yoy_transaction_growth_pct"]) > 1
 
 
 def test_round_trip_of_split(spark):
@@ -136,13 +142,111 @@ def test_full_rank_svd(spark):
         assert np.allclose(row.v, row.approximation)
 
 
-def test_text_metrics():
+def test_text_metrics(spark):
     assert textops.lcs_length("a b c d".split(), "b x d".split()) == 2
     assert textops.rouge_l_score("a b", "a b") == 1.0
     assert textops.rouge_l_score(None, "a") == 0.0
-    assert textops.sari_score("a b c", "a b c", "a b c") == 100.0
-    assert textops.fkgl_score("") is None
-    assert textops.syllables("table") == 1 and textops.syllables("banana") == 3
+    rows = spark.createDataFrame([(1, "a b c", "a b c", "a b c"), (2, None, None, None), (3, "a b c d", "a b x", "a y x")], "id int, s string, c string, r string")
+    got = {r.id: r.sari for r in textops.sari(rows, "id", "s", "c", "r").collect()}
+    assert got[1] == 100.0 and got[2] == 100.0 and 0 < got[3] < 100
+
+
+def plain_grade(text):
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    if not words:
+        return None
+    total = 0
+    for word in words:
+        n = len(re.findall(f"[{textops.VOWELS}]+", word))
+        total += max(1, n - (word.endswith("e") and n > 1))
+    sentences = max(1, len([x for x in re.split("[.!?]+", text) if x.strip()]))
+    return round(0.39 * len(words) / sentences + 11.8 * total / len(words) - 15.59, 6)
+
+
+def test_reading_grade(spark):
+    texts = ["", None, "table", "The agreeable tree. Be free! one??two", "rhythm eee aebece 12 e", "banana  ... !", "École élève crème brûlée tse tse-tse"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", textops.fkgl(F.col("t")).alias("g")).collect()
+    assert [r.g for r in sorted(rows)] == [plain_grade(t) for t in texts]
+
+
+@pytest.mark.parametrize("name", ["taste", "price", "service"])
+def test_review_grades(spark, name):
+    columns = [c.split()[0] for c in files.REVIEWS.split(", ")]
+    rows = [tuple(i if c == "id" else g if c == name else "?" for c in columns) for i, g in enumerate([*files.GRADES[name], "nan", None])]
+    out = files.reviews(spark.createDataFrame(rows, files.REVIEWS)).orderBy("id").collect()
+    assert [r[name] for r in out] == [2, 1, 0, None, None]
+
+
+def test_response_without_tag(spark):
+    rows = spark.createDataFrame([("ask me: answer <eos> x", "ask me:"), ("plain <end_of_turn>", "other"), ("x ask y", "ask")], "g string, p string")
+    out = rows.select(clean.response(F.col("g"), F.col("p")).alias("r")).collect()
+    assert [r.r for r in out] == ["answer", "plain", "sk y"]  # as many characters as the prompt has, wherever it is
+
+
+def test_tables(spark, tmp_path):
+    name = f"t{uuid.uuid4().hex[:8]}"
+    frame = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    spark.sql(f"CREATE TABLE {name} (k int, v string) USING parquet LOCATION '{tmp_path}/{name}'")
+    sinks.insert_select(frame.select("v", "k"), name)
+    sinks.insert_values(spark, name, [(3, "c")])
+    assert sorted(spark.table(name).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    sinks.drop_tables(spark, name, name)
+    assert not spark.catalog.tableExists(name)
+    sinks.json_document(spark.createDataFrame([('{"a": "ä"}',)], "document string"), f"file://{tmp_path}/doc")
+    assert spark.read.text(f"file://{tmp_path}/doc").head()[0] == '{"a": "ä"}'
+    (tmp_path / "one.csv").write_text("a\n1\n")
+    assert files.tables(spark, f"file://{tmp_path}", {"one": "a int"})["one"].collect() == spark.sql("SELECT * FROM one").collect() == [(1,)]
+    with pytest.raises(ValueError):
+        files.require_rows(frame.limit(0))
+    assert files.require_rows(frame) is frame
+
+
+def test_jdbc(spark):
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    options = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    sinks.jdbc(spark.range(2500).select(F.col("id").alias("k")), url, "numbers", batch=1000, **options)
+    assert files.jdbc(spark, url, "numbers", **options).count() == 2500
+
+
+def test_shared_folder_is_needed_on_clusters(spark, monkeypatch):
+    from tidemill import runtime
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(Session())
+
+
+def test_only_the_optional_modules_may_be_missing(monkeypatch):
+    import builtins
+
+    import __spark_entry__ as entry
+
+    load = builtins.__import__
+
+    def missing(name):
+        def run(wanted, *rest, **more):
+            if wanted.startswith("tidemill.llm"):
+                raise ModuleNotFoundError(f"no {name}", name=name)
+            return load(wanted, *rest, **more)
+
+        return run
+
+    monkeypatch.setattr(builtins, "__import__", missing("tidemill.llm"))
+    assert not any(n.startswith("op") and n[2].isdigit() for n in entry.queries())
+    monkeypatch.setattr(builtins, "__import__", missing("xxhash"))
+    with pytest.raises(ModuleNotFoundError):
+        entry.queries()
 
 
 def test_html():

@@ -62,6 +62,29 @@ def min_max(c: Column, low: Column, high: Column) -> Column:
     return (c - low) / F.nullif(high - low, F.lit(0.0))
 
 
+def from_min_max(c: Column, low: Column, high: Column) -> Column:
+    """The inverse of ``min_max``."""
+    return c * (high - low) + low
+
+
+def softmax(values: Column) -> Column:
+    """Softmax of an array, shifted by its largest value."""
+    powers = F.transform(values, lambda x: F.exp(x - F.array_max(values)))
+    return F.get(F.transform(F.array(powers), lambda p: F.transform(p, lambda x: x / F.aggregate(p, F.lit(0.0), lambda s, y: s + y))), F.lit(0))
+
+
+def nan_to_null(c: Column) -> Column:
+    return F.nanvl(c, F.lit(None).cast("double"))
+
+
+def not_blank(*columns: Column) -> Column:
+    """No column is null or made of white space only."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.coalesce(F.length(F.trim(F.regexp_replace(c, "\\s+", " "))) > 0, F.lit(False))
+    return out
+
+
 def clamp01(c: Column) -> Column:
     return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
 
@@ -81,12 +104,12 @@ def prompt(original: Column, simplified: Column) -> Column:
     return F.when(original.isNotNull() & simplified.isNotNull(), text)
 
 
-def response(generated: Column, question: Column, tag: str = "<start_of_turn>model\n") -> Column:
-    """The answer in a generated text: behind the last model tag, else without the question, else all of it; cut at the
-    first end mark and stripped."""
+def response(generated: Column, asked: Column, tag: str = "<start_of_turn>model\n") -> Column:
+    """The answer in a generated text: behind the last model tag, else (where the text holds the prompt ``asked``) without
+    as many leading characters as the prompt has, else all of it; cut at the first end mark and stripped."""
     tail = (
         F.when(generated.contains(tag), F.substring_index(generated, tag, -1))
-        .when(generated.contains(question), F.replace(generated, question, F.lit("")))
+        .when(generated.contains(asked), F.substring(generated, F.length(asked) + 1, F.length(generated)))
         .otherwise(generated)
     )
     ends = [F.nullif(F.locate(mark, tail), F.lit(0)) for mark in ("<eos>", "<end_of_turn>")]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.clean import dot
+from tidemill.operators.positions import label_encode
 from tidemill.runtime import table
 
 
@@ -43,7 +44,8 @@ def known_pairs(test: DataFrame, train: DataFrame) -> DataFrame:
 
 def cosine(ui: DataFrame, entity: str, by: str, support: int = 1) -> DataFrame:
     """Cosine of two entities, missing counting as 0, for pairs that share at least ``support``: (a, b, shared, sim).
-    Pairs that share nothing have 0 and no row; a higher support leaves out pairs of other than 0."""
+    Pairs that share nothing have 0 and no row; a higher support leaves out pairs of other than 0. Products combine on
+    the map side; a hot key of ``by`` is one that adaptive execution splits."""
     norms = ui.groupBy(entity).agg(F.sqrt(F.sum(F.col("rating") * F.col("rating"))).alias("norm"))
     left = ui.select(F.col(by), F.col(entity).alias("a"), F.col("rating").alias("ra"))
     right = ui.select(F.col(by), F.col(entity).alias("b"), F.col("rating").alias("rb"))
@@ -94,35 +96,111 @@ def top_k(df: DataFrame, k: int, score: str = "pred") -> DataFrame:
     return df.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
 
-def ranking_metrics(predictions: DataFrame, k: int = 3, scale: float = 50.0) -> DataFrame:
-    """precision@k, recall@k, hit rate@k and NDCG@k, averaged over users, from (user, item, actual, pred), in one pass
-    over each user's rows. Relevant are all of the user's test items."""
+def ranking_metrics(predictions: DataFrame, k: int = 3, scale: float = 50.0, test: DataFrame | None = None) -> DataFrame:
+    """precision@k, recall@k, hit rate@k and NDCG@k, averaged over the users with predictions, in one pass over each
+    user's rows. Relevant are all of the user's rows in ``test`` (user, item, rating), predicted or not; without ``test``
+    those of (user, item, actual, pred). A user without gain counts 0 in NDCG."""
+    if test is not None:
+        held = test.select("user", "item", F.col("rating").alias("actual"))
+        held = held.join(predictions.select("user").distinct(), "user", "left_semi")
+        predictions = predictions.select("user", "item", "pred").join(held, ["user", "item"], "full")
     user = Window.partitionBy("user")
-    gain = F.pow(F.lit(2.0), F.col("actual") / scale) - 1
-    ranked = predictions.select(
-        "user",
-        gain.alias("gain"),
-        F.row_number().over(user.orderBy(F.desc("pred"), "item")).alias("p"),
-        F.row_number().over(user.orderBy(F.desc("actual"), "item")).alias("a"),
-    )
+    gain = F.coalesce(F.pow(F.lit(2.0), F.col("actual") / scale) - 1, F.lit(0.0))
+
+    def place(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.row_number().over(user.orderBy(F.desc_nulls_last(c), "item")))
+
+    ranked = predictions.select("user", gain.alias("gain"), F.col("actual").isNotNull().alias("held"), place("pred").alias("p"), place("actual").alias("a"))
+    top = (F.col("p") <= k) & F.col("held")
+
     def discounted(c: str) -> Column:
         return F.sum(F.when(F.col(c) <= k, F.col("gain") / F.log2(F.col(c) + 1.0)).otherwise(0.0))
 
     users = ranked.groupBy("user").agg(
-        F.sum(F.when(F.col("p") <= k, 1.0).otherwise(0.0)).alias("hits"),
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when((F.col("p") <= k) & (F.col("a") <= k), 1.0).otherwise(0.0)).alias("both"),
+        F.sum(F.when(top, 1.0).otherwise(0.0)).alias("hits"),
+        F.count(F.when(F.col("held"), 1)).alias("n"),
+        F.sum(F.when(top & (F.col("a") <= k), 1.0).otherwise(0.0)).alias("both"),
         discounted("p").alias("dcg"),
         discounted("a").alias("ideal"),
     )
     return users.agg(
         F.round(F.avg(F.col("hits") / k), 6).alias("precision_at_k"),
-        F.round(F.avg(F.col("hits") / F.col("n")), 6).alias("recall_at_k"),
+        F.round(F.avg(F.coalesce(F.col("hits") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))), 6).alias("recall_at_k"),
         F.round(F.avg(F.col("both") / k), 6).alias("hit_rate_at_k"),
-        F.round(F.avg(F.col("dcg") / F.nullif(F.col("ideal"), F.lit(0.0))), 6).alias("ndcg_at_k"),
+        F.round(F.avg(F.coalesce(F.col("dcg") / F.nullif(F.col("ideal"), F.lit(0.0)), F.lit(0.0))), 6).alias("ndcg_at_k"),
     )
 
 
+def threshold_recall(predictions: DataFrame, k: int, least: float) -> DataFrame:
+    """Recall@k among the rows rated at least so much: of a user's k best by rating, the share also in the k best by
+    prediction, over k, averaged over all users with predictions."""
+    user = Window.partitionBy("user")
+    good = F.col("actual") >= least
+
+    def place(c: str) -> Column:
+        return F.when(good, F.row_number().over(user.orderBy(F.desc_nulls_last(F.when(good, F.col(c))), "item")))
+
+    ranked = predictions.select("user", place("pred").alias("p"), place("actual").alias("a"))
+    hits = F.sum(F.when((F.col("p") <= k) & (F.col("a") <= k), 1.0).otherwise(0.0)) / k
+    return ranked.groupBy("user").agg(hits.alias("recall")).agg(F.round(F.avg("recall"), 6).alias("recall_at_k"))
+
+
+def ndcg_vector(predictions: DataFrame, k: int, scale: float = 50.0) -> DataFrame:
+    """(user, ndcg): NDCG of each user's vectors of ratings and scores, on arrays; fewer than k rows are all used, a user
+    without gain has 0."""
+    gains = F.struct((-F.col("pred")).alias("by"), "item", (F.pow(F.lit(2.0), F.col("actual") / scale) - 1).alias("gain"))
+    users = predictions.groupBy("user").agg(F.transform(F.array_sort(F.collect_list(gains)), lambda x: x["gain"]).alias("gains"))
+
+    def dcg(values: Column) -> Column:
+        return F.aggregate(F.transform(F.slice(values, 1, k), lambda g, i: g / F.log2(i + 2.0)), F.lit(0.0), lambda s, x: s + x)
+
+    ideal = dcg(F.sort_array("gains", asc=False))
+    return users.select("user", F.round(F.coalesce(dcg(F.col("gains")) / F.nullif(ideal, F.lit(0.0)), F.lit(0.0)), 6).alias("ndcg"))
+
+
+def user_hits(predictions: DataFrame, user: int, k: int, least: float | None = None) -> DataFrame:
+    """(hits, share): of one user's k best rows by rating, how many are among the k best by prediction."""
+    own = predictions.filter(F.col("user") == user)
+    own = own if least is None else own.filter(F.col("actual") >= least)
+    best = own.orderBy(F.desc("actual"), "item").limit(k).select("item")
+    found = own.orderBy(F.desc("pred"), "item").limit(k).select("item").join(best, "item", "left_semi")
+    return found.agg(F.count(F.lit(1)).alias("hits"), F.round(F.count(F.lit(1)) / k, 6).alias("share"))
+
+
+def top_p(predictions: DataFrame, p: int, user: int | str, names: DataFrame) -> DataFrame:
+    """One user's p best items by prediction, with the user's name. The user is given by id, or by name as text;
+    ``names`` has (user, name)."""
+    wanted = names.filter(F.col("name" if isinstance(user, str) else "user") == user).select("user", "name")
+    rows = predictions.join(F.broadcast(wanted), "user")  # one user
+    return rows.orderBy(F.desc("pred"), "item").limit(p).select("name", "item", "pred", "actual")
+
+
+def candidates(users: DataFrame, items: DataFrame, train: DataFrame) -> DataFrame:
+    """(user, item): every item that the user doesn't have in training, for the given users only (a batch of a size the
+    caller answers for, as each meets the whole item table)."""
+    seen = train.join(users, "user", "left_semi").select("user", "item")
+    return users.select("user").crossJoin(items.select("item")).join(seen, ["user", "item"], "left_anti")
+
+
+def neighbour_candidates(ui: DataFrame, sims: DataFrame, k: int, n: int) -> DataFrame:
+    """(user, item, score, rank): from each user's ``k`` most similar users the items that the user lacks, scored by the
+    sum of similarity times rating over the sum of similarity of those who have it; the ``n`` best."""
+    near = top_k(_both_ways(sims).select(F.col("a").alias("user"), F.col("b").alias("item"), F.col("sim").alias("pred")), k)
+    near = near.select("user", F.col("item").alias("other"), F.col("pred").alias("sim"))
+    held = ui.select(F.col("user").alias("other"), "item", "rating")
+    scored = near.join(held, "other").groupBy("user", "item")
+    scored = scored.agg((F.sum(F.col("sim") * F.col("rating")) / F.nullif(F.sum("sim"), F.lit(0.0))).alias("score"))
+    fresh = scored.join(ui.select("user", "item"), ["user", "item"], "left_anti").withColumn("score", F.round("score", 6))
+    return top_k(fresh, n, "score")
+
+
+def decompose(vector: Column, bias: float, linear: list[float], factors: list[list[float]]) -> list[Column]:
+    """A factorisation machine's prediction by its parts: global bias, linear term, quadratic term and their sum."""
+    weights = F.array(*[F.lit(float(x)) for x in linear])
+    first, second = dot(vector, weights), fm_term(vector, factors)
+    return [F.lit(bias).alias("global_bias"), F.round(first, 5).alias("linear_term"), F.round(second, 5).alias("quadratic_term"), F.round(F.lit(bias) + first + second, 5).alias("pred")]
+
+
 def above_mean_metrics(predictions: DataFrame, k: int = 3) -> DataFrame:
     """precision@k and recall@k where only items above the user's mean rating are relevant."""
     user = Window.partitionBy("user")
@@ -138,19 +216,22 @@ def rmse(predictions: DataFrame, *by: str) -> DataFrame:
     return predictions.groupBy(*by).agg(F.round(F.sqrt(F.avg(error * error)), 6).alias("rmse"))
 
 
-def als(train: DataFrame, rank: int = 10, reg: float = 0.02, iterations: int = 5, seed: int = 42):
-    """Alternating least squares on the residuals of the bias baseline: the distributed factorisation."""
-    from pyspark.ml.recommendation import ALS
+def _coded(df: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    """``df`` with dense codes ``u`` and ``i``: the factorisation takes 32-bit ids only."""
+    return df.join(users, "user").join(items, "item")
 
-    rows = bias_baseline(train, train).select(F.col("user").cast("int"), F.col("item").cast("int"), (F.col("actual") - F.col("pred")).cast("float").alias("residual"))
-    return ALS(rank=rank, regParam=reg, maxIter=iterations, userCol="user", itemCol="item", ratingCol="residual", seed=seed, coldStartStrategy="drop").fit(rows)
 
+def als_predict(train: DataFrame, test: DataFrame, rank: int = 10, reg: float = 0.02, iterations: int = 5, seed: int = 42) -> DataFrame:
+    """(user, item, actual, pred) of the test pairs whose user and item are known: alternating least squares on the
+    residuals of the bias baseline, the distributed factorisation."""
+    from pyspark.ml.recommendation import ALS
 
-def als_predict(train: DataFrame, test: DataFrame, **options) -> DataFrame:
-    """(user, item, actual, pred) of the test pairs whose user and item are known."""
-    base = bias_baseline(train, test).select(F.col("user").cast("int"), F.col("item").cast("int"), "actual", F.col("pred").alias("base"))
-    out = als(train, **options).transform(base)
-    return out.select(F.col("user").cast("bigint"), F.col("item").cast("bigint"), "actual", (F.col("base") + F.col("prediction")).alias("pred"))
+    users = label_encode(train, "user", "u").withColumn("u", F.col("u").cast("int"))
+    items = label_encode(train, "item", "i").withColumn("i", F.col("i").cast("int"))
+    rows = bias_baseline(train, train).select("user", "item", (F.col("actual") - F.col("pred")).cast("float").alias("residual"))
+    model = ALS(rank=rank, regParam=reg, maxIter=iterations, userCol="u", itemCol="i", ratingCol="residual", seed=seed, coldStartStrategy="drop")
+    out = model.fit(_coded(rows, users, items)).transform(_coded(bias_baseline(train, test), users, items))
+    return out.select("user", "item", "actual", (F.col("pred") + F.col("prediction")).alias("pred"))
 
 
 def sgd(rows: list[tuple[int, int, float]], k: int = 10, rate: float = 0.001, reg: float = 0.02, epochs: int = 50, seed: int = 42) -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.runtime import table
+from tidemill.runtime import materialize, table
 
 
 def sales_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,28 +124,75 @@ def correlation(fact: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def dashboard(fact: DataFrame) -> DataFrame:
-    """All sections as one JSON document: one row, column ``document``. Sections hold bounded numbers of groups."""
-
-    def section(df: DataFrame, name: str, *order: str) -> DataFrame:
-        rows = F.array_sort(F.collect_list(F.struct(*order, *[c for c in df.columns if c not in order])))
-        return df.agg(rows.alias(name))
-
-    one = section(kpi(fact), "kpi", "n_rows")
+    """All sections as one JSON document: one row, column ``document``. Sections hold bounded numbers of groups; the fact
+    is joined once and read again by each of them."""
+    columns = ["p_brand", "r_name", "n_name", "p_name", "l_returnflag", "discount", "sales", "profit", "order_date", "ship_date"]
+    fact = materialize(fact.select(*columns), "fact")
+
+    def section(df: DataFrame, name: str, order: list[Column | str]) -> DataFrame:
+        rows = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("at"), F.struct(*df.columns).alias("row"))))
+        return df.agg(F.transform(rows, lambda x: x["row"]).alias(name))
+
+    growth = section(yoy_growth(fact).select("year", "growth"), "growth", ["year"])
+    one = kpi(fact).join(F.broadcast(correlation(fact, "discount", "profit"))).join(F.broadcast(growth)).join(F.broadcast(headline(fact).select(F.struct("*").alias("headline"))))
+    numbers = F.struct(
+        F.col("total_sales"), F.col("total_profit"), F.col("margin").alias("margin_pct"), F.col("avg_discount").alias("avg_discount_pct"),
+        F.col("n_rows").alias("n_transactions"), F.col("growth").alias("yoy_transaction_growth_pct"), F.col("r").alias("discount_profit_correlation"),
+    )
+    one = one.select(F.struct(F.col("n_rows").alias("n_transactions")).alias("meta"), numbers.alias("kpi"), "headline")
     parts = [
-        section(yoy_growth(fact), "growth", "year"),
-        section(monthly(fact), "monthly_series", "month"),
-        section(split_by(fact, "p_brand"), "by_sub_category", "total", "key"),
-        section(split_by(fact, "r_name"), "by_market_area", "total", "key"),
-        section(split_by(fact, "n_name"), "by_order_region", "total", "key"),
-        section(discount_buckets(fact), "discount_buckets", "bucket"),
-        section(headline(fact), "headline", "txn_share"),
-        section(distribution(fact, "l_returnflag", "mode"), "ship_mode_dist", "n"),
-        section(distribution(fact, eta_bucket(), "eta"), "eta_dist", "eta"),
-        section(correlation(fact, "discount", "profit"), "correlation", "r"),
+        section(monthly(fact), "monthly_series", ["month"]),
+        section(split_by(fact, "p_brand"), "by_sub_category", ["total", "key"]),
+        section(split_by(fact, "r_name"), "by_market_area", ["total", "key"]),
+        section(split_by(fact, "n_name"), "by_order_region", ["total", "key"]),
+        section(discount_buckets(fact), "discount_buckets", [F.split_part("bucket", F.lit("-"), F.lit(1)).cast("int")]),
+        section(prefix_profit(fact, F.col("p_brand") == "Brand#11"), "tables_by_manufacturer", ["profit", "maker"]),
+        section(distribution(fact, "l_returnflag", "mode"), "ship_mode_dist", [-F.col("n"), F.col("mode")]),
+        section(distribution(fact, eta_bucket(), "eta"), "eta_dist", ["eta"]),
     ]
     for part in parts:
         one = one.join(F.broadcast(part))  # one row each
-    return one.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("document"))
+    order = ["meta", "kpi", "monthly_series", "by_sub_category", "by_market_area", "by_order_region", "discount_buckets", "headline"]
+    order += ["tables_by_manufacturer", "ship_mode_dist", "eta_dist"]
+    return one.select(F.to_json(F.struct(*order), {"pretty": "true"}).alias("document"))
+
+
+#: What ``dashboard_rows`` reads of the document: section, key and the numbers of its rows.
+DASHBOARD = """STRUCT<meta: STRUCT<n_transactions: BIGINT>, kpi: STRUCT<total_sales: DOUBLE, total_profit: DOUBLE, margin_pct: DOUBLE,
+  avg_discount_pct: DOUBLE, n_transactions: BIGINT, yoy_transaction_growth_pct: ARRAY<STRUCT<year: BIGINT, growth: DOUBLE>>,
+  discount_profit_correlation: DOUBLE>, headline: STRUCT<txn_share: DOUBLE, gain_share: DOUBLE, loss_share: DOUBLE>,
+  monthly_series: ARRAY<STRUCT<month: STRING, sales: DOUBLE, profit: DOUBLE, n: BIGINT>>,
+  by_sub_category: ARRAY<STRUCT<key: STRING, total: DOUBLE, loss: DOUBLE, gain: DOUBLE>>,
+  by_market_area: ARRAY<STRUCT<key: STRING, total: DOUBLE, loss: DOUBLE, gain: DOUBLE>>,
+  by_order_region: ARRAY<STRUCT<key: STRING, total: DOUBLE, loss: DOUBLE, gain: DOUBLE>>,
+  discount_buckets: ARRAY<STRUCT<bucket: STRING, n: BIGINT, loss: DOUBLE, gain: DOUBLE>>,
+  tables_by_manufacturer: ARRAY<STRUCT<maker: STRING, profit: DOUBLE>>, ship_mode_dist: ARRAY<STRUCT<mode: STRING, n: BIGINT>>,
+  eta_dist: ARRAY<STRUCT<eta: BIGINT, n: BIGINT>>>"""
+
+
+def dashboard_rows(document: DataFrame) -> DataFrame:
+    """(section, key, a, b, c): the numbers of a dashboard document, read back from its text."""
+    read = document.select(F.from_json("document", DASHBOARD).alias("d"))
+    none = F.lit(None).cast("double")
+
+    def row(section: str, key: Column, *numbers: Column) -> Column:
+        values = [x.cast("double") for x in numbers] + [none] * (3 - len(numbers))
+        return F.struct(F.lit(section).alias("section"), key.cast("string").alias("key"), *[v.alias(n) for v, n in zip(values, "abc", strict=True)])
+
+    def rows(section: str, key: str, *numbers: str) -> Column:
+        return F.transform(F.col(f"d.{section}"), lambda x: row(section, x[key], *[x[n] for n in numbers]))
+
+    kpi_names = ["total_sales", "total_profit", "margin_pct", "avg_discount_pct", "n_transactions", "discount_profit_correlation"]
+    single = F.array(row("meta", F.lit("n_transactions"), F.col("d.meta.n_transactions")), *[row("kpi", F.lit(n), F.col(f"d.kpi.{n}")) for n in kpi_names],
+        *[row("headline", F.lit(n), F.col(f"d.headline.{n}")) for n in ("txn_share", "gain_share", "loss_share")])
+    growth = F.transform(F.col("d.kpi.yoy_transaction_growth_pct"), lambda x: row("growth", x["year"], x["growth"]))
+    every = F.concat(
+        single, growth, rows("monthly_series", "month", "sales", "profit", "n"), rows("by_sub_category", "key", "total", "loss", "gain"),
+        rows("by_market_area", "key", "total", "loss", "gain"), rows("by_order_region", "key", "total", "loss", "gain"),
+        rows("discount_buckets", "bucket", "n", "loss", "gain"), rows("tables_by_manufacturer", "maker", "profit"),
+        rows("ship_mode_dist", "mode", "n"), rows("eta_dist", "eta", "n"),
+    )
+    return read.select(F.explode(every).alias("x")).select("x.*")
 
 
 def eta_bucket(days: int = 365) -> Column:

@@ -35,15 +35,25 @@ def vocabulary(df: DataFrame, text: str, size: int) -> DataFrame:
     return best.withColumn("id", (F.row_number().over(Window.orderBy(F.desc("n"), "token")) + 1).cast("bigint"))  # ``size`` rows
 
 
-def encode(df: DataFrame, key: str, text: str, vocab: DataFrame, length: int) -> DataFrame:
-    """(key, seq, n): token ids, cut or padded to a length, and the number of tokens. The vocabulary has a fixed size
-    and is broadcast as one map."""
+def encode(df: DataFrame, key: str, text: str, vocab: DataFrame, length: int, buckets: int = 256) -> DataFrame:
+    """(key, seq, n): token ids, cut or padded to a length, and the number of tokens. Only tokens that stay are looked up.
+    The vocabulary has a fixed size and is broadcast as one row, its tokens by hash bucket (maps are searched linearly)."""
     from tidemill.functions.clean import pad
 
-    table = vocab.agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("ids"))
+    def bucket(token: Column) -> Column:
+        return F.pmod(F.hash(token), F.lit(buckets))
+
+    held = vocab.groupBy(bucket(F.col("token")).alias("b")).agg(F.collect_list(F.struct("token", "id")).alias("held"))
+    every = df.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(held, "b", "left")
+    table = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "held"))), lambda x: x["held"]).alias("table"))
     rows = df.select(key, tokens(F.col(text)).alias("words")).join(F.broadcast(table))
-    ids = F.transform("words", lambda w: F.coalesce(F.try_element_at("ids", w), F.lit(UNK).cast("bigint")))
-    return rows.select(key, pad(ids, length).alias("seq"), F.size("words").cast("bigint").alias("n"))
+
+    def code(word: Column) -> Column:
+        found = F.filter(F.get("table", bucket(word)), lambda x: x["token"] == word)
+        return F.coalesce(F.get(found, F.lit(0))["id"], F.lit(UNK).cast("bigint"))
+
+    rows = rows.select(key, F.slice("words", 1, length).alias("first"), F.size("words").cast("bigint").alias("n"), "table")
+    return rows.select(key, pad(F.transform("first", code), length).alias("seq"), "n")
 
 
 def unk_ratio(encoded: DataFrame) -> DataFrame:
@@ -65,20 +75,32 @@ def ngrams(c: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(c, i, n), " "))
 
 
+def _grams(pairs: DataFrame, key: str, candidate: str, reference: str, n: int) -> DataFrame:
+    """(key, gram, c, r): how often each n-gram occurs on either side. Counts combine on the map side."""
+
+    def side(column: str, c: int, r: int) -> Column:
+        words = tokens(F.col(column))
+        return F.transform(words if n == 1 else ngrams(words, n), lambda g: F.struct(g.alias("gram"), F.lit(c).alias("c"), F.lit(r).alias("r")))
+
+    rows = pairs.select(key, F.explode(F.concat(side(candidate, 1, 0), side(reference, 0, 1))).alias("x")).select(key, "x.*")
+    return rows.groupBy(key, "gram").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
+
+
+def _totals() -> list[Column]:
+    return [F.sum("c").alias("cand"), F.sum("r").alias("ref"), F.sum(F.least("c", "r")).alias("hits")]
+
+
 def overlap(pairs: DataFrame, key: str, candidate: str, reference: str, n: int) -> DataFrame:
     """(key, cand, ref, hits): n-gram counts of both sides and the clipped overlap."""
-    sides = []
-    for name, column in (("c", candidate), ("r", reference)):
-        sides.append(pairs.select(key, F.explode(ngrams(tokens(F.col(column)), n)).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias(name)))
-    both = sides[0].join(sides[1], [key, "gram"], "full").fillna(0, ["c", "r"])
-    return both.groupBy(key).agg(F.sum("c").alias("cand"), F.sum("r").alias("ref"), F.sum(F.least("c", "r")).alias("hits"))
+    return _grams(pairs, key, candidate, reference, n).groupBy(key).agg(*_totals())
 
 
-def bleu1(pairs: DataFrame, key: str, candidate: str, reference: str) -> DataFrame:
-    """Corpus BLEU with unigrams: clipped precision times brevity penalty."""
-    total = overlap(pairs, key, candidate, reference, 1).agg(F.sum("cand").alias("c"), F.sum("ref").alias("r"), F.sum("hits").alias("h"))
-    brevity = F.when(F.col("c") >= F.col("r"), 1.0).otherwise(F.exp(1 - F.col("r") / F.nullif(F.col("c"), F.lit(0))))
-    return total.select(F.round(brevity * F.col("h") / F.nullif(F.col("c"), F.lit(0)), 6).alias("bleu1"))
+def bleu1(pairs: DataFrame, key: str, candidate: str, reference: str, smooth: float | None = None) -> DataFrame:
+    """Corpus BLEU with unigrams: clipped precision times brevity penalty. ``smooth`` stands for no hits at all."""
+    total = _grams(pairs, key, candidate, reference, 1).agg(*_totals())
+    hits = F.col("hits") if smooth is None else F.when(F.col("hits") == 0, F.lit(smooth)).otherwise(F.col("hits"))
+    brevity = F.when(F.col("cand") >= F.col("ref"), 1.0).otherwise(F.exp(1 - F.col("ref") / F.nullif(F.col("cand"), F.lit(0))))
+    return total.select(F.round(brevity * hits / F.nullif(F.col("cand"), F.lit(0)), 6).alias("bleu1"))
 
 
 def rouge_n(pairs: DataFrame, key: str, candidate: str, reference: str, n: int) -> DataFrame:
@@ -118,39 +140,51 @@ def rouge_l_score(candidate: str | None, reference: str | None) -> float:
     return 2 * common / (len(a) + len(b)) if common else 0.0
 
 
-def sari_score(source: str | None, candidate: str | None, reference: str | None) -> float:
-    """Mean over n = 1..4 of F1 for kept and added n-grams and precision for deleted ones, in percent."""
-    total = 0.0
-    for n in range(1, 5):
-        s, c, r = ({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in map(_split, (source, candidate, reference)))
+VOWELS = "aeiouyáàâäéèêëíìîïóòôöúùûü"
+
+
+def fkgl(c: Column) -> Column:
+    """Flesch-Kincaid grade; null without words. A word has as many syllables as groups of vowels, a final silent e not
+    counted, one at least; all counts are counts of matches."""
+    text = F.lower(F.coalesce(c, F.lit("")))
+    letter, other = "[\\p{L}\\p{N}]", f"[\\p{{L}}\\p{{N}}&&[^{VOWELS}]]"
+
+    def count(pattern: str) -> Column:
+        return F.regexp_count(text, F.lit(pattern))
+
+    n = count(f"{letter}+")
+    silent = count(f"[{VOWELS}]{other}+[{VOWELS}]*(?<=e)(?!{letter})")
+    syllables = count(f"[{VOWELS}]+") + count(f"(?<!{letter}){other}++(?!{letter})") - silent
+    sentences = F.greatest(F.lit(1), count("[^.!?\\s][^.!?]*"))
+    return F.when(n > 0, F.round(0.39 * n / sentences + 11.8 * syllables / n - 15.59, 6))
 
-        def f1(good: int, made: int, wanted: int) -> float:
-            if not made and not wanted:
-                return 1.0
-            p, q = (good / made if made else 0.0), (good / wanted if wanted else 0.0)
-            return 2 * p * q / (p + q) if p + q else 0.0
 
-        keep = f1(len(s & c & r), len(s & c), len(s & r))
-        add = f1(len((c & r) - s), len(c - s), len(r - s))
-        gone, fine = len(s - c), len((s - c) - r)
-        delete = fine / gone if gone else float(not (s - r))
-        total += (keep + add + delete) / 3
-    return 100 * total / 4
+def sari(df: DataFrame, key: str, source: str, candidate: str, reference: str) -> DataFrame:
+    """(key, sari): mean over n = 1..4 of F1 for kept and added n-grams and precision for deleted ones, in percent, over
+    sets of n-grams."""
 
+    def f1(good: Column, made: Column, wanted: Column) -> Column:
+        p = F.coalesce(good / F.nullif(made, F.lit(0)), F.lit(0.0))
+        q = F.coalesce(good / F.nullif(wanted, F.lit(0)), F.lit(0.0))
+        return F.when((made == 0) & (wanted == 0), 1.0).otherwise(F.coalesce(2 * p * q / F.nullif(p + q, F.lit(0.0)), F.lit(0.0)))
 
-def syllables(word: str) -> int:
-    """Groups of vowels, a final silent e not counted, one at least."""
-    n = len(re.findall(r"[aeiouyáàâäéèêëíìîïóòôöúùûü]+", word))
-    return max(1, n - (word.endswith("e") and n > 1))
+    def both(a: str, b: str) -> Column:
+        return F.array_intersect(a, b)
 
+    def without(a: str, b: str) -> Column:
+        return F.array_except(a, b)
 
-def fkgl_score(text: str | None) -> float | None:
-    """Flesch-Kincaid grade; null without words."""
-    found = _split(text)
-    if not found:
-        return None
-    sentences = max(1, len([s for s in re.split(r"[.!?]+", text or "") if s.strip()]))
-    return 0.39 * len(found) / sentences + 11.8 * sum(map(syllables, found)) / len(found) - 15.59
+    words = df.select(key, *[tokens(F.col(c)).alias(name) for name, c in (("ws", source), ("wc", candidate), ("wr", reference))])
+    total = F.lit(0.0)
+    for n in range(1, 5):
+        words = words.withColumns({f"{x}{n}": F.array_distinct(ngrams(F.col(f"w{x}"), n)) for x in "scr"})
+        s, c, r = (f"{x}{n}" for x in "scr")
+        keep = f1(F.size(F.array_intersect(both(s, c), r)), F.size(both(s, c)), F.size(both(s, r)))
+        add = f1(F.size(F.array_except(both(c, r), s)), F.size(without(c, s)), F.size(without(r, s)))
+        gone = F.size(without(s, c))
+        delete = F.when(gone > 0, F.size(F.array_except(without(s, c), r)) / gone).otherwise(F.when(F.size(without(s, r)) == 0, 1.0).otherwise(0.0))
+        total = total + (keep + add + delete) / 3
+    return words.select(key, F.round(100 * total / 4, 6).alias("sari"))
 
 
 def scored(df: DataFrame, key: str, name: str, function, *columns: str) -> DataFrame:
@@ -204,6 +238,34 @@ def select_html(html: str | None, tag: str, class_name: str | None = None) -> li
     return reader.out
 
 
+def counted(df: DataFrame, key: str, html: str, tag: str, name: str) -> DataFrame:
+    """(key, name): the number of elements with a tag, closed or not."""
+    from html.parser import HTMLParser
+
+    class Counter(HTMLParser):
+        found = 0
+
+        def handle_starttag(self, name, attrs):
+            self.found += name == tag
+
+    def count(text: str | None) -> int:
+        reader = Counter()
+        reader.feed(text or "")
+        return reader.found
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({key: batch[key], name: [count(t) for t in batch[html]]})
+
+    return df.select(key, html).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, {name} long")
+
+
+def assembled(df: DataFrame, key: str, original: str, generated: str, human: str | None = None) -> DataFrame:
+    """The output table: original, human text if the table has one, generated text."""
+    columns = [key, original, *([human] if human and human in df.columns else []), generated]
+    return df.select(*columns)
+
+
 def mask(c: Column) -> Column:
     """E-mail addresses and phone-like digit groups masked."""
     return F.regexp_replace(F.regexp_replace(c, "[\\w.+-]+@[\\w-]+\\.[\\w.]+", "[EMAIL]"), "\\+?\\d[\\d ()-]{7,}\\d", "[PHONE]")

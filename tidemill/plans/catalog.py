@@ -118,6 +118,41 @@ def dashboard_json(spark, sf_dir):
     return retail.dashboard(retail.sales_fact(spark, sf_dir))
 
 
+def _section(name: str, key: str, numbers: str, source: str) -> str:
+    padded = (numbers.split(", ") + ["NULL", "NULL"])[:3]
+    columns = ", ".join(f"CAST({x} AS DOUBLE) AS {n}" for x, n in zip(padded, "abc", strict=True))
+    return f"SELECT '{name}' AS section, CAST({key} AS VARCHAR) AS key, {columns} FROM ({source})"
+
+
+def _inner(name: str) -> str:
+    """The SQL of a query without the common part."""
+    return ORACLES[name].removeprefix(FACT.strip()).strip()
+
+
+def _dashboard_sql() -> str:
+    single = [_section("meta", "'n_transactions'", "n_rows", _inner("kpi_summary"))]
+    for name, column in (("total_sales",) * 2, ("total_profit",) * 2, ("margin_pct", "margin"), ("avg_discount_pct", "avg_discount"), ("n_transactions", "n_rows")):
+        single.append(_section("kpi", f"'{name}'", column, _inner("kpi_summary")))
+    single.append(_section("kpi", "'discount_profit_correlation'", "r", _inner("discount_profit_corr")))
+    single += [_section("headline", f"'{n}'", n, _inner("headline_shares")) for n in ("txn_share", "gain_share", "loss_share")]
+    growth = "SELECT year, round((n - b)::DOUBLE / b * 100, 1) AS growth FROM (SELECT year, n, lag(n) OVER (ORDER BY year) AS b FROM (SELECT year(order_date) AS year, count(*) AS n FROM fact GROUP BY 1)) WHERE b IS NOT NULL"
+    buckets = "WITH " + _inner("discount_buckets").removeprefix(",").strip()
+    parts = [
+        *single, _section("growth", "year", "growth", growth), _section("monthly_series", "month", "sales, profit, n", _inner("monthly_series")),
+        _section("by_sub_category", "key", "total, loss, gain", _inner("split_by_brand")), _section("by_market_area", "key", "total, loss, gain", _inner("split_by_region")),
+        _section("by_order_region", "key", "total, loss, gain", _inner("split_by_nation")), _section("discount_buckets", "bucket", "n, loss, gain", buckets),
+        _section("tables_by_manufacturer", "maker", "profit", _inner("prefix_profit")), _section("ship_mode_dist", "mode", "n", _inner("mode_distribution")),
+        _section("eta_dist", "eta", "n", _inner("eta_distribution")),
+    ]
+    return FACT.replace("fact AS (", "fact AS MATERIALIZED (") + " UNION ALL ".join(parts)
+
+
+@query(_dashboard_sql())
+def dashboard_sections(spark, sf_dir):
+    """Every number of the dashboard document, read back from its text."""
+    return retail.dashboard_rows(retail.dashboard(retail.sales_fact(spark, sf_dir)))
+
+
 # --- reshaping ---------------------------------------------------------------------------------------------------------
 FLAT = """SELECT o_orderkey AS row_id, o_custkey AS customer_id, c_name AS customer_name, c_mktsegment AS segment, o_orderstatus AS status,
   CAST(o_orderdate AS DATE) AS order_date, o_totalprice AS sales, n_name AS country, o_orderpriority AS priority
@@ -224,11 +259,11 @@ def unique_violations(spark, sf_dir):
 
 
 # --- recommender preparation -----------------------------------------------------------------------------------------
-UI = """WITH ui AS (SELECT o_custkey AS "user", l_partkey AS item, sum(l_quantity) AS rating FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
+UI = """WITH ui AS MATERIALIZED (SELECT o_custkey AS "user", l_partkey AS item, sum(l_quantity) AS rating FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
 SPLITS = UI + """, placed AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY md5(concat_ws('-', "user", item)), item) AS place,
     count(*) OVER (PARTITION BY "user") AS n FROM ui),
-  split AS (SELECT "user", item, rating, CASE WHEN place <= round_even(n * 0.8, 0) THEN 'train' ELSE 'test' END AS split FROM placed),
-  train AS (SELECT "user", item, rating FROM split WHERE split = 'train'), test AS (SELECT "user", item, rating FROM split WHERE split = 'test')"""
+  split AS MATERIALIZED (SELECT "user", item, rating, CASE WHEN place <= round_even(n * 0.8, 0) THEN 'train' ELSE 'test' END AS split FROM placed),
+  train AS MATERIALIZED (SELECT "user", item, rating FROM split WHERE split = 'train'), test AS MATERIALIZED (SELECT "user", item, rating FROM split WHERE split = 'test')"""
 BIAS = SPLITS + """, mu AS (SELECT avg(rating) AS mu FROM train), u AS (SELECT "user", avg(rating) AS u FROM train GROUP BY 1),
   i AS (SELECT item, avg(rating) AS i FROM train GROUP BY 1),
   predicted AS (SELECT "user", item, rating AS actual, round(mu + coalesce(u - mu, 0) + coalesce(i - mu, 0), 6) AS pred
@@ -293,28 +328,27 @@ def pivot_quantity(spark, sf_dir):
 
 COSINE = UI + """, norms AS (SELECT {0} AS e, sqrt(sum(rating * rating)) AS norm FROM ui GROUP BY 1),
   pairs AS (SELECT x.{0} AS a, y.{0} AS b, sum(x.rating * y.rating) AS dot, count(*) AS shared FROM ui x JOIN ui y ON x.{1} = y.{1} AND x.{0} < y.{0}
-    GROUP BY 1, 2 HAVING count(*) >= 2),
+    GROUP BY 1, 2),
   sims AS (SELECT a, b, shared, round(dot / nullif(na.norm * nb.norm, 0), 6) AS sim FROM pairs JOIN norms na ON na.e = a JOIN norms nb ON nb.e = b),
   both_ways AS (SELECT a, b, sim FROM sims UNION ALL SELECT b, a, sim FROM sims)"""
-SUPPORT = 2  # the HAVING above; the operator's default is every pair that shares something
 ITEMS, USERS = COSINE.format("item", '"user"'), COSINE.format('"user"', "item")
 
 
 @query(ITEMS + "SELECT * FROM sims")
 def item_cosine(spark, sf_dir):
-    return recommend.cosine(_ui(spark, sf_dir), "item", "user", SUPPORT)
+    return recommend.cosine(_ui(spark, sf_dir), "item", "user")
 
 
 @query(USERS + "SELECT * FROM sims")
 def user_cosine(spark, sf_dir):
-    return recommend.cosine(_ui(spark, sf_dir), "user", "item", SUPPORT)
+    return recommend.cosine(_ui(spark, sf_dir), "user", "item")
 
 
 @query(ITEMS + """SELECT ui."user", ui.item, round(coalesce(sum(sim * o.rating) / nullif(sum(sim), 0), 0), 6) AS pred
   FROM ui JOIN both_ways ON a = ui.item JOIN ui o ON o."user" = ui."user" AND o.item = b GROUP BY 1, 2""")
 def item_cf_predict(spark, sf_dir):
     ui = materialize(_ui(spark, sf_dir), "ui")
-    return recommend.item_cf(ui, recommend.cosine(ui, "item", "user", SUPPORT))
+    return recommend.item_cf(ui, recommend.cosine(ui, "item", "user"))
 
 
 @query(USERS + """, means AS (SELECT "user", avg(rating) AS mean FROM ui GROUP BY 1)
@@ -322,12 +356,12 @@ def item_cf_predict(spark, sf_dir):
   FROM ui JOIN both_ways ON a = ui."user" JOIN ui o ON o."user" = b AND o.item = ui.item JOIN means om ON om."user" = b JOIN means m ON m."user" = ui."user" GROUP BY 1, 2""")
 def user_cf_predict(spark, sf_dir):
     ui = materialize(_ui(spark, sf_dir), "ui")
-    return recommend.user_cf(ui, recommend.cosine(ui, "user", "item", SUPPORT))
+    return recommend.user_cf(ui, recommend.cosine(ui, "user", "item"))
 
 
 @query(ITEMS + """SELECT a, b, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank FROM both_ways) WHERE rank <= 3""")
 def item_neighbours(spark, sf_dir):
-    sims = recommend.cosine(_ui(spark, sf_dir), "item", "user", SUPPORT)
+    sims = recommend.cosine(_ui(spark, sf_dir), "item", "user")
     both = sims.select("a", "b", "sim").unionByName(sims.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     return recommend.top_k(both.select(F.col("a").alias("user"), F.col("b").alias("item"), F.col("sim").alias("pred")), 3).toDF("a", "b", "sim", "rank")
 
@@ -349,7 +383,7 @@ METRICS = BIAS + """, ranked AS (SELECT *, pow(2, actual / 50.0::DOUBLE) - 1 AS
 
 
 @query(METRICS + """SELECT round(avg(hits / 3), 6) AS precision_at_k, round(avg(hits / n), 6) AS recall_at_k, round(avg(both_top / 3), 6) AS hit_rate_at_k,
-  round(avg(dcg / nullif(ideal, 0)), 6) AS ndcg_at_k FROM per_user""")
+  round(avg(coalesce(dcg / nullif(ideal, 0), 0)), 6) AS ndcg_at_k FROM per_user""")
 def precision_recall_ndcg(spark, sf_dir):
     return recommend.ranking_metrics(recommend.bias_baseline(*_split(spark, sf_dir)))
 
@@ -519,10 +553,29 @@ def rouge_l(spark, sf_dir):
     return textops.scored(_pairs(spark, sf_dir), "id", "rouge_l", textops.rouge_l_score, "answer", "question")
 
 
-@query()
+SETS = ", ".join(f"list_distinct(list_transform(range(1, len({x}) - n + 2), lambda i: array_to_string({x}[i:i + n - 1], ' '))) AS {x}" for x in "scr")
+
+
+def _f1(good: str, made: str, wanted: str) -> str:
+    p, q = f"coalesce({good}::DOUBLE / nullif({made}, 0), 0)", f"coalesce({good}::DOUBLE / nullif({wanted}, 0), 0)"
+    return f"CASE WHEN {made} = 0 AND {wanted} = 0 THEN 1.0 ELSE coalesce(2 * {p} * {q} / nullif({p} + {q}, 0), 0) END"
+
+
+def _without(a: str, b: str) -> str:
+    return f"len(list_filter({a}, lambda x: NOT list_contains({b}, x)))"
+
+
+@query(TURNS + f""", k AS (SELECT row_number() OVER () AS rid, * FROM pairs),
+  t AS (SELECT rid, id, {TOKENS.format("concat_ws(' ', question, answer)")} AS s, {TOKENS.format('answer')} AS c, {TOKENS.format('question')} AS r FROM k),
+  g AS (SELECT rid, id, n, {SETS} FROM t, range(1, 5) z(n)),
+  i AS (SELECT *, list_intersect(s, c) AS sc, list_intersect(s, r) AS sr, list_intersect(c, r) AS cr, list_filter(s, lambda x: NOT list_contains(c, x)) AS gone FROM g),
+  m AS (SELECT rid, id, len(list_intersect(sc, r)) AS kg, len(sc) AS km, len(sr) AS kw, {_without('cr', 's')} AS ag, {_without('c', 's')} AS am,
+    {_without('r', 's')} AS aw, len(gone) AS dm, {_without('gone', 'r')} AS dg, {_without('s', 'r')} AS dw FROM i),
+  f AS (SELECT rid, id, ({_f1('kg', 'km', 'kw')} + {_f1('ag', 'am', 'aw')} + CASE WHEN dm > 0 THEN dg::DOUBLE / dm WHEN dw = 0 THEN 1 ELSE 0 END) / 3 AS x FROM m)
+  SELECT id, round(100 * sum(x) / 4, 6) AS sari FROM f GROUP BY rid, id""")
 def sari(spark, sf_dir):
     rows = _pairs(spark, sf_dir).withColumn("source", F.concat_ws(" ", "question", "answer"))
-    return textops.scored(rows, "id", "sari", textops.sari_score, "source", "answer", "question")
+    return textops.sari(rows, "id", "source", "answer", "question")
 
 
 @query(r"""WITH parts AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w,
@@ -531,7 +584,7 @@ def sari(spark, sf_dir):
     greatest(1, len(regexp_extract_all(x, '[aeiouyáàâäéèêëíìîïóòôöúùûü]+')) - CASE WHEN x LIKE '%e' AND len(regexp_extract_all(x, '[aeiouyáàâäéèêëíìîïóòôöúùûü]+')) > 1 THEN 1 ELSE 0 END))) AS syl FROM parts)
   SELECT doc_id, CASE WHEN n > 0 THEN round(0.39::DOUBLE * n / sentences + 11.8::DOUBLE * syl / n - 15.59::DOUBLE, 6) END AS fkgl FROM counted""")
 def fkgl(spark, sf_dir):
-    return textops.scored(table(spark, sf_dir, "documents"), "doc_id", "fkgl", textops.fkgl_score, "text")
+    return table(spark, sf_dir, "documents").select("doc_id", textops.fkgl(F.col("text")).alias("fkgl"))
 
 
 @query("""SELECT page_id, nullif(regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1), '') AS title,

@@ -59,13 +59,20 @@ def jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
     return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
 
 
+# The grades of a review, from 2 to 0.
+GRADES = {
+    "taste": ("맛: 좋음", "맛: 보통", "맛: 부족"),
+    "price": ("가격: 만족", "가격: 보통", "가격: 불만"),
+    "service": ("응대: 좋음", "응대: 보통", "응대: 나쁨"),
+}
+
+
 def reviews(raw: DataFrame) -> DataFrame:
     """Typed reviews out of raw text columns: cleaning, casts, grades and dates in one projection."""
     from tidemill.functions import clean as c
 
-    def grade(name: str, label: str):
-        text = F.trim(F.replace(F.col(name), F.lit(f"{label}: "), F.lit("")))
-        return c.ordinal(text, "좋음", "보통", "부족").cast("tinyint").alias(name)
+    def grade(name: str):
+        return c.ordinal(F.trim(name), *GRADES[name]).cast("tinyint").alias(name)
 
     return raw.select(
         "id",
@@ -80,9 +87,9 @@ def reviews(raw: DataFrame) -> DataFrame:
         c.digits_to_int(F.col("user_tot_follow_num")).alias("user_tot_follow_num"),
         c.parse_rating(F.col("user_rating")).alias("user_rating"),
         c.clean_text(c.without_more(F.col("user_query"))).alias("user_query"),
-        grade("taste", "맛"),
-        grade("price", "가격"),
-        grade("service", "서비스"),
+        grade("taste"),
+        grade("price"),
+        grade("service"),
         c.clean_text(F.col("menu")).alias("menu"),
         c.parse_korean_date(F.col("reviewed_at")).alias("reviewed_at"),
     )
@@ -93,3 +100,10 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df
+
+
+def require_rows(df: DataFrame, message: str = "no valid rows") -> DataFrame:
+    """``df``, or an error where it is empty."""
+    if df.isEmpty():
+        raise ValueError(message)
+    return df

@@ -28,6 +28,11 @@ def insert_select(df: DataFrame, name: str) -> None:
     df.select(*spark.table(name).columns).write.insertInto(name)
 
 
+def insert_values(spark: SparkSession, name: str, rows: list[tuple]) -> None:
+    """INSERT INTO ... VALUES: literal rows in the table's column order."""
+    spark.createDataFrame(rows, spark.table(name).schema).write.insertInto(name)
+
+
 def jdbc(df: DataFrame, url: str, name: str, batch: int = 1000, **options: str) -> None:
     """Batched inserts, one commit for each partition."""
     df.write.format("jdbc").options(url=url, dbtable=name, batchsize=str(batch), **options).mode("append").save()
