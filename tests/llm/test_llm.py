@@ -13,6 +13,8 @@ from tidemill.llm import ann, bpe, decontaminate, langid, line_dedup, neardup, q
 from tidemill.llm.queries import QUERIES
 from tidemill.runtime import materialize, table
 
+import plain
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 EDGE = [None, "", " \n\t ", "a", "x" * 5000, " " * 3000, "é😀 日本\r\nfoo's 123", "<|endoftext|> a", "word " * 4000]
 
@@ -207,6 +209,34 @@ def test_quality(spark, small):
     assert {r.score for r in quality.predictions(docs(spark, EDGE), empty).collect()} == {0.5}
 
 
+def test_fit_by_its_objective():
+    """Log-count ratios by counting, and a primal objective that the dual one meets."""
+    draw = np.random.default_rng(2)
+    rows = [np.unique(draw.integers(0, 40, draw.integers(1, 12))).astype(np.int32) for _ in range(80)]
+    labels = [int(len(set(r.tolist()) & {1, 2, 3, 4, 5}) + draw.integers(0, 2) > 1) for r in rows]
+    cost, bits = 0.5, 6
+    model = quality.fit(rows, labels, bits=bits, epochs=4000, cost=cost)
+    counts = np.ones((2, 1 << bits))
+    for r, y in zip(rows, labels, strict=True):
+        for x in r:
+            counts[y, x] += 1
+    ratio = np.log((counts[1] / counts[1].sum()) / (counts[0] / counts[0].sum()))
+    w = np.divide(model.weights, ratio, out=np.zeros(1 << bits), where=ratio != 0)
+    x = np.zeros((80, 1 << bits))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.sqrt(len(r))
+    y = np.where(np.array(labels) == 1, 1.0, -1.0)
+    caps = np.where(y > 0, cost * 80 / (2 * (y > 0).sum()), cost * 80 / (2 * (y < 0).sum()))
+
+    def primal(weights, bias):
+        return 0.5 * (weights @ weights + bias * bias) + (caps * np.maximum(0, 1 - y * (x @ weights + bias))).sum()
+
+    best = primal(w, model.bias)
+    for _ in range(300):  # no step to any side gets lower
+        step = draw.standard_normal((1 << bits) + 1) * 10.0 ** -draw.integers(1, 4)
+        assert primal(w + step[:-1], model.bias + step[-1]) >= best - 1e-6
+
+
 # --- 4: near duplicates --------------------------------------------------------------------------------------------------
 def brute_components(texts):
     def items(text):
@@ -287,6 +317,41 @@ def test_shards(spark, small):
     assert sharding.shards(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shards", [5, 24])
+def test_tree(spark, monkeypatch, shards):
+    """The same shards as by sorting every node's points and cutting at the weighted median."""
+    monkeypatch.setattr(sharding, "FINE", 0.0)
+    draw = random.Random(shards)
+    texts = ["word " * draw.randint(0, 60) + str(draw.randint(0, 150)) for _ in range(400)] + ["copy " * 30] * 60 + [None, "", ""]
+    rows = [(i, t, draw.choice(["a", "b", None]), draw.choice("pqrst"), 0) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, DOCS.replace("lang string, source string", "lang string, source string"))
+    source = sharding._rows(frame).select("*", F.xxhash64("doc_id").alias("h")).collect()
+    groups: dict = {}
+    for r in source:
+        g = groups.setdefault(r["group"], {"bytes": 0, "size": 0, "source": [], "lang": []})
+        g["bytes"] += r["size"]
+        g["size"] = max(g["size"], r["size"])
+        g["source"] += [r["source"]] * (r["source"] is not None)
+        g["lang"] += [r["lang"]] * (r["lang"] is not None)
+    share = max(1.0, sum(g["bytes"] for g in groups.values()) / shards)
+    hashed = {r.v: r.h % (1 << 15) for r in spark.createDataFrame([(v,) for v in ["a", "b", "p", "q", "r", "s", "t"]], "v string").select("v", F.xxhash64("v").alias("h")).collect()}
+    hashed[None] = spark.range(1).select(F.xxhash64(F.lit(None).cast("string"))).head()[0] % (1 << 15)
+    points, name_of = {}, {}
+    for r in source:
+        g = groups[r["group"]]
+        pieces = math.ceil(g["bytes"] / (sharding.PIECE * share)) if g["bytes"] > sharding.PIECE * share else 1
+        name = r["group"], r["h"] % min(pieces, 4095)
+        name_of[r["doc_id"]] = name
+        tie = ((r["group"] % (1 << 64)) >> 29 << 12) + name[1]
+        q = {"size": min((1 << 15) - 1, int(math.log2(g["size"]) * 800)), "source": hashed[min(g["source"], default=None)], "lang": hashed[min(g["lang"], default=None)]}
+        p = points.setdefault(name, {"name": name, "bytes": 0, **{f"q_{x}": v for x, v in q.items()}, **{f"k_{x}": (v << 47) + tie for x, v in q.items()}})
+        p["bytes"] += r["size"]
+    want = plain.shards(list(points.values()), shards)
+    got = {r.doc_id: r.shard for r in sharding.assign(frame, shards).collect()}
+    assert got == {i: want[n] for i, n in name_of.items()}
+    assert dict(sharding.shards(frame).dtypes)["slot"] == "bigint"
+
+
 def test_hot_group_is_divided(spark):
     texts = ["same text " * 50] * 400 + [f"text {i} " * 60 for i in range(800)]
     sizes = sharding.shards(docs(spark, texts)).groupBy("shard").agg(F.sum("size").alias("n")).toPandas()["n"]
@@ -341,6 +406,72 @@ def test_decontamination_of_edits_and_excerpts(spark):
     assert got == {(0, 1), (1, 2), (2, 3)}
 
 
+def test_decontamination_by_loops(spark):
+    """Every pair's windows, alignments and slots gone through one by one."""
+    draw = random.Random(31)
+    vocabulary = ["".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    names = "Anna Peter Julia Otto Maria".split()
+
+    def word():
+        x = draw.random()
+        return str(draw.randint(1, 99)) + draw.choice([" km", " apples", ""]) if x < 0.12 else draw.choice(names) if x < 0.2 else draw.choice(vocabulary)
+
+    def words(n):
+        return " ".join(word() for _ in range(n))
+
+    def edited(text):
+        out = text.split()
+        for _ in range(draw.choice([0, 0, 1, 3, 8])):
+            i = draw.randrange(len(out))
+            out[i : i + 1] = draw.choice([[word()], [], [out[i], word()]])
+        if draw.random() < 0.5:
+            swap = {n: draw.choice(names) for n in names} | {str(i): str(draw.randint(1, 99)) for i in range(100)}
+            out = [swap.get(w, w) for w in out]
+        lo = draw.choice([0, 0, len(out) // 3])
+        return " ".join(out[lo:])
+
+    items = {i: words(n) for i, n in enumerate([3, 6, 10, 20, 30, 47, 48, 60, 90, 10])} | {20: None, 21: ""}
+    texts = [words(draw.randint(0, 40)) + " " + " and ".join(edited(draw.choice([x for x in items.values() if x])) for _ in range(draw.randint(0, 2))) + " " + words(draw.randint(0, 30)) for _ in range(120)]
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.listing(docs(spark, texts), bench).collect()}
+    want = plain.contaminated(dict(enumerate(texts)), items)
+    assert got == want and 30 < len(want) < 400
+
+
+def test_lines_by_loops(spark):
+    """Templates as tuples, all holders compared with one another."""
+    draw = random.Random(17)
+    forms = ["Posted by {} in Travel", "Back to {} news today", "Page {} of 12", "{} {}", "Copyright 2001 {} and all the rights are reserved by the owners of these {} pages",
+             "read {} more about this and about many other things of the same kind on our {} site", "\x0b\t ", "", "a\u00a0b {}"]
+    names = "Anna Peter Julia Otto Maria Clara Bruno 12 x@y.z http://a".split()
+    texts = []
+    for _ in range(60):
+        lines = lines_of(draw, draw.randint(1, 6), 9).split("\n")
+        lines += [draw.choice(forms).format(draw.choice(names), draw.choice(names)) for _ in range(draw.randint(0, 4))]
+        draw.shuffle(lines)
+        texts.append("\n".join(lines))
+    texts += [texts[3]] * 4 + [texts[5] + "\nmore"] * 3 + [None, "", "\n\n", "12 of 12"]
+    draw.shuffle(texts)
+    want = plain.dropped_lines(texts)
+    for rows in (line_dedup.BROADCAST_ROWS, -1):
+        got = {r.doc_id: r.dropped for r in line_dedup.drop_lines(docs(spark, texts), broadcast_rows=rows).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    assert sum(map(len, want)) > 20
+
+
+def test_line_templates():
+    draw = random.Random(19)
+    lines = [" ".join(draw.choice(["a", "b", "c", "1", "http://x", "d@e"]) for _ in range(draw.choice([0, 1, 3, 6, 11, 12, 15, 40]))) for _ in range(300)]
+    hashes, own = line_dedup.Lines(lines).templates()
+    for i, line in enumerate(lines):
+        assert len(set(hashes[own == i].tolist())) == len(plain.templates(line)) and set(hashes[own == i].tolist()) == set(line_dedup.templates(line))
+    same = {}
+    for line in lines:
+        for h in line_dedup.templates(line):
+            same.setdefault(h, set()).add(len(line.split()))
+    assert all(len(sizes) == 1 for sizes in same.values())  # the first level of the tree
+
+
 def test_lines(spark):
     draw = random.Random(4)
 
@@ -454,5 +585,73 @@ def test_pipeline(spark, small):
     assert 0 < len(kept) < source.count()
 
 
+def test_pipeline_by_loops(spark, tmp_path):
+    """Every stage's plain version on a small table, one after the other."""
+    import corpus_pipeline
+
+    draw = random.Random(23)
+    items = {1: "Anna walks 12 km to the old market and buys 3 apples for 20 cents before she meets Otto at the river", 2: lines_of(draw, 1, 60)}
+    texts = [lines_of(draw, draw.randint(2, 5), 14) for _ in range(50)]
+    texts = [t + "\nPosted by Anna in Travel" if i % 3 == 0 else t for i, t in enumerate(texts)]
+    texts += [texts[7]] * 3 + [texts[8].replace("a", "A", 1)] * 2 + [texts[9] + " more words here"] + [texts[10] + " " + items[1], items[2].replace(" ", "  "), "Posted by Anna in Travel"]
+    texts += [None, "", "12 34", " ", "one two", "One  two"]
+    rows = [(i, t, draw.choice(["en", "de"]), "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    left = {i: t for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)}
+    gone = dict(zip(left, plain.dropped_lines(list(left.values())), strict=True))
+    cut = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in left.items()}
+    left = {i: t for i, t in cut.items() if not gone[i] or t.strip()}
+    named = brute_components(list(left.values()))
+    ids = list(left)
+    left = {i: t for n, (i, t) in enumerate(left.items()) if ids[named[n][1]] == i}
+    dirty = {i for i, _ in plain.contaminated(left, items)}
+    left = {i: t for i, t in left.items() if i not in dirty}
+
+    tool = bpe.codec()._library
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    assert {r.doc_id: r.ids_sha256 for r in out} == {i: hashlib.sha256(" ".join(map(str, tool.encode_ordinary(t))).encode()).hexdigest() for i, t in left.items()}
+    assert 40 < len(out) < len(texts) and len(dirty) == 2
+
+
+# --- shapes that every operator takes ---------------------------------------------------------------------------------------
+def listings(spark, frame):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    yield "op1", bpe.digests(frame)
+    yield "op2", secrets.listing(frame)
+    yield "op3", langid.predictions(frame)
+    yield "op4", neardup.groups(frame)
+    yield "op5", sharding.shards(frame)
+    yield "op6", decontaminate.listing(frame, bench)
+    yield "op7", line_dedup.listing(frame)
+    yield "op9", token_counts.lengths(frame)
+    yield "op10", quality.predictions(frame, labels)
+
+
+CLASHING = "n_tokens ids decoded secret_spans spans lang_pred score held_out n_shingles component_id kept size shard slot law n_windows dropped n_lines over_limit predicted text_sha256 node".split()
+
+
+def test_clashing_and_empty(spark):
+    texts = [f"some words of text {i} and token=abcdefghijkl\nline" for i in range(8)]
+    frame = docs(spark, texts)
+    more = frame.withColumns({c: F.lit("clash") for c in CLASHING})
+    plainly = {name: out for name, out in listings(spark, frame)}
+    for name, out in listings(spark, more):
+        assert out.dtypes == plainly[name].dtypes, name
+        assert sorted(map(str, out.collect())) == sorted(map(str, plainly[name].collect())), name
+    for name, out in listings(spark, more.limit(0)):
+        assert out.dtypes == plainly[name].dtypes and out.count() == 0, name
+
+
+def test_repeated_and_lost_ids(spark):
+    texts = ["some words of a text", None, "", "other words"]
+    frame = docs(spark, texts)
+    twice = frame.union(frame).union(frame.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = {name: out.count() for name, out in listings(spark, twice)}
+    assert rows == {"op1": 9, "op2": 9, "op3": 9, "op4": 5, "op5": 9, "op6": 0, "op7": 9, "op9": 9, "op10": 9}
+
+
 def test_names():
     assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES}) == list(range(1, 11))
