@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.llm import ann, bpe, decontaminate, langid, line_dedup, neardup, quality, secrets, sharding, token_counts
-from tidemill.llm.queries import QUERIES
+from tidemill.llm.queries import ORACLES, QUERIES
 from tidemill.runtime import materialize, table
 
 import plain
@@ -111,6 +111,23 @@ def test_entropy(spark):
     assert total > 100 and got[len(texts) - 1] == "entropy:4:36"
 
 
+def test_secrets_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    draw = random.Random(15)
+    words = ["".join(draw.choice(secrets.ALPHABET[: draw.choice([16, 36, 62, 67])]) for _ in range(draw.randint(5, 50))) for _ in range(80)]
+    glue = [" ", "\n", ".", "token=", " Api_Key: '", "\x01", "é😀", " AKIA", "deadbeefdeadbeef", "/usr/lib/", "2024-01-01", "aaaaaaaaa", "0" * 9]
+    texts = [*EDGE, *("".join(draw.choice(words) + draw.choice(glue) for _ in range(draw.randint(1, 9))) for _ in range(120))]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841
+    want = duckdb.sql(ORACLES["op2_secret_scan"]).df().set_index("doc_id")
+    got = secrets.listing(docs(spark, texts)).toPandas().set_index("doc_id")
+    assert sorted(got.columns) == sorted(want.columns)
+    for i in range(len(texts)):
+        assert got.loc[i].to_dict() == want.loc[i].to_dict()
+    assert got["n_entropy"].sum() > 50
+
+
 def test_long_texts(spark):
     """Texts that made patterns recurse or work grow with the square: results come, and in seconds."""
     draw = random.Random(6)
