@@ -61,21 +61,31 @@ def _both_ways(sims: DataFrame) -> DataFrame:
     return sims.select("a", "b", "sim").unionByName(sims.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
 
 
+def _sharing(ui: DataFrame, by: str, entity: str, value: Column) -> DataFrame:
+    """(by, a, b, value): the ordered pairs of different entities that share a key, with b's value. The similarity of such
+    a pair is looked up afterwards, so that no pair is made that no prediction needs."""
+    own = ui.select(by, F.col(entity).alias("a"))
+    other = ui.select(by, F.col(entity).alias("b"), value.alias("value"))
+    return own.join(other, by).filter("a <> b")
+
+
+def _with_similarity(pairs: DataFrame, sims: DataFrame) -> DataFrame:
+    sims = sims.select(F.col("a").alias("lo"), F.col("b").alias("hi"), "sim")
+    return pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(sims, ["lo", "hi"])
+
+
 def item_cf(ui: DataFrame, sims: DataFrame) -> DataFrame:
     """Sum of similarity times rating over sum of similarity, over the user's other items: (user, item, pred)."""
-    own = ui.select("user", "item").withColumnRenamed("item", "a")
-    joined = own.join(_both_ways(sims), "a").join(ui.select("user", F.col("item").alias("b"), "rating"), ["user", "b"])
-    grouped = joined.groupBy("user", F.col("a").alias("item")).agg(F.sum(F.col("sim") * F.col("rating")).alias("top"), F.sum("sim").alias("low"))
+    joined = _with_similarity(_sharing(ui, "user", "item", F.col("rating")), sims)
+    grouped = joined.groupBy("user", F.col("a").alias("item")).agg(F.sum(F.col("sim") * F.col("value")).alias("top"), F.sum("sim").alias("low"))
     return grouped.select("user", "item", F.round(F.coalesce(F.col("top") / F.nullif(F.col("low"), F.lit(0.0)), F.lit(0.0)), 6).alias("pred"))
 
 
 def user_cf(ui: DataFrame, sims: DataFrame) -> DataFrame:
     """The user's mean plus the neighbours' weighted deviations from theirs: (user, item, pred)."""
     means = ui.groupBy("user").agg(F.avg("rating").alias("mean"))
-    own = ui.select(F.col("user").alias("a"), "item").join(_both_ways(sims), "a")
-    other = ui.join(means, "user").select(F.col("user").alias("b"), "item", (F.col("rating") - F.col("mean")).alias("dev"))
-    joined = own.join(other, ["b", "item"]).groupBy("a", "item")
-    summed = joined.agg(F.sum(F.col("sim") * F.col("dev")).alias("top"), F.sum(F.abs("sim")).alias("low"))
+    joined = _with_similarity(_sharing(ui.join(means, "user"), "item", "user", F.col("rating") - F.col("mean")), sims)
+    summed = joined.groupBy("a", "item").agg(F.sum(F.col("sim") * F.col("value")).alias("top"), F.sum(F.abs("sim")).alias("low"))
     out = summed.join(means.withColumnRenamed("user", "a"), "a")
     pred = F.col("mean") + F.coalesce(F.col("top") / F.nullif(F.col("low"), F.lit(0.0)), F.lit(0.0))
     return out.select(F.col("a").alias("user"), "item", F.round(pred, 6).alias("pred"))

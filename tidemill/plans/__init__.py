@@ -1,3 +1,3 @@
 """Queries by name. Importing the package registers all of them."""
 
-from tidemill.plans import catalog, preparing, recommending  # noqa: F401
+from tidemill.plans import catalog, matching, preparing, recommending  # noqa: F401
