@@ -577,6 +577,21 @@ def test_neighbours(spark, limit):
     assert all(abs(r.score - vectors[r.query_id] @ vectors[r.vec_id]) < 1e-9 for r in out)
 
 
+def test_crowds_of_equal_vectors(spark):
+    draw = np.random.default_rng(4)
+    crowd, other = draw.standard_normal(8), draw.standard_normal((300, 8)) * draw.uniform(0.2, 3, (300, 1))
+    vectors = np.concatenate([np.repeat(crowd[None], 500, axis=0), other, np.repeat(other[:3], 30, axis=0), np.array([[0.0, -0.0, 1, 0, 0, 0, 0, 0], [-0.0, 0.0, 1, 0, 0, 0, 0, 0]])])
+    ids = np.random.default_rng(5).permutation(len(vectors))
+    out = ann.listing(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>")).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    order = np.argsort(ids)
+    assert sorted(got) == list(range(0, len(ids), 20))
+    same = [found == exact(np.arange(len(ids)), vectors[order], q) for q, found in got.items()]
+    assert np.mean(same) >= 0.95
+
+
 def test_few_neighbours(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.5])], "vec_id long, embedding array<float>")
     out = ann.listing(rows).orderBy("rank").collect()
