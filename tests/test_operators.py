@@ -127,13 +127,36 @@ def test_cosine_of_one_shared(spark):
     assert got == {(a + 1, b + 1): pytest.approx((unit.T @ unit)[a, b], abs=1e-6) for a in range(3) for b in range(a + 1, 3)}
 
 
-def test_sgd_learns_and_cold_start():
-    rows = [(u, i, float((u + i) % 3)) for u in range(8) for i in range(6)]
-    model = recommend.sgd(rows, k=4, rate=0.05, epochs=300)
-    error = np.mean([(recommend.sgd_predict(model, u, i) - r) ** 2 for u, i, r in rows])
-    assert error < 0.1
-    assert recommend.sgd_predict(model, 99, 99) == model["mu"]
-    assert recommend.sgd_predict(model, 0, 99) != recommend.sgd_predict(model, 99, 0)
+def sequential(rows, p, q, mu, rate, reg, epochs):
+    """The update rule one rating after the other."""
+    for _ in range(epochs):
+        for u, i, r in sorted(rows):
+            error = r - (sum(x * y for x, y in zip(p[u][:-1], q[i][:-1], strict=True)) + p[u][-1] + q[i][-1] + mu)
+            bu, bi = p[u][-1] + rate * (error - reg * p[u][-1]), q[i][-1] + rate * (error - reg * q[i][-1])
+            fu = [x + rate * (error * y - reg * x) for x, y in zip(p[u][:-1], q[i][:-1], strict=True)]
+            fi = [y + rate * (error * x - reg * y) for x, y in zip(fu, q[i][:-1], strict=True)]
+            p[u], q[i] = [*fu, bu], [*fi, bi]
+
+
+def test_gradient_descent(spark):
+    rows = [(u, i, float((u + i) % 3)) for u in range(8) for i in range(6) if (u * i) % 5 != 4]
+    train = spark.createDataFrame(rows, "user long, item long, rating double")
+    model = recommend.block_sgd(train, k=3, rate=0.05, epochs=2, blocks=1)
+    p, q = ({r.id: list(r.f) for r in recommend._first_factors(train, e, 3, 42, 1).collect()} for e in ("user", "item"))
+    means = {}
+    for _, i, r in rows:
+        means.setdefault(i, []).append(r)
+    assert model["mu"] == pytest.approx(np.mean([np.mean(v) for v in means.values()]))
+    sequential(rows, p, q, model["mu"], 0.05, 0.02, 2)
+    for found, want in ((model["p"], p), (model["q"], q)):
+        assert {r.id: pytest.approx(list(r.f)) for r in found.collect()} == want
+    before = recommend.rmse(recommend.block_sgd_predict({**model, "p": recommend._first_factors(train, "user", 3, 42, 1), "q": recommend._first_factors(train, "item", 3, 42, 1)}, train)).head()[0]
+    strata = recommend.block_sgd(train, k=3, rate=0.05, epochs=3, blocks=3, valid=train, patience=1)
+    assert len(strata["errors"]) == 3 and strata["errors"][-1] == min(strata["errors"]) < before
+    cases = spark.createDataFrame([(0, 0, 1.0), (0, 99, 1.0), (99, 0, 1.0), (99, 99, 1.0)], "user long, item long, rating double")
+    got = {(r.user, r.item): r.pred for r in recommend.block_sgd_predict(model, cases).collect()}
+    assert got[99, 99] == pytest.approx(model["mu"], abs=1e-6)
+    assert got[0, 99] == pytest.approx(sum(p[0][:-1]) + p[0][-1] + model["mu"], abs=1e-5) and got[99, 0] == pytest.approx(sum(q[0][:-1]) + q[0][-1] + model["mu"], abs=1e-5)
 
 
 def test_full_rank_svd(spark):

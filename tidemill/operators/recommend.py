@@ -4,12 +4,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.clean import dot
 from tidemill.operators.positions import label_encode
-from tidemill.runtime import table
+from tidemill.runtime import materialize, table
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,37 +245,88 @@ def als_predict(train: DataFrame, test: DataFrame, rank: int = 10, reg: float =
     return out.select("user", "item", "actual", (F.col("pred") + F.col("prediction")).alias("pred"))
 
 
-def sgd(rows: list[tuple[int, int, float]], k: int = 10, rate: float = 0.001, reg: float = 0.02, epochs: int = 50, seed: int = 42) -> dict:
-    """Sequential biased factorisation on the driver, for small data: row by row, the user's factors before the item's."""
-    users = {u: n for n, u in enumerate(sorted({r[0] for r in rows}))}
-    items = {i: n for n, i in enumerate(sorted({r[1] for r in rows}))}
-    draw = np.random.default_rng(seed)
-    p, q = draw.random((len(users), k)) * 6 / k, draw.random((len(items), k)) * 6 / k
-    bu, bi = np.zeros(len(users)), np.zeros(len(items))
-    sums: dict[int, list[float]] = {}
-    for _, i, r in rows:
-        sums.setdefault(i, []).append(r)
-    mu = float(np.mean([np.mean(v) for v in sums.values()])) if rows else 0.0
-    ordered = sorted((users[u], items[i], r) for u, i, r in rows)
+def _descend(ratings, p: dict, q: dict, mu: float, rate: float, reg: float) -> None:
+    """One pass of biased factorisation over (user, item, rating) rows, in place: error, biases, the user's factors, the
+    item's by the user's new ones. A vector's last entry is its bias."""
+    for u, i, r in ratings:
+        a, b = p[u], q[i]
+        error = r - (a[:-1] @ b[:-1] + a[-1] + b[-1] + mu)
+        a[-1] += rate * (error - reg * a[-1])
+        b[-1] += rate * (error - reg * b[-1])
+        a[:-1] += rate * (error * b[:-1] - reg * a[:-1])
+        b[:-1] += rate * (error * a[:-1] - reg * b[:-1])
+
+
+def _first_factors(df: DataFrame, entity: str, k: int, seed: int, blocks: int) -> DataFrame:
+    """(id, block, f): factors from 0 to 6 / k by a hash of the id, and a bias of 0."""
+    draw = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.pmod(F.xxhash64("id", F.lit(entity), j, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20) * 6.0 / k)
+    ids = df.select(F.col(entity).cast("long").alias("id")).distinct()
+    return ids.select("id", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.concat(draw, F.array(F.lit(0.0))).alias("f"))
+
+
+def block_sgd(
+    train: DataFrame, k: int = 10, rate: float = 0.001, reg: float = 0.02, epochs: int = 50, seed: int = 42, blocks: int = 8,
+    valid: DataFrame | None = None, patience: int = 3,
+) -> dict:
+    """Biased factorisation by stochastic gradient descent over strata: users and items are dealt into ``blocks``, and a
+    stratum is a set of cells that share neither users nor items, so its cells descend in parallel and row by row inside.
+    An epoch goes through ``blocks`` strata; factors are written to the shared folder after each. A cell holds about
+    1 / blocks^2 of the ratings: more blocks where that is too much for a task. With one block the order is that of the
+    sequential algorithm. With ``valid`` the epoch of the least error is kept and ``patience`` epochs without a better one
+    end the descent. Gives {"p", "q": (id, block, f), "mu", "errors"}."""
+    cell_of = F.pmod(F.xxhash64("user"), F.lit(blocks)).cast("int")
+    rows = train.select(F.col("user").cast("long").alias("user"), F.col("item").cast("long").alias("item"), F.col("rating").cast("double").alias("rating"))
+    rows = materialize(rows.withColumns({"cell": cell_of, "column": F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")}), "ratings")
+    mu = rows.groupBy("item").agg(F.avg("rating").alias("m")).agg(F.avg("m")).head()[0] or 0.0
+    p, q = (materialize(_first_factors(rows, e, k, seed, blocks), e) for e in ("user", "item"))
+    schema = "kind string, id long, block int, f array<double>"
+
+    def descend(_, cell):
+        found = {}
+        for kind in "pq":
+            part = cell[cell["kind"] == kind]
+            found[kind] = {i: np.array(f) for i, f in zip(part["id"], part["f"], strict=True)}, dict(zip(part["id"], part["block"], strict=True))
+        ratings = cell[cell["kind"] == "r"].sort_values(["id", "item"])
+        _descend(ratings[["id", "item", "rating"]].itertuples(index=False, name=None), found["p"][0], found["q"][0], mu, rate, reg)
+        out = [(kind, i, found[kind][1][i], f.tolist()) for kind in "pq" for i, f in found[kind][0].items()]
+        return pd.DataFrame(out, columns=["kind", "id", "block", "f"])
+
+    errors, best = [], None
+    none = F.lit(None)
     for _ in range(epochs):
-        for u, i, r in ordered:
-            error = r - (p[u] @ q[i] + bu[u] + bi[i] + mu)
-            bu[u] += rate * (error - reg * bu[u])
-            bi[i] += rate * (error - reg * bi[i])
-            p[u] += rate * (error * q[i] - reg * p[u])
-            q[i] += rate * (error * p[u] - reg * q[i])
-    return {"users": users, "items": items, "p": p, "q": q, "bu": bu, "bi": bi, "mu": mu}
-
-
-def sgd_predict(model: dict, user: int, item: int) -> float:
-    """All four cases of known and unknown; unknown factors count as ones."""
-    u, i = model["users"].get(user), model["items"].get(item)
-    k = model["p"].shape[1]
-    p = model["p"][u] if u is not None else np.ones(k)
-    q = model["q"][i] if i is not None else np.ones(k)
-    if u is None and i is None:
-        return model["mu"]
-    return float(p @ q + (model["bu"][u] if u is not None else 0) + (model["bi"][i] if i is not None else 0) + model["mu"])
+        for stratum in range(blocks):
+            ratings = rows.filter(F.pmod(F.col("column") - F.col("cell"), F.lit(blocks)) == stratum)
+            parts = [
+                ratings.select("cell", F.lit("r").alias("kind"), F.col("user").alias("id"), "item", "rating", none.cast("int").alias("block"), none.cast("array<double>").alias("f")),
+                p.select(F.col("block").alias("cell"), F.lit("p").alias("kind"), "id", none.cast("long").alias("item"), none.cast("double").alias("rating"), "block", "f"),
+                q.select(F.pmod(F.col("block") - stratum, F.lit(blocks)).alias("cell"), F.lit("q").alias("kind"), "id", none.cast("long").alias("item"), none.cast("double").alias("rating"), "block", "f"),
+            ]
+            moved = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("cell").applyInPandas(descend, schema)
+            moved = materialize(moved, "factors")
+            p, q = (moved.filter(F.col("kind") == kind).drop("kind") for kind in "pq")
+        if valid is not None:
+            model = {"p": p, "q": q, "mu": mu}
+            errors.append(rmse(block_sgd_predict(model, valid)).head()[0])
+            if best is None or errors[-1] < min(errors[:-1]):
+                best = model
+            elif len(errors) - 1 - errors.index(min(errors)) >= patience:
+                break
+    return {**(best or {"p": p, "q": q, "mu": mu}), "errors": errors}
+
+
+def block_sgd_predict(model: dict, test: DataFrame) -> DataFrame:
+    """(user, item, actual, pred): all four cases of known and unknown; unknown factors count as ones, unknown biases as 0;
+    with neither known the mean."""
+    p = model["p"].select(F.col("id").alias("user"), F.col("f").alias("fu"))
+    q = model["q"].select(F.col("id").alias("item"), F.col("f").alias("fi"))
+    rows = test.join(p, "user", "left").join(q, "item", "left")
+    size = F.size(F.coalesce("fu", "fi"))
+    stand_in = F.concat(F.array_repeat(F.lit(1.0), size - 1), F.array(F.lit(0.0)))
+    rows = rows.withColumns({"a": F.coalesce("fu", stand_in), "b": F.coalesce("fi", stand_in)})
+    k = F.size("a") - 1
+    pred = dot(F.slice("a", F.lit(1), k), F.slice("b", F.lit(1), k)) + F.element_at("a", -1) + F.element_at("b", -1) + model["mu"]
+    known = F.col("fu").isNotNull() | F.col("fi").isNotNull()
+    return rows.select("user", "item", F.col("rating").alias("actual"), F.round(F.when(known, pred).otherwise(model["mu"]), 6).alias("pred"))
 
 
 def svd(matrix: DataFrame, label: str, vector: str, k: int) -> DataFrame:

@@ -131,3 +131,11 @@ def mean_of_folds(spark, sf_dir):
     error = F.col("rating") - 25
     by_fold = rows.groupBy("fold").agg(F.sqrt(F.avg(error * error)).alias("rmse"))
     return by_fold.agg(F.round(F.avg("rmse"), 6).alias("mean_rmse"), F.count(F.lit(1)).alias("folds"))
+
+
+@query()
+def mf_sgd(spark, sf_dir):
+    """Stratified gradient descent for a few epochs, and its predictions of the test rows."""
+    train, test = _split(spark, sf_dir)
+    model = recommend.block_sgd(train, k=4, rate=0.02, epochs=2, blocks=4)
+    return recommend.block_sgd_predict(model, test)
