@@ -167,9 +167,10 @@ def longest_phrases(source, codes):
     return n
 
 
-@pytest.mark.parametrize("window", [3, 16, 512])
-def test_phrases(monkeypatch, window):
+@pytest.mark.parametrize("window, few", [(3, 0), (16, 5), (512, 48), (512, 100_000)])
+def test_phrases(monkeypatch, window, few):
     monkeypatch.setattr(langid, "WINDOW", window)
+    monkeypatch.setattr(langid, "FEW", few)
     samples = {
         "a": "abracadabra", "b": "zzz", "c": "солнце светит ярко над морем", "d": "日本語の文章は漢字と仮名で書かれる。日本は島国である",
         "e": "ο ήλιος λάμπει πάνω από τη θάλασσα", "f": "abcabcabcabdabcabd" * 20,

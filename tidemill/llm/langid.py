@@ -23,6 +23,7 @@ repeated rows get repeated results; extra columns pass through and columns that
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,63 +37,53 @@ from tidemill.llm.memory import trimmed
 
 TRAIN_DOCS = 192
 TRAIN_CHARS = 32_000
-WINDOW = 512
+WINDOW = 1024
+BATCH_CHARS = 4_000_000
 TEMPER = 24.0
+FEW = 48
 UNKNOWN = "und"
 _BREAK, _OTHER = 0, 1
 _PLANES = 0x30000  # code points looked up in a table; rarer ones one by one
 
 
 class Automaton:
-    """The suffix automaton of a coded text. Its transitions are kept as displaced rows: that of state s by code c is
-    ``target[base[s] + c]`` if ``check[base[s] + c]`` is s, else the text lacks the phrase. The root (state 0) has a row
-    of its own, with 0 for codes that the text lacks altogether, and no entry among the displaced ones."""
+    """The suffix automaton of a coded text. Its transitions are kept as displaced rows: a state is the place of its row,
+    and its transition by code c is ``target[state + c]`` if ``check[state + c]`` is the state, else the text lacks the
+    phrase. The root (state 0) has a row of its own, with 0 for codes that the text lacks altogether, and no entry among
+    the displaced ones. Rows are put at pseudo-random places until they fit, the longest first."""
 
     def __init__(self, codes: list[int], width: int):
         nexts = _suffix_states(codes)
         self.bits = math.log2(max(2, len(codes)))
-        self.root = np.zeros(width, dtype=np.int32)
-        for code, state in nexts[0].items():
-            self.root[code] = state
-        base, check, target = [0] * len(nexts), [-1] * (2 * width), [0] * (2 * width)
-        low = width  # no cell before this one is free
-
-        def put(state: int, at: int) -> None:
-            if at + width >= len(check):
-                more = at + 2 * width - len(check)
-                check.extend([-1] * more)
-                target.extend([0] * more)
-            base[state] = at
-            for code, to in nexts[state].items():
-                check[at + code], target[at + code] = state, to
-
+        size = int(2.2 * sum(map(len, nexts))) + 8 * width + 64
+        check, place, taken, draw = [-1] * (size + width), [0] * len(nexts), {0}, 1
         for state in sorted(range(1, len(nexts)), key=lambda s: -len(nexts[s])):
             row = list(nexts[state])
-            if not row:
-                continue
-            while low < len(check) and check[low] >= 0:
-                low += 1
-            first, tries = row[0], 0
-            for cell in range(low, len(check)):  # the first place where the row fits; after some tries, behind the last
-                if check[cell] < 0 and all(cell - first + c < len(check) and check[cell - first + c] < 0 for c in row):
-                    put(state, cell - first)
-                    break
-                tries += 1
-                if tries > 200:
-                    put(state, len(check))
+            while True:
+                draw = (draw * 1103515245 + 12345) & 0x7FFFFFFF
+                at = (draw >> 7) % size
+                if at not in taken and all(check[at + c] < 0 for c in row):
                     break
-            else:
-                put(state, len(check))
-        size = len(check) + width
-        self.base = np.array(base, dtype=np.int32)
-        self.check, self.target = np.full(size, -1, dtype=np.int32), np.zeros(size, dtype=np.int32)
-        self.check[: len(check)], self.target[: len(target)] = check, target
+            taken.add(at)
+            place[state] = at
+            for c in row:
+                check[at + c] = at
+        self.check, self.target = np.array(check, dtype=np.int32), np.zeros(size + width, dtype=np.int32)
+        self.root = np.zeros(width, dtype=np.int32)
+        for state, row in enumerate(nexts):
+            for code, to in row.items():
+                if state:
+                    self.target[place[state] + code] = place[to]
+                else:
+                    self.root[code] = place[to]
+
+        self.rows = tuple(array("i", x.tobytes()) for x in (self.check, self.target, self.root))
 
     def step(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(next states, whether a phrase begins with this code)."""
-        at = self.base[state] + code
-        goes_on = self.check[at] == state
-        return np.where(goes_on, self.target[at], self.root[code]), ~goes_on
+        at = state + code
+        begins = self.check[at] != state
+        return np.where(begins, self.root[code], self.target[at]), begins
 
 
 def _suffix_states(codes: list[int]) -> list[dict[int, int]]:
@@ -208,7 +199,8 @@ class Model:
         more, joined, place = np.zeros(len(owner), np.int64), np.full(len(owner), -1, np.int64), np.zeros(len(owner), np.int64)
         window, at, state = open_windows, at[open_windows], state[open_windows]
         begin = ends - np.diff(ends, prepend=0)
-        while len(window):
+        check, target, root = machine.rows
+        while len(window) > FEW:
             state, fresh = machine.step(state, flat[at])
             text = owner[window]
             offset = at - begin[text]
@@ -219,6 +211,20 @@ class Model:
             at = at + 1
             goes_on = ~meets & (at < ends[text])
             window, at, state = window[goes_on], at[goes_on], state[goes_on]
+        for w, p, s in zip(window.tolist(), at.tolist(), state.tolist(), strict=True):  # long phrases: character by character
+            text = owner[w]
+            while p < ends[text] and joined[w] < 0:
+                for p, code in enumerate(flat[p : min(p + 4096, ends[text])].tolist(), p):
+                    if check[s + code] == s:
+                        s = target[s + code]
+                        continue
+                    s = root[code]
+                    there, inside = first[text] + (p - begin[text]) // WINDOW, (p - begin[text]) % WINDOW
+                    if starts[inside, lane[there]]:
+                        joined[w], place[w] = there, inside
+                        break
+                    more[w] += 1
+                p += 1
         return more, joined, place
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -294,7 +300,7 @@ def identify(
             lo = 0
             while lo < batch.num_rows:
                 hi, chars, texts = lo, 0, []
-                while hi < batch.num_rows and chars < 2_000_000:
+                while hi < batch.num_rows and chars < BATCH_CHARS:
                     texts.append(batch.column(at)[hi].as_py())
                     chars += len(texts[-1] or "") + 1
                     hi += 1
