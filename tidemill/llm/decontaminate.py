@@ -66,15 +66,17 @@ def slots(text: Column) -> Column:
 
 
 def _windows(df: DataFrame, lengths: list[int], *kept: str) -> DataFrame:
-    """(kept..., size, at, hash): the windows of these lengths of the ``words`` column."""
-    out = None
-    for size in lengths:
-        starts = F.when(F.size("words") >= size, F.sequence(F.lit(0), F.size("words") - size)).otherwise(F.array().cast("array<int>"))
-        rows = df.select(*kept, "words", F.explode(starts).alias("at"))
+    """(kept..., size, at, hash): the windows of these lengths of the ``words`` column, in one pass over them."""
+    last = F.size("words") - min(lengths)
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    rows = df.select(*kept, "words", F.explode(starts).alias("at"))
+
+    def window(size: int) -> Column:
         parts = [F.get(F.col("words"), F.col("at") + i) for i in range(size)]
-        rows = rows.select(*kept, F.lit(size).alias("size"), "at", F.xxhash64(*parts).alias("hash"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        return F.struct(F.lit(size).alias("size"), F.when(F.col("at") + size <= F.size("words"), F.xxhash64(*parts)).alias("hash"))
+
+    rows = rows.select(*kept, "at", F.explode(F.array(*map(window, lengths))).alias("w"))
+    return rows.select(*kept, "w.size", "at", "w.hash").filter(F.col("hash").isNotNull())
 
 
 def matches(df: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
