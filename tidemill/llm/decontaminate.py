@@ -10,8 +10,9 @@ in a row, and the slots are consistent: over the matched windows, every slot val
 shift of the document against the item, of a range of ``BAND`` shifts (words put in or left out), or the first place of
 every window; one alignment that passes is enough, and the one that matches most is listed.
 
-The documents' windows meet the benchmark's in a join on the hash. The benchmark's windows are broadcast only while
-they are at most ``BROADCAST_ROWS``; beyond that the join shuffles on the hash. Only what matched is grouped, with
+The documents' windows, of all lengths in one pass, meet the benchmark's in a join on the hash. The benchmark's windows,
+and the ids of contaminated documents, are broadcast only while they are at most ``BROADCAST_ROWS``; beyond that the
+joins shuffle. Only what matched is grouped, with
 map-side combine; slots are read again for matched documents only.
 
 Defined results: null and empty texts match nothing; items without words are ignored; items with equal texts each
@@ -117,7 +118,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     groups = materialize(groups, "covered")
     # slots, of matched documents and items only
     near = near.join(groups.select(*pair, "align"), [*pair, "align"], "left_semi")
-    ids = groups.select("doc_id").distinct()
+    ids = _ids(groups)
     texts = df.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     doc_slots = _located(texts, "doc_id", "doc_value").withColumnRenamed("at", "doc_at")
     item_slots = _located(benchmark.select("item_id", "text"), "item_id", "item_value").withColumnRenamed("at", "slot_at")
@@ -132,6 +133,12 @@ def contaminated(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     return out.groupBy(*pair).agg(best).select(*pair, "best.n_windows", "best.n_matched", "best.coverage", "best.n_slots", "best.n_consistent")
 
 
+def _ids(found: DataFrame) -> DataFrame:
+    """The distinct documents, broadcast while they are at most ``BROADCAST_ROWS``: the texts then stay where they are."""
+    ids = materialize(found.select("doc_id").distinct(), "ids")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def _runs(places: DataFrame) -> DataFrame:
     """(doc_id, item_id, align): the shifts at which at least ``RUN`` template words in a row agree."""
     key = ["doc_id", "item_id", "shift"]
@@ -186,5 +193,4 @@ def listing(df: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The filtering form: ``df`` without the contaminated documents."""
-    found = contaminated(df, benchmark).select("doc_id").distinct()
-    return df.join(found, "doc_id", "left_anti").select(*df.columns)
+    return df.join(_ids(contaminated(df, benchmark)), "doc_id", "left_anti").select(*df.columns)
