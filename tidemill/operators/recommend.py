@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.clean import dot
+from tidemill.operators import sharing
 from tidemill.operators.positions import label_encode
 from tidemill.runtime import materialize, table
 
@@ -45,51 +46,21 @@ def known_pairs(test: DataFrame, train: DataFrame) -> DataFrame:
 
 def cosine(ui: DataFrame, entity: str, by: str, support: int = 1) -> DataFrame:
     """Cosine of two entities, missing counting as 0, for pairs that share at least ``support``: (a, b, shared, sim).
-    Pairs that share nothing have 0 and no row; a higher support leaves out pairs of other than 0. Products combine on
-    the map side; a hot key of ``by`` is one that adaptive execution splits."""
-    norms = ui.groupBy(entity).agg(F.sqrt(F.sum(F.col("rating") * F.col("rating"))).alias("norm"))
-    left = ui.select(F.col(by), F.col(entity).alias("a"), F.col("rating").alias("ra"))
-    right = ui.select(F.col(by), F.col(entity).alias("b"), F.col("rating").alias("rb"))
-    pairs = left.join(right, by).filter("a < b").groupBy("a", "b")
-    pairs = pairs.agg(F.sum(F.col("ra") * F.col("rb")).alias("dot"), F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= support)
-    na = norms.select(F.col(entity).alias("a"), F.col("norm").alias("na"))
-    nb = norms.select(F.col(entity).alias("b"), F.col("norm").alias("nb"))
-    joined = pairs.join(na, "a").join(nb, "b")
-    return joined.select("a", "b", "shared", F.round(F.col("dot") / F.nullif(F.col("na") * F.col("nb"), F.lit(0.0)), 6).alias("sim"))
+    Pairs that share nothing have 0 and no row; a higher support leaves out pairs of other than 0."""
+    return sharing.pairs(ui, entity, by, support)
 
 
-def _both_ways(sims: DataFrame) -> DataFrame:
-    return sims.select("a", "b", "sim").unionByName(sims.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-
-
-def _sharing(ui: DataFrame, by: str, entity: str, value: Column) -> DataFrame:
-    """(by, a, b, value): the ordered pairs of different entities that share a key, with b's value. The similarity of such
-    a pair is looked up afterwards, so that no pair is made that no prediction needs."""
-    own = ui.select(by, F.col(entity).alias("a"))
-    other = ui.select(by, F.col(entity).alias("b"), value.alias("value"))
-    return own.join(other, by).filter("a <> b")
-
-
-def _with_similarity(pairs: DataFrame, sims: DataFrame) -> DataFrame:
-    sims = sims.select(F.col("a").alias("lo"), F.col("b").alias("hi"), "sim")
-    return pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(sims, ["lo", "hi"])
-
-
-def item_cf(ui: DataFrame, sims: DataFrame) -> DataFrame:
+def item_cf(ui: DataFrame) -> DataFrame:
     """Sum of similarity times rating over sum of similarity, over the user's other items: (user, item, pred)."""
-    joined = _with_similarity(_sharing(ui, "user", "item", F.col("rating")), sims)
-    grouped = joined.groupBy("user", F.col("a").alias("item")).agg(F.sum(F.col("sim") * F.col("value")).alias("top"), F.sum("sim").alias("low"))
-    return grouped.select("user", "item", F.round(F.coalesce(F.col("top") / F.nullif(F.col("low"), F.lit(0.0)), F.lit(0.0)), 6).alias("pred"))
+    sums = sharing.weighted(ui, "item", "user", centred=False)
+    return sums.select(F.col("key").alias("user"), F.col("a").alias("item"), F.round(F.coalesce(F.col("top") / F.nullif(F.col("low"), F.lit(0.0)), F.lit(0.0)), 6).alias("pred"))
 
 
-def user_cf(ui: DataFrame, sims: DataFrame) -> DataFrame:
+def user_cf(ui: DataFrame) -> DataFrame:
     """The user's mean plus the neighbours' weighted deviations from theirs: (user, item, pred)."""
-    means = ui.groupBy("user").agg(F.avg("rating").alias("mean"))
-    joined = _with_similarity(_sharing(ui.join(means, "user"), "item", "user", F.col("rating") - F.col("mean")), sims)
-    summed = joined.groupBy("a", "item").agg(F.sum(F.col("sim") * F.col("value")).alias("top"), F.sum(F.abs("sim")).alias("low"))
-    out = summed.join(means.withColumnRenamed("user", "a"), "a")
+    sums = sharing.weighted(ui, "user", "item", centred=True)
     pred = F.col("mean") + F.coalesce(F.col("top") / F.nullif(F.col("low"), F.lit(0.0)), F.lit(0.0))
-    return out.select(F.col("a").alias("user"), "item", F.round(pred, 6).alias("pred"))
+    return sums.select(F.col("a").alias("user"), F.col("key").alias("item"), F.round(pred, 6).alias("pred"))
 
 
 def bias_baseline(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -193,16 +164,18 @@ def candidates(users: DataFrame, items: DataFrame, train: DataFrame) -> DataFram
     return users.select("user").crossJoin(items.select("item")).join(seen, ["user", "item"], "left_anti")
 
 
-def neighbour_candidates(ui: DataFrame, sims: DataFrame, k: int, n: int) -> DataFrame:
+def neighbour_candidates(ui: DataFrame, k: int, n: int) -> DataFrame:
     """(user, item, score, rank): from each user's ``k`` most similar users the items that the user lacks, scored by the
-    sum of similarity times rating over the sum of similarity of those who have it; the ``n`` best."""
-    near = top_k(_both_ways(sims).select(F.col("a").alias("user"), F.col("b").alias("item"), F.col("sim").alias("pred")), k)
-    near = near.select("user", F.col("item").alias("other"), F.col("pred").alias("sim"))
-    held = ui.select(F.col("user").alias("other"), "item", "rating")
-    scored = near.join(held, "other").groupBy("user", "item")
-    scored = scored.agg((F.sum(F.col("sim") * F.col("rating")) / F.nullif(F.sum("sim"), F.lit(0.0))).alias("score"))
-    fresh = scored.join(ui.select("user", "item"), ["user", "item"], "left_anti").withColumn("score", F.round("score", 6))
-    return top_k(fresh, n, "score")
+    sum of similarity times rating over the sum of similarity of those who have it; the ``n`` best. Lists travel to the
+    user whole; candidates are made and ranked where they arrive."""
+    near = sharing.nearest(ui, "user", "item", k).select(F.col("a").alias("user"), F.col("b").alias("other"), "sim")
+    held = ui.groupBy(F.col("user").alias("other")).agg(F.collect_list(F.struct("item", "rating")).alias("held"))
+    own = ui.groupBy("user").agg(F.collect_list(F.struct("item", "rating")).alias("held"))
+    lists = near.join(held, "other").select("user", "sim", F.lit(False).alias("own"), "held")
+    lists = lists.unionByName(own.select("user", F.lit(None).cast("double").alias("sim"), F.lit(True).alias("own"), "held"))
+    rows = lists.repartition("user").select("user", "sim", "own", F.inline("held"))
+    scored = rows.groupBy("user", "item").agg((F.sum(F.col("sim") * F.col("rating")) / F.nullif(F.sum("sim"), F.lit(0.0))).alias("score"), F.max("own").alias("own"))
+    return top_k(scored.filter("NOT own").select("user", "item", F.round("score", 6).alias("score")), n, "score")
 
 
 def decompose(vector: Column, bias: float, linear: list[float], factors: list[list[float]]) -> list[Column]:

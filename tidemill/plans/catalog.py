@@ -347,23 +347,19 @@ def user_cosine(spark, sf_dir):
 @query(ITEMS + """SELECT ui."user", ui.item, round(coalesce(sum(sim * o.rating) / nullif(sum(sim), 0), 0), 6) AS pred
   FROM ui JOIN both_ways ON a = ui.item JOIN ui o ON o."user" = ui."user" AND o.item = b GROUP BY 1, 2""")
 def item_cf_predict(spark, sf_dir):
-    ui = materialize(_ui(spark, sf_dir), "ui")
-    return recommend.item_cf(ui, recommend.cosine(ui, "item", "user"))
+    return recommend.item_cf(_ui(spark, sf_dir))
 
 
 @query(USERS + """, means AS (SELECT "user", avg(rating) AS mean FROM ui GROUP BY 1)
   SELECT ui."user", ui.item, round(any_value(m.mean) + coalesce(sum(sim * (o.rating - om.mean)) / nullif(sum(abs(sim)), 0), 0), 6) AS pred
   FROM ui JOIN both_ways ON a = ui."user" JOIN ui o ON o."user" = b AND o.item = ui.item JOIN means om ON om."user" = b JOIN means m ON m."user" = ui."user" GROUP BY 1, 2""")
 def user_cf_predict(spark, sf_dir):
-    ui = materialize(_ui(spark, sf_dir), "ui")
-    return recommend.user_cf(ui, recommend.cosine(ui, "user", "item"))
+    return recommend.user_cf(_ui(spark, sf_dir))
 
 
 @query(ITEMS + """SELECT a, b, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank FROM both_ways) WHERE rank <= 3""")
 def item_neighbours(spark, sf_dir):
-    sims = recommend.cosine(_ui(spark, sf_dir), "item", "user")
-    both = sims.select("a", "b", "sim").unionByName(sims.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    return recommend.top_k(both.select(F.col("a").alias("user"), F.col("b").alias("item"), F.col("sim").alias("pred")), 3).toDF("a", "b", "sim", "rank")
+    return recommend.sharing.nearest(_ui(spark, sf_dir), "item", "user", 3)
 
 
 @query(BIAS + "SELECT * FROM predicted")

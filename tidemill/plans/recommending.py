@@ -81,7 +81,7 @@ def candidate_top_n(spark, sf_dir):
   SELECT "user", item, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, item) AS rank FROM f) WHERE rank <= 3""")
 def neighbour_top_n(spark, sf_dir):
     ui = materialize(_ui(spark, sf_dir), "ui")
-    return recommend.neighbour_candidates(ui, recommend.cosine(ui, "user", "item"), 5, 3)
+    return recommend.neighbour_candidates(ui, 5, 3)
 
 
 @query(f"""WITH v(i, f, w) AS (SELECT i + 1, f, ((i * 7 + f * 3) % 11 - 5) / 10.0::DOUBLE FROM range(64) a(i), range(4) b(f)),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -123,3 +124,10 @@ def discard(df: DataFrame) -> None:
             _delete(spark, name)
             for path in [p for p in _written if p.rsplit("/", 1)[-1] == name.rsplit("/", 1)[-1]]:
                 del _written[path]
+
+
+def collect_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that nothing holds any more; else they stay until the driver's next full
+    collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
