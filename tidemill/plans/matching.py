@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemill.operators import matching, recommend, schedule
+from tidemill.operators import matching, recommend
 from tidemill.plans.catalog import BIAS, BUSY, _slots, _split, query
 from tidemill.runtime import table
 
@@ -15,7 +15,7 @@ from tidemill.runtime import table
   f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY minutes DESC, y) AS r FROM s) WHERE r <= 50)
   SELECT x AS "user", y AS mate, CAST(minutes AS BIGINT) AS minutes, days, rank FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY days DESC, minutes DESC, y) AS rank FROM f) WHERE rank <= 5""")
 def mates(spark, sf_dir):
-    return matching.mates(schedule.overlapping(_slots(spark, sf_dir), 200))
+    return matching.mates(_slots(spark, sf_dir), 200)
 
 
 @query("""WITH a(request, budget, minutes) AS (VALUES (1, 1000.0::DOUBLE, 10), (2, 1200.0::DOUBLE, 25), (3, 950.0::DOUBLE, 50), (4, 0.0::DOUBLE, 50))
