@@ -91,3 +91,7 @@ def test_neighbour_top_n_shuffles_no_pairs(spark, small):
     """Lists of neighbours are joined, rows of pairs are not; candidates aren't shuffled again."""
     plan = catalog.QUERIES["neighbour_top_n"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" not in plan and "MapInArrow" in plan
+
+
+def test_item_cf_predict_shuffles_no_pairs(spark, small):
+    no_join_of_pairs(spark, small, "item_cf_predict")
