@@ -95,3 +95,7 @@ def test_neighbour_top_n_shuffles_no_pairs(spark, small):
 
 def test_item_cf_predict_shuffles_no_pairs(spark, small):
     no_join_of_pairs(spark, small, "item_cf_predict")
+
+
+def test_user_cf_predict_shuffles_no_pairs(spark, small):
+    no_join_of_pairs(spark, small, "user_cf_predict")
