@@ -99,3 +99,7 @@ def test_item_cf_predict_shuffles_no_pairs(spark, small):
 
 def test_user_cf_predict_shuffles_no_pairs(spark, small):
     no_join_of_pairs(spark, small, "user_cf_predict")
+
+
+def test_item_cosine_shuffles_no_pairs(spark, small):
+    no_join_of_pairs(spark, small, "item_cosine")
