@@ -103,3 +103,7 @@ def test_user_cf_predict_shuffles_no_pairs(spark, small):
 
 def test_item_cosine_shuffles_no_pairs(spark, small):
     no_join_of_pairs(spark, small, "item_cosine")
+
+
+def test_user_cosine_shuffles_no_pairs(spark, small):
+    no_join_of_pairs(spark, small, "user_cosine")
