@@ -3,8 +3,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -218,7 +220,7 @@ def als_predict(train: DataFrame, test: DataFrame, rank: int = 10, reg: float =
     return out.select("user", "item", "actual", (F.col("pred") + F.col("prediction")).alias("pred"))
 
 
-def _descend(ratings, p: dict, q: dict, mu: float, rate: float, reg: float) -> None:
+def _descend(ratings, p, q, mu: float, rate: float, reg: float) -> None:
     """One pass of biased factorisation over (user, item, rating) rows, in place: error, biases, the user's factors, the
     item's by the user's new ones. A vector's last entry is its bias."""
     for u, i, r in ratings:
@@ -230,6 +232,48 @@ def _descend(ratings, p: dict, q: dict, mu: float, rate: float, reg: float) -> N
         b[:-1] += rate * (error * a[:-1] - reg * b[:-1])
 
 
+def _descend_cells(k: int, mu: float, rate: float, reg: float):
+    """Cells in order, of each the users' factors, the items' and the ratings by user and item: the factors are held as
+    arrays, the ratings pass by in batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, cell = {}, None
+
+        def factors(kind):
+            if not isinstance(held.get(kind), tuple):
+                parts = held.get(kind) or [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, k + 1)))]
+                held[kind] = tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+            return held[kind]
+
+        def moved():
+            for kind in "pq":
+                ids, block, f = factors(kind)
+                for lo in range(0, len(ids), 10_000):
+                    part = slice(lo, lo + 10_000)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids[part]) + 1, dtype=np.int32) * (k + 1)), pa.array(f[part].ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(ids[part])), pa.array(ids[part]), pa.array(block[part]), lists], ["kind", "id", "block", "f"])
+
+        for batch in batches:
+            cells, kinds = batch.column("cell").to_numpy(), batch.column("kind").to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]) | (kinds[1:] != kinds[:-1])]) if len(cells) else []
+            for lo, hi in zip(edges, [*edges[1:], len(cells)], strict=True):
+                if cells[lo] != cell:
+                    yield from moved()
+                    held, cell = {}, cells[lo]
+                rows, kind = batch.slice(lo, hi - lo), kinds[lo]
+                ids = rows.column("id").to_numpy()
+                if kind != "r":
+                    f = rows.column("f").flatten().to_numpy().reshape(-1, k + 1)
+                    held.setdefault(kind, []).append((ids.copy(), rows.column("block").to_numpy().copy(), f.copy()))
+                    continue
+                (users, _, p), (items, _, q) = factors("p"), factors("q")
+                u, i = np.searchsorted(users, ids).tolist(), np.searchsorted(items, rows.column("item").to_numpy()).tolist()
+                _descend(zip(u, i, rows.column("rating").to_numpy().tolist(), strict=True), p, q, mu, rate, reg)
+        yield from moved()
+
+    return run
+
+
 def _first_factors(df: DataFrame, entity: str, k: int, seed: int, blocks: int) -> DataFrame:
     """(id, block, f): factors from 0 to 6 / k by a hash of the id, and a bias of 0."""
     draw = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.pmod(F.xxhash64("id", F.lit(entity), j, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20) * 6.0 / k)
@@ -253,16 +297,8 @@ def block_sgd(
     mu = rows.groupBy("item").agg(F.avg("rating").alias("m")).agg(F.avg("m")).head()[0] or 0.0
     p, q = (materialize(_first_factors(rows, e, k, seed, blocks), e) for e in ("user", "item"))
     schema = "kind string, id long, block int, f array<double>"
-
-    def descend(_, cell):
-        found = {}
-        for kind in "pq":
-            part = cell[cell["kind"] == kind]
-            found[kind] = {i: np.array(f) for i, f in zip(part["id"], part["f"], strict=True)}, dict(zip(part["id"], part["block"], strict=True))
-        ratings = cell[cell["kind"] == "r"].sort_values(["id", "item"])
-        _descend(ratings[["id", "item", "rating"]].itertuples(index=False, name=None), found["p"][0], found["q"][0], mu, rate, reg)
-        out = [(kind, i, found[kind][1][i], f.tolist()) for kind in "pq" for i, f in found[kind][0].items()]
-        return pd.DataFrame(out, columns=["kind", "id", "block", "f"])
+    slots = sharing._slots(train.sparkSession, blocks)  # each cell is a partition of its own
+    slot_of = F.element_at(F.array(*[F.lit(int(x)) for x in slots]), F.col("cell") + 1)
 
     errors, best = [], None
     none = F.lit(None)
@@ -274,7 +310,9 @@ def block_sgd(
                 p.select(F.col("block").alias("cell"), F.lit("p").alias("kind"), "id", none.cast("long").alias("item"), none.cast("double").alias("rating"), "block", "f"),
                 q.select(F.pmod(F.col("block") - stratum, F.lit(blocks)).alias("cell"), F.lit("q").alias("kind"), "id", none.cast("long").alias("item"), none.cast("double").alias("rating"), "block", "f"),
             ]
-            moved = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("cell").applyInPandas(descend, schema)
+            moved = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("slot", slot_of)
+            moved = moved.repartition(blocks, "slot").sortWithinPartitions("cell", "kind", "id", "item").drop("slot")
+            moved = moved.mapInArrow(_descend_cells(k, mu, rate, reg), schema)
             moved = materialize(moved, "factors")
             p, q = (moved.filter(F.col("kind") == kind).drop("kind") for kind in "pq")
         if valid is not None:
