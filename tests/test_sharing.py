@@ -107,3 +107,20 @@ def test_item_cosine_shuffles_no_pairs(spark, small):
 
 def test_user_cosine_shuffles_no_pairs(spark, small):
     no_join_of_pairs(spark, small, "user_cosine")
+
+
+@pytest.mark.parametrize("mode", ["pairs", "nearest", "predict"])
+def test_parts_read_all_lists_and_send_none(spark, monkeypatch, mode):
+    """Each part is a task of its own and reads every list from the shared folder: no shuffle is left in the plan."""
+    monkeypatch.setattr(sharing, "LEAST_TASK", 20)
+    draw = np.random.default_rng(3)
+    cells = sorted({(int(u), int(i)) for u, i in zip(draw.integers(0, 30, 300), draw.integers(0, 25, 300), strict=True)})
+    ui = spark.createDataFrame([(u, i, float(draw.integers(1, 50))) for u, i in cells], "user long, item long, rating double")
+    schema = {"pairs": "a long, b long, shared long, sim double", "nearest": "a long, b long, sim double, rank long", "predict": "key long, a long, top double, low double, mean double"}[mode]
+    few = sharing._over_lists(ui, "item", "user", mode, schema, k=3)
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
+    assert few.rdd.getNumPartitions() >= sharing._parts(spark, ui, "user") > 4
+    monkeypatch.setattr(sharing, "SCANS", 0)
+    sent = sharing._over_lists(ui, "item", "user", mode, schema, k=3)
+    assert "Exchange" in sent._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, few.collect())) == [pytest.approx(tuple(r)) for r in sorted(map(tuple, sent.collect()))]

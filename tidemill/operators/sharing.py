@@ -1,12 +1,14 @@
 """Entities that share keys, row by row: each entity's lists meet in one task, so that no pair is shuffled, and what
 leaves the task is a pair's similarity, an entity's nearest ones or a prediction.
 
-Entities are dealt into ``parts`` by a hash. A key's list goes once to every part that owns one of its entities, packed
-(about 3 bytes an entry); norms go to every part. A part holds its lists and expands about ``PAIRS`` pairs at a time."""
+Entities are dealt into ``parts`` by a hash. Lists and norms are packed once (about 3 bytes an entry) into the shared folder,
+where each part's task reads all of them and holds the lists with one of its entities: nothing is sent, so disk doesn't grow
+with the parts. Only beyond ``SCANS`` parts a list is sent to every part that owns one of its entities. A part expands
+about ``PAIRS`` pairs at a time."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.operators.positions import label_encode
-from tidemill.runtime import collect_shuffles, materialize
+from tidemill.runtime import collect_shuffles, discard, materialize
 
-ENTRIES = 32_000_000  # of lists in a part
+ENTRIES = 48_000_000  # of lists in a part
+OWN = 2_000_000  # entries of a part's own entities
+SCANS = 512  # parts up to which each reads all lists
 SOME = 200_000  # entries packed at once
 PAIRS = 1_000_000  # expanded at once
 LEAST_TASK = 100_000  # entries, under which a part isn't worth a task
@@ -136,10 +140,43 @@ def rounded(x: np.ndarray) -> np.ndarray:
     return np.trunc(y + np.copysign(np.nextafter(0.5, 0), y)) / 1e6
 
 
+class _Grown:
+    """Numbers added piece by piece, without a second copy of all."""
+
+    def __init__(self, dtype):
+        self.all, self.n = np.empty(0, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        dtype = np.result_type(self.all, values)
+        if dtype != self.all.dtype:
+            self.all = self.all.astype(dtype)
+        if self.n + len(values) > len(self.all):
+            self.all.resize(max(self.n + len(values), len(self.all) * 5 // 4), refcheck=False)
+        self.all[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    def done(self) -> np.ndarray:
+        self.all.resize(self.n, refcheck=False)
+        return self.all
+
+
+def _small(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in as few bytes as they take."""
+    if values.dtype != np.int64 or not len(values):
+        return values
+    return values.astype(np.min_scalar_type(-max(abs(int(values.min())), abs(int(values.max()))) - 1))
+
+
+def _unrolled(n: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """The entities of lists of the given sizes from their steps."""
+    total, begin = np.cumsum(step), np.cumsum(n) - n
+    return total - np.repeat(total[begin] - step[begin], n)
+
+
 class _Lists:
-    """A part's lists: entries as codes of the norm table and ratings, list by list."""
+    """The lists that hold an entity of the part: entries as codes of the norm table and ratings, list by list."""
 
-    def __init__(self, norms: list[bytes], lists: list[bytes]):
+    def __init__(self, norms: list[bytes], lists: Iterable[bytes], part: int, parts: int):
         tables = []
         while norms:
             step, squares, mean = _split(norms.pop())
@@ -147,30 +184,34 @@ class _Lists:
         ids, squares, self.mean = (np.concatenate(c) for c in zip(*tables, strict=True))
         order = np.argsort(ids)
         self.ids, self.norm, self.mean = ids[order], np.sqrt(squares[order]), self.mean[order]
+        self.mine = _part(self.ids, parts) == part
         low, high = int(self.ids[0]), int(self.ids[-1])
         table = None
         if high - low < 8 * len(ids) + 1000:
             table = np.zeros(high - low + 1, np.int32)
             table[self.ids - low] = np.arange(len(ids), dtype=np.int32)
-        code, rating, size, key = [], [], [], []
-        while lists:
-            n, step, rat, *keys = _split(lists.pop())
-            total = np.cumsum(step)
-            begin = np.cumsum(n) - n
-            ent = total - np.repeat(total[begin] - step[begin], n)
-            code.append(table[ent - low] if table is not None else np.searchsorted(self.ids, ent).astype(np.int32))
-            rating.append(rat.astype(np.min_scalar_type(-max(abs(int(rat.min())), abs(int(rat.max()))) - 1)) if rat.dtype == np.int64 else rat)
-            size.append(n)
-            key += keys
-        self.code, self.rating, self.size = (np.concatenate(c) for c in (code, rating, size))
-        self.key = np.concatenate(key) if key else None
+        code, rating, size, key = _Grown(np.int32), _Grown(np.int8), _Grown(np.int64), _Grown(np.int64)
+        for blob in lists:
+            n, step, rat, *keys = _split(blob)
+            ent = _unrolled(n, step)
+            codes = table[ent - low] if table is not None else np.searchsorted(self.ids, ent).astype(np.int32)
+            held = np.logical_or.reduceat(self.mine[codes], np.cumsum(n) - n)
+            if not held.all():
+                entries = np.repeat(held, n)
+                codes, rat, n, keys = codes[entries], rat[entries], n[held], [k[held] for k in keys]
+            code.add(codes)
+            rating.add(_small(rat))
+            size.add(n)
+            for k in keys:
+                key.add(k)
+        self.code, self.rating, self.size, self.key = code.done(), rating.done(), size.done(), key.done()
         self.end = np.cumsum(self.size)
 
 
-def _rows(lists: _Lists, part: int, parts: int, half: bool):
+def _rows(lists: _Lists, half: bool):
     """The owned entries in order of their entity, in chunks of whole entities of about PAIRS pairs, or of one entity in
     several pieces. Gives (entries, list of each, start, size) and whether the next chunk goes on with the entity."""
-    own = np.flatnonzero(_part(lists.ids, parts)[lists.code] == part)
+    own = np.flatnonzero(lists.mine[lists.code])
     own = own[np.argsort(lists.code[own], kind="stable")]
     of = np.searchsorted(lists.end, own, side="right")
     start = own + 1 if half else lists.end[of] - lists.size[of]
@@ -270,13 +311,41 @@ def _best(a, value, k):
     return np.concatenate(places), np.concatenate(ranks)
 
 
-def _visit(mode: str, k: int, support: int, centred: bool, slots: np.ndarray):
-    """Messages of whole parts to (a, b, shared, sim), to (a, b, sim, rank) or to (key, a, top, low, mean)."""
+def _batches(columns: Iterable[list], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for found in columns:
+        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in found], names)
+
+
+def _rest(first: list[bytes], rows: Iterator) -> Iterator[bytes]:
+    """The lists held back and those still to come, each let go once it is read."""
+    while first:
+        yield first.pop()
+    for _, _, blob in rows:
+        yield blob
+
+
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, bool, bytes]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+
+
+def _tables_first(batches: Iterable[pa.RecordBatch], tables: int) -> tuple[list[bytes], Iterator[bytes]]:
+    """The blobs of ``tables`` tables, wherever they come, and those of the lists."""
+    rows, norms, held = _packed(batches), [], []
+    while len(norms) < tables and (row := next(rows, None)):
+        (norms if row[1] else held).append(row[2])
+    return norms, _rest(held, rows)
+
+
+def _visit(mode: str, k: int, support: int, centred: bool, slots: np.ndarray, part: int | None = None, tables: int = 0):
+    """Messages of whole parts to (a, b, shared, sim), to (a, b, sim, rank) or to (key, a, top, low, mean). With ``part``
+    all lists, of which that part takes its own, and ``tables`` blobs of norms."""
     parts, half = len(slots), mode == "pairs"
     part_of = {int(s): i for i, s in enumerate(slots)}
 
-    def visit(part: int, lists: _Lists):
-        for pieces in _rows(lists, part, parts, half):
+    def visit(lists: _Lists):
+        for pieces in _rows(lists, half):
             a, b, shared, dot, least, again = _sums(lists, pieces)
             sim, none = _similar(lists, a, b, dot, least)
             if mode == "predict":
@@ -304,24 +373,27 @@ def _visit(mode: str, k: int, support: int, centred: bool, slots: np.ndarray):
     names = {"pairs": ["a", "b", "shared", "sim"], "nearest": ["a", "b", "sim", "rank"], "predict": ["key", "a", "top", "low", "mean"]}[mode]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if part is not None:
+            norms, blobs = _tables_first(batches, tables)
+            if norms:
+                yield from _batches(visit(_Lists(norms, blobs, part, parts)), names)
+            return
         held: dict[int, tuple[list, list]] = {}
-        for batch in batches:
-            for slot, norms, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(part_of[slot], ([], []))[0 if norms else 1].append(blob)
-        for part in list(held):
-            norms, blobs = held.pop(part)
+        for slot, norm, blob in _packed(batches):
+            held.setdefault(part_of[slot], ([], []))[0 if norm else 1].append(blob)
+        for i in list(held):
+            norms, blobs = held.pop(i)
             if blobs:
-                for columns in visit(part, _Lists(norms, blobs)):
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+                yield from _batches(visit(_Lists(norms, _rest(blobs, iter(())), i, parts)), names)
 
     return run
 
 
 def _parts(spark, rows: DataFrame, by: str) -> int:
-    """So many that a part's lists have about ENTRIES entries; for small tables a few tasks."""
+    """So many that a part's lists have about ENTRIES entries, OWN of them its own; for small tables a few tasks."""
     n, keys = rows.agg(F.count(F.lit(1)), F.approx_count_distinct(by)).head()
     mean = n / max(1, keys)
-    parts = max(1, min(2 * spark.sparkContext.defaultParallelism, n // LEAST_TASK))
+    parts = max(1, min(2 * spark.sparkContext.defaultParallelism, n // LEAST_TASK), n // OWN)
     while n * (1 - (1 - 1 / parts) ** mean) > ENTRIES:  # entries that reach a part
         parts = parts * 5 // 4 + 1
     return parts
@@ -341,21 +413,54 @@ def _slots(spark, parts: int) -> np.ndarray:
 WHOLE = ("byte", "short", "integer", "long")
 
 
-def _over_lists(ui: DataFrame, entity: str, by: str, mode: str, schema: str, k: int = 0, support: int = 1, centred: bool = False) -> DataFrame:
-    spark = ui.sparkSession
-    rows, kinds, codes = ui.select(F.col(by).alias("key"), F.col(entity).alias("entity"), F.col("rating").cast("double").alias("rating")), dict(ui.dtypes), {}
+BLOBS = "slot long, norms boolean, blob binary"
+
+
+def _in_every_part(packed: DataFrame, parts: int, run: Callable[[int], Callable], schema: str) -> DataFrame:
+    """``run(part)`` over all of ``packed``, a task for each part. A union of single partitions alone would be a single one
+    (spark.sql.unionOutputPartitioning), so one child without rows has two."""
+    fields = [field.split() for field in schema.split(", ")]
+    none = packed.sparkSession.range(0, 0, 1, 2).select(*[F.lit(None).cast(kind).alias(name) for name, kind in fields])
+    found = [packed.coalesce(1).mapInArrow(run(part), schema) for part in range(parts)]
+    while len(found) > 1:  # by halves, so that the plan isn't deep
+        found = [found[i].unionByName(found[i + 1]) if i + 1 < len(found) else found[i] for i in range(0, len(found), 2)]
+    return found[0].unionByName(none)
+
+
+def _lists_of(rows: DataFrame) -> DataFrame:
+    return rows.filter("key IS NOT NULL AND entity IS NOT NULL").repartition("key").sortWithinPartitions("key", "entity")
+
+
+def _coded(ui: DataFrame, entity: str, by: str) -> tuple[DataFrame, dict]:
+    """(key, entity, rating) with whole numbers as ids, written once, and the codes of what isn't one."""
+    rows, codes = ui.select(F.col(by).alias("key"), F.col(entity).alias("entity"), F.col("rating").cast("double").alias("rating")), {}
     for name, column in (("key", by), ("entity", entity)):
         if ui.schema[column].dataType.typeName() not in WHOLE:
             codes[name] = materialize(label_encode(rows, name), "codes")
             rows = rows.join(codes[name], name, "left").withColumn(name, F.col("code")).drop("code")
     rows = materialize(rows.select(F.col("key").cast("long").alias("key"), F.col("entity").cast("long").alias("entity"), "rating"), "lists")
-    collect_shuffles(spark)
-    slots = _slots(spark, _parts(spark, rows, "key"))
+    collect_shuffles(ui.sparkSession)
+    return rows, codes
+
+
+def _over_lists(ui: DataFrame, entity: str, by: str, mode: str, schema: str, k: int = 0, support: int = 1, centred: bool = False) -> DataFrame:
+    spark, kinds = ui.sparkSession, dict(ui.dtypes)
+    rows, codes = _coded(ui, entity, by)
+    parts = _parts(spark, rows, "key")
+    slots = np.arange(parts) if parts <= SCANS else _slots(spark, parts)
     stats = rows.filter("entity IS NOT NULL").groupBy("entity").agg(F.sum(F.col("rating") * F.col("rating")).alias("squares"), F.avg("rating").alias("mean") if mode == "predict" else F.lit(0.0).alias("mean"))
-    lists = rows.filter("key IS NOT NULL AND entity IS NOT NULL").repartition("key").sortWithinPartitions("key", "entity")
-    kind = "slot long, norms boolean, blob binary"
-    sent = lists.mapInArrow(_messages(slots, mode == "pairs", mode == "predict"), kind).unionByName(stats.mapInArrow(_norms(slots), kind))
-    out = sent.repartition(len(slots), "slot").mapInArrow(_visit(mode, k, support, centred, slots), schema)
+    if parts <= SCANS:
+        once = np.zeros(1, np.int64)
+        norms = materialize(stats.mapInArrow(_norms(once), BLOBS), "norms")
+        collect_shuffles(spark)
+        lists = materialize(_lists_of(rows).mapInArrow(_messages(once, False, mode == "predict"), BLOBS), "packed")
+        tables = norms.count()
+        discard(rows)
+        collect_shuffles(spark)
+        out = _in_every_part(norms.unionByName(lists), parts, lambda part: _visit(mode, k, support, centred, slots, part, tables), schema)
+    else:
+        sent = _lists_of(rows).mapInArrow(_messages(slots, mode == "pairs", mode == "predict"), BLOBS).unionByName(stats.mapInArrow(_norms(slots), BLOBS))
+        out = sent.repartition(parts, "slot").mapInArrow(_visit(mode, k, support, centred, slots), schema)
     for column, of in (("key", "key"), ("a", "entity"), ("b", "entity")):
         if column in out.columns and of in codes:
             names = codes[of].select(F.col("code").alias(column), F.col(of).alias("__name"))
