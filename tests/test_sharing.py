@@ -124,3 +124,42 @@ def test_parts_read_all_lists_and_send_none(spark, monkeypatch, mode):
     sent = sharing._over_lists(ui, "item", "user", mode, schema, k=3)
     assert "Exchange" in sent._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, few.collect())) == [pytest.approx(tuple(r)) for r in sorted(map(tuple, sent.collect()))]
+
+
+def test_neighbour_top_n_sends_no_lists_to_users(spark, monkeypatch):
+    """Neighbours' lists are read where users are; against plain loops, with names as ids too."""
+    from tidemill.operators import recommend
+
+    monkeypatch.setattr(sharing, "LEAST_TASK", 20)
+    monkeypatch.setattr(sharing, "PAIRS", 50)
+    draw = np.random.default_rng(5)
+    cells = sorted({(int(u), int(i)) for u, i in zip(draw.integers(0, 30, 200), draw.integers(0, 25, 200), strict=True)})
+    rows = [(u, i, float(draw.integers(1, 50))) for u, i in cells] + [(99, 999, 4.0)]
+    near = brute([(i, u, r) for u, i, r in rows])[0]
+    held, want = defaultdict(dict), set()
+    for u, i, r in rows:
+        held[u][i] = r
+    for u in held:
+        best = sorted((-s, b) for (a, b), s in near.items() if a == u)[:3]
+        top, low = defaultdict(float), defaultdict(float)
+        for s, b in best:
+            for i, r in held[b].items():
+                top[i], low[i] = top[i] - s * r, low[i] - s
+        scores = sorted((-round(top[i] / low[i], 6), i) for i in top if i not in held[u])[:2]
+        want |= {(u, i, -s, at + 1) for at, (s, i) in enumerate(scores)}
+    ui = spark.createDataFrame(rows, "user long, item long, rating double")
+    got = recommend.neighbour_candidates(ui, 3, 2)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: (r[0], r[3])
+    assert sorted(map(tuple, got.collect()), key=key) == [(u, i, pytest.approx(s, abs=2e-6), at) for u, i, s, at in sorted(want, key=key)]
+    named = recommend.neighbour_candidates(ui.selectExpr("format_string('u%03d', user) AS user", "format_string('i%03d', item) AS item", "rating"), 3, 2)
+    assert {(int(r[0][1:]), int(r[1][1:]), r[3]) for r in named.collect()} == {(u, i, at) for u, i, _, at in want}
+
+
+def test_neighbour_without_an_item(spark):
+    """A null item is a candidate, also of a user with one, as in the SQL; a user without id has no neighbours."""
+    from tidemill.operators import recommend
+
+    ui = spark.createDataFrame([(1, 5, 1.0), (1, None, 2.0), (2, 5, 3.0), (2, None, 4.0), (2, 6, 4.0), (None, 5, 1.0)], "user long, item long, rating double")
+    got = {tuple(r) for r in recommend.neighbour_candidates(ui, 3, 3).collect()}
+    assert got == {(1, 6, 4.0, 1), (1, None, 4.0, 2), (2, None, 2.0, 1)}

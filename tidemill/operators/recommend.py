@@ -168,16 +168,13 @@ def candidates(users: DataFrame, items: DataFrame, train: DataFrame) -> DataFram
 
 def neighbour_candidates(ui: DataFrame, k: int, n: int) -> DataFrame:
     """(user, item, score, rank): from each user's ``k`` most similar users the items that the user lacks, scored by the
-    sum of similarity times rating over the sum of similarity of those who have it; the ``n`` best. Lists travel to the
-    user whole; candidates are made and ranked where they arrive."""
-    near = sharing.nearest(ui, "user", "item", k).select(F.col("a").alias("user"), F.col("b").alias("other"), "sim")
-    held = ui.groupBy(F.col("user").alias("other")).agg(F.collect_list(F.struct("item", "rating")).alias("held"))
-    own = ui.groupBy("user").agg(F.collect_list(F.struct("item", "rating")).alias("held"))
-    lists = near.join(held, "other").select("user", "sim", F.lit(False).alias("own"), "held")
-    lists = lists.unionByName(own.select("user", F.lit(None).cast("double").alias("sim"), F.lit(True).alias("own"), "held"))
-    rows = lists.repartition("user").select("user", "sim", "own", F.inline("held"))
-    scored = rows.groupBy("user", "item").agg((F.sum(F.col("sim") * F.col("rating")) / F.nullif(F.sum("sim"), F.lit(0.0))).alias("score"), F.max("own").alias("own"))
-    return top_k(scored.filter("NOT own").select("user", "item", F.round("score", 6).alias("score")), n, "score")
+    sum of similarity times rating over the sum of similarity of those who have it; the ``n`` best."""
+    if {ui.schema[c].dataType.typeName() for c in ("user", "item")} <= set(sharing.WHOLE):
+        return sharing.candidates(ui, sharing.nearest(ui, "user", "item", k), k, n)
+    codes = {c: materialize(label_encode(ui, c, f"{c}_code"), "codes") for c in ("user", "item")}  # in the ids' order
+    rows = ui.join(codes["user"], "user").join(codes["item"], "item", "left").select(F.col("user_code").alias("user"), F.col("item_code").alias("item"), "rating")
+    found = neighbour_candidates(materialize(rows, "ui"), k, n).withColumnsRenamed({"user": "user_code", "item": "item_code"})
+    return found.join(codes["user"], "user_code").join(codes["item"], "item_code", "left").select("user", "item", "score", "rank")
 
 
 def decompose(vector: Column, bias: float, linear: list[float], factors: list[list[float]]) -> list[Column]:

@@ -19,7 +19,9 @@ from tidemill.operators.positions import label_encode
 from tidemill.runtime import collect_shuffles, discard, materialize
 
 ENTRIES = 48_000_000  # of lists in a part
-OWN = 2_000_000  # entries of a part's own entities
+OWN = 1_000_000  # entries of a part's own entities
+HELD = 10_000_000  # entries of a part's users and of their nearest ones
+NONE = 2**63 - 1  # stands for no item, after all others
 SCANS = 512  # parts up to which each reads all lists
 SOME = 200_000  # entries packed at once
 PAIRS = 1_000_000  # expanded at once
@@ -484,3 +486,104 @@ def weighted(ui: DataFrame, entity: str, by: str, centred: bool) -> DataFrame:
     """(key, a, top, low, mean): for each row the sum over the key's other entities of cosine times rating (``centred``:
     less that entity's mean), the sum of cosines (of their amounts), and the entity's own mean."""
     return _over_lists(ui, entity, by, "predict", "key long, a long, top double, low double, mean double", centred=centred)
+
+
+def _pack_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, sim) as a table's blobs."""
+    for batch in batches:
+        if batch.num_rows:
+            blob = _joined([batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)])
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([True]), pa.array([blob], pa.binary())], ["slot", "norms", "blob"])
+
+
+class _Held:
+    """A part's entities with their nearest ones, and the lists of all of them."""
+
+    def __init__(self, near: list[bytes], lists: Iterable[bytes], part: int, parts: int):
+        tables = [_split(near.pop()) for _ in range(len(near))]
+        a, b, sim = (np.concatenate(c) for c in zip(*tables, strict=True))
+        mine = _part(a, parts) == part
+        order = np.lexsort((b[mine], a[mine]))
+        self.a, self.b, self.sim = a[mine][order], b[mine][order], sim[mine][order].astype(np.float64)
+        ids = np.unique(np.r_[self.a, self.b])
+        item, rating, key, size = _Grown(np.int64), _Grown(np.int8), _Grown(np.int64), _Grown(np.int64)
+        for blob in lists:
+            n, step, rat, keys = _split(blob)
+            held = np.zeros(len(n), bool) if not len(ids) else ids[np.minimum(np.searchsorted(ids, keys), len(ids) - 1)] == keys
+            entries = np.repeat(held, n)
+            item.add(_unrolled(n, step)[entries])
+            rating.add(_small(rat[entries]))
+            key.add(keys[held])
+            size.add(n[held])
+        self.item, self.rating, keys, sizes = item.done(), rating.done(), key.done(), size.done()
+        place = np.searchsorted(ids, keys)
+        self.ids, self.start, self.size = ids, np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        self.start[place], self.size[place] = np.cumsum(sizes) - sizes, sizes
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of ``ids``, place) of every entry of their lists."""
+        at = np.searchsorted(self.ids, ids)
+        return np.repeat(np.arange(len(ids)), self.size[at]), _ranges(self.start[at], self.size[at])
+
+
+def _candidates(n: int, parts: int, part: int, tables: int):
+    """Tables of nearest ones and all lists to (a, item, score, rank) of the part's entities."""
+
+    def found(held: _Held):
+        a, first = np.unique(held.a, return_index=True)
+        last = np.r_[first[1:], len(held.a)]
+        load = np.add.reduceat(held.size[np.searchsorted(held.ids, held.b)], first) + held.size[np.searchsorted(held.ids, a)]
+        total, i = np.r_[0, np.cumsum(load)], 0
+        while i < len(a):
+            j = max(i + 1, int(np.searchsorted(total, total[i] + PAIRS, side="right")) - 1)
+            rows = slice(first[i], last[j - 1])
+            of, at = held.of(held.b[rows])
+            mine, own = held.of(a[i:j])
+            who = np.r_[np.searchsorted(a[i:j], held.a[rows])[of], mine]
+            item = np.r_[held.item[at], held.item[own]]
+            sim = np.r_[held.sim[rows][of], np.full(len(own), np.nan)]
+            value = np.r_[held.sim[rows][of] * held.rating[at], np.full(len(own), np.nan)]
+            has = np.r_[np.zeros(len(at), bool), np.ones(len(own), bool)]
+            order = np.lexsort((item, who))
+            who, item, sim, value, has = who[order], item[order], sim[order], value[order], has[order]
+            start = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (item[1:] != item[:-1])])
+            top, low = (np.add.reduceat(np.where(np.isnan(x), 0.0, x), start) for x in (value, sim))
+            some = np.logical_or.reduceat(~np.isnan(value), start)
+            lacks = ~np.logical_or.reduceat(has, start) | (item[start] == NONE)
+            who, item, top, low, some = who[start][lacks], item[start][lacks], top[lacks], low[lacks], some[lacks]
+            with np.errstate(all="ignore"):
+                none = (low == 0) | ~some
+                score = np.where(none, 0.0, rounded(top / low))
+            order = np.lexsort((item, -score, none, who))
+            who, item, score, none = who[order], item[order], score[order], none[order]
+            edge = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])[: len(who)]
+            rank = np.arange(len(who)) - np.repeat(edge, np.diff(np.r_[edge, len(who)])) + 1
+            best = rank <= n
+            yield [a[i:j][who[best]], item[best], pa.array(score[best], mask=none[best]), rank[best]]
+            i = j
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, lists = _tables_first(batches, tables)
+        if near:
+            held = _Held(near, lists, part, parts)
+            if len(held.a):
+                yield from _batches(found(held), ["a", "item", "score", "rank"])
+
+    return run
+
+
+def candidates(ui: DataFrame, near: DataFrame, k: int, n: int) -> DataFrame:
+    """(user, item, score, rank) for whole-numbered ids: the ``n`` best items that the user lacks and one of the at most
+    ``k`` nearest users (a, b, sim) has, by the sum of similarity times rating over the sum of similarity, null last, ties
+    to the smaller item; no item is an item that nobody has. A part holds its users' and their neighbours' lists."""
+    spark = ui.sparkSession
+    once = np.zeros(1, np.int64)
+    rows = ui.select(F.col("user").cast("long").alias("key"), F.coalesce(F.col("item").cast("long"), F.lit(NONE)).alias("entity"), F.col("rating").cast("double").alias("rating"))
+    table = materialize(near.select(F.col("a").cast("long"), F.col("b").cast("long"), "sim").mapInArrow(_pack_near, BLOBS), "near")
+    lists = materialize(_lists_of(rows).mapInArrow(_messages(once, False, True), BLOBS), "packed")
+    collect_shuffles(spark)
+    entries, tables = rows.count(), table.count()
+    parts = max(1, min(2 * spark.sparkContext.defaultParallelism, entries // LEAST_TASK), (k + 1) * entries // HELD)
+    out = _in_every_part(table.unionByName(lists), parts, lambda part: _candidates(n, parts, part, tables), "a long, item long, score double, rank long")
+    kinds = dict(ui.dtypes)
+    return out.select(F.col("a").cast(kinds["user"]).alias("user"), F.nullif(F.col("item"), F.lit(NONE)).cast(kinds["item"]).alias("item"), "score", "rank")
