@@ -8,6 +8,7 @@ about ``PAIRS`` pairs at a time."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -20,11 +21,11 @@ from tidemill.runtime import collect_shuffles, discard, materialize
 
 ENTRIES = 48_000_000  # of lists in a part
 OWN = 1_000_000  # entries of a part's own entities
-HELD = 10_000_000  # entries of a part's users and of their nearest ones
+HELD = 4_000_000  # entries of a part's users and of their nearest ones
 NONE = 2**63 - 1  # stands for no item, after all others
 SCANS = 512  # parts up to which each reads all lists
 SOME = 200_000  # entries packed at once
-PAIRS = 1_000_000  # expanded at once
+PAIRS = 500_000  # expanded at once
 LEAST_TASK = 100_000  # entries, under which a part isn't worth a task
 
 
@@ -418,12 +419,26 @@ WHOLE = ("byte", "short", "integer", "long")
 BLOBS = "slot long, norms boolean, blob binary"
 
 
+def _trimmed(run: Callable) -> Callable:
+    """``run`` with freed memory given back to the system when a part ends: workers live on from part to part."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # other C libraries
+            pass
+
+    return wrapped
+
+
 def _in_every_part(packed: DataFrame, parts: int, run: Callable[[int], Callable], schema: str) -> DataFrame:
     """``run(part)`` over all of ``packed``, a task for each part. A union of single partitions alone would be a single one
     (spark.sql.unionOutputPartitioning), so one child without rows has two."""
     fields = [field.split() for field in schema.split(", ")]
     none = packed.sparkSession.range(0, 0, 1, 2).select(*[F.lit(None).cast(kind).alias(name) for name, kind in fields])
-    found = [packed.coalesce(1).mapInArrow(run(part), schema) for part in range(parts)]
+    found = [packed.coalesce(1).mapInArrow(_trimmed(run(part)), schema) for part in range(parts)]
     while len(found) > 1:  # by halves, so that the plan isn't deep
         found = [found[i].unionByName(found[i + 1]) if i + 1 < len(found) else found[i] for i in range(0, len(found), 2)]
     return found[0].unionByName(none)
@@ -500,11 +515,14 @@ class _Held:
     """A part's entities with their nearest ones, and the lists of all of them."""
 
     def __init__(self, near: list[bytes], lists: Iterable[bytes], part: int, parts: int):
-        tables = [_split(near.pop()) for _ in range(len(near))]
+        tables = []
+        while near:
+            a, b, sim = _split(near.pop())
+            mine = _part(a, parts) == part
+            tables.append((a[mine], b[mine], sim[mine].astype(np.float64)))
         a, b, sim = (np.concatenate(c) for c in zip(*tables, strict=True))
-        mine = _part(a, parts) == part
-        order = np.lexsort((b[mine], a[mine]))
-        self.a, self.b, self.sim = a[mine][order], b[mine][order], sim[mine][order].astype(np.float64)
+        order = np.lexsort((b, a))
+        self.a, self.b, self.sim = a[order], b[order], sim[order]
         ids = np.unique(np.r_[self.a, self.b])
         item, rating, key, size = _Grown(np.int64), _Grown(np.int8), _Grown(np.int64), _Grown(np.int64)
         for blob in lists:
