@@ -163,3 +163,55 @@ def test_neighbour_without_an_item(spark):
     ui = spark.createDataFrame([(1, 5, 1.0), (1, None, 2.0), (2, 5, 3.0), (2, None, 4.0), (2, 6, 4.0), (None, 5, 1.0)], "user long, item long, rating double")
     got = {tuple(r) for r in recommend.neighbour_candidates(ui, 3, 3).collect()}
     assert got == {(1, 6, 4.0, 1), (1, None, 4.0, 2), (2, None, 2.0, 1)}
+
+
+def test_passes_give_the_rows_of_one(spark, monkeypatch):
+    """Rows of null ids stay in the norms and each row is in one pass, with numbers and with names as ids."""
+    draw = np.random.default_rng(11)
+    cells = sorted({(int(u), int(i)) for u, i in zip(draw.integers(0, 20, 150), draw.integers(0, 18, 150), strict=True)})
+    rows = [(u, i, float(draw.integers(1, 50))) for u, i in cells] + [(None, 3, 7.0), (4, None, 2.0), (None, None, 1.0), (50, 3, None)]
+    ui = spark.createDataFrame(rows, "user long, item long, rating double")
+    named = ui.selectExpr("format_string('u%03d', user) AS user", "format_string('i%03d', item) AS item", "rating")
+    for frame, entity, by in ((ui, "item", "user"), (named, "user", "item")):
+        found = []
+        for passes in (1, 3):
+            monkeypatch.setattr(sharing, "_passes", lambda _, n=passes: n)
+            found.append(sorted(map(str, sharing.pairs(frame, entity, by).collect())))
+        assert found[0] == found[1] and found[0]
+
+
+def test_passes_grow_with_the_tables(spark, small, monkeypatch):
+    """Each pass of a join by items takes its share of the longer table before it is dealt out."""
+    from pyspark.sql import functions as F
+
+    from tidemill.operators import recommend
+
+    ui = recommend.interactions(spark, small)
+    assert sharing._passes(ui) == 1
+    monkeypatch.setattr(sharing, "PASS", 40_000)
+    assert 1 < sharing._passes(ui) <= sharing.PASSES
+    assert sharing._passes(ui.withColumn("rating", F.rand())) == 1
+    plan = ui.filter("pmod(xxhash64(item), 3) = 1")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("xxhash64") < plan.index("l_orderkey", plan.index("xxhash64"))
+
+
+@pytest.mark.parametrize("name", ["user_cf_predict", "item_cosine", "user_cosine"])
+def test_no_shuffle_files_are_left(spark, small, monkeypatch, name):
+    """Once a query's lists are packed, only they take disk: the shuffle files of every step are gone."""
+    import gc
+    import glob
+    import time
+
+    store = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    tops = [store.localDirs()[i].getPath() for i in range(len(store.localDirs()))]
+    files = lambda: {f for top in tops for f in glob.glob(f"{top}/*/shuffle_*.data")}
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
+    before = files()
+    monkeypatch.setattr(sharing, "_passes", lambda _: 3)
+    got = catalog.QUERIES[name](spark, small)
+    time.sleep(1)
+    assert not files() - before
+    assert got.count()

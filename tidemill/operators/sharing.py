@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.operators.positions import label_encode
-from tidemill.runtime import collect_shuffles, discard, materialize
+from tidemill.runtime import collect_shuffles, discard, materialize, materialize_in_passes
 
 ENTRIES = 48_000_000  # of lists in a part
 OWN = 1_000_000  # entries of a part's own entities
@@ -27,6 +27,8 @@ SCANS = 512  # parts up to which each reads all lists
 SOME = 200_000  # entries packed at once
 PAIRS = 500_000  # expanded at once
 LEAST_TASK = 100_000  # entries, under which a part isn't worth a task
+PASS = 150_000_000  # bytes of the tables read, joined at once
+PASSES = 3  # at most, as each reads the tables again
 
 
 def _pack(values: np.ndarray) -> list[bytes]:
@@ -448,35 +450,54 @@ def _lists_of(rows: DataFrame) -> DataFrame:
     return rows.filter("key IS NOT NULL AND entity IS NOT NULL").repartition("key").sortWithinPartitions("key", "entity")
 
 
-def _coded(ui: DataFrame, entity: str, by: str) -> tuple[DataFrame, dict]:
-    """(key, entity, rating) with whole numbers as ids, written once, and the codes of what isn't one."""
+def _passes(ui: DataFrame) -> int:
+    """So many that one has about PASS bytes of the tables that ``ui`` reads; one if its rows may differ from pass to pass."""
+    plan = ui._jdf.queryExecution().optimizedPlan()
+    if not plan.deterministic():
+        return 1
+    leaves = plan.collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return max(1, min(PASSES, -(-size // PASS)))
+
+
+def _coded(ui: DataFrame, entity: str, by: str, passes: int = 1) -> tuple[DataFrame, dict]:
+    """(key, entity, rating) with whole numbers as ids, written once, and the codes of what isn't one. Passes go by items:
+    they come from the longer table of a join, which then is dealt out once in all."""
     rows, codes = ui.select(F.col(by).alias("key"), F.col(entity).alias("entity"), F.col("rating").cast("double").alias("rating")), {}
+    rows = materialize_in_passes(rows, "lists", "entity" if entity == "item" else "key", passes)
+    named = rows
     for name, column in (("key", by), ("entity", entity)):
         if ui.schema[column].dataType.typeName() not in WHOLE:
             codes[name] = materialize(label_encode(rows, name), "codes")
             rows = rows.join(codes[name], name, "left").withColumn(name, F.col("code")).drop("code")
-    rows = materialize(rows.select(F.col("key").cast("long").alias("key"), F.col("entity").cast("long").alias("entity"), "rating"), "lists")
-    collect_shuffles(ui.sparkSession)
+    rows = rows.select(F.col("key").cast("long").alias("key"), F.col("entity").cast("long").alias("entity"), "rating")
+    if codes:
+        rows = materialize(rows, "lists")
+        discard(named)
+        collect_shuffles(ui.sparkSession)
     return rows, codes
 
 
 def _over_lists(ui: DataFrame, entity: str, by: str, mode: str, schema: str, k: int = 0, support: int = 1, centred: bool = False) -> DataFrame:
     spark, kinds = ui.sparkSession, dict(ui.dtypes)
-    rows, codes = _coded(ui, entity, by)
+    passes = _passes(ui)
+    rows, codes = _coded(ui, entity, by, passes)
     parts = _parts(spark, rows, "key")
     slots = np.arange(parts) if parts <= SCANS else _slots(spark, parts)
-    stats = rows.filter("entity IS NOT NULL").groupBy("entity").agg(F.sum(F.col("rating") * F.col("rating")).alias("squares"), F.avg("rating").alias("mean") if mode == "predict" else F.lit(0.0).alias("mean"))
+
+    def stats(rows: DataFrame) -> DataFrame:
+        return rows.filter("entity IS NOT NULL").groupBy("entity").agg(F.sum(F.col("rating") * F.col("rating")).alias("squares"), F.avg("rating").alias("mean") if mode == "predict" else F.lit(0.0).alias("mean"))
+
     if parts <= SCANS:
         once = np.zeros(1, np.int64)
-        norms = materialize(stats.mapInArrow(_norms(once), BLOBS), "norms")
-        collect_shuffles(spark)
-        lists = materialize(_lists_of(rows).mapInArrow(_messages(once, False, mode == "predict"), BLOBS), "packed")
+        fewer = (passes + 1) // 2  # the join's rows are wider
+        norms = materialize_in_passes(rows, "norms", "entity", fewer, lambda some: stats(some).mapInArrow(_norms(once), BLOBS))
         tables = norms.count()
+        lists = materialize_in_passes(rows, "packed", "key", fewer, lambda some: _lists_of(some).mapInArrow(_messages(once, False, mode == "predict"), BLOBS))
         discard(rows)
-        collect_shuffles(spark)
         out = _in_every_part(norms.unionByName(lists), parts, lambda part: _visit(mode, k, support, centred, slots, part, tables), schema)
     else:
-        sent = _lists_of(rows).mapInArrow(_messages(slots, mode == "pairs", mode == "predict"), BLOBS).unionByName(stats.mapInArrow(_norms(slots), BLOBS))
+        sent = _lists_of(rows).mapInArrow(_messages(slots, mode == "pairs", mode == "predict"), BLOBS).unionByName(stats(rows).mapInArrow(_norms(slots), BLOBS))
         out = sent.repartition(parts, "slot").mapInArrow(_visit(mode, k, support, centred, slots), schema)
     for column, of in (("key", "key"), ("a", "entity"), ("b", "entity")):
         if column in out.columns and of in codes:

@@ -6,11 +6,14 @@ import atexit
 import gc
 import re
 import tempfile
+import time
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events "
@@ -116,6 +119,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def materialize_in_passes(df: DataFrame, label: str, column: str, passes: int, shape: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """``materialize(shape(df))`` a hash class of ``column`` at a time, each with shuffle files of its own that go before
+    the next, so that they take a share of the disk. ``shape`` may combine rows of one value of ``column`` only;
+    ``df`` is evaluated once a pass and must give the same rows each time."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tidemill/{label}-{uuid.uuid4().hex}"
+    schema = shape(df).schema
+    _written[path] = spark
+    for at in range(passes):
+        # not the hash that deals rows out: a class would fall into a few partitions
+        some = df.filter(F.pmod(F.xxhash64(column), F.lit(passes)) == at) if passes > 1 else df
+        shape(some).write.mode("append").parquet(path)
+        del some
+        collect_shuffles(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a materialised table that nothing reads any more."""
     spark = df.sparkSession
@@ -128,6 +148,8 @@ def discard(df: DataFrame) -> None:
 
 def collect_shuffles(spark: SparkSession) -> None:
     """Let go of the shuffle files of plans that nothing holds any more; else they stay until the driver's next full
-    collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    collection. The last plan is only let go of by the second one, as the first comes before Python's handles are gone."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
