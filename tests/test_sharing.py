@@ -215,3 +215,45 @@ def test_no_shuffle_files_are_left(spark, small, monkeypatch, name):
     time.sleep(1)
     assert not files() - before
     assert got.count()
+
+
+def written(frame, path):
+    """Of each file, the bytes of a row and whether cosines stay in a dictionary."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    frame.write.parquet(path)
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{path}/*.parquet")]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    at = next(i for i in range(4) if groups[0].column(i).path_in_schema == "sim")
+    return sum(g.total_byte_size for g in groups) / sum(m.num_rows for m in files), all("PLAIN" not in g.column(at).encodings for g in groups)
+
+
+@pytest.mark.parametrize("name", ["item_cosine"])
+def test_written_pairs_are_small(spark, tmp_path, name):
+    """Cosines repeat: as a dictionary they take about two bytes each instead of eight."""
+    size, dictionary = written(catalog.QUERIES[name](spark, "/root/testdata/sf0.01"), f"{tmp_path}/out")
+    assert dictionary and size < 6.5
+
+
+def test_parts_of_pairs_are_ranges(spark, monkeypatch):
+    """Tenants that share nothing lie in few parts each, with their share of the entries; hot ids and null keys too."""
+    monkeypatch.setattr(sharing, "LEAST_TASK", 150)
+    monkeypatch.setattr(sharing, "PAIRS", 40)
+    draw = np.random.default_rng(2)
+    cells = sorted({(t * 100 + int(u), t * 1000 + int(i)) for t in range(6) for u, i in zip(draw.integers(0, 20, 200), draw.integers(0, 30, 200) ** 2 // 30, strict=True)})
+    rows = [(u, i, float(draw.integers(1, 50))) for u, i in cells] + [(None, 3, 2.0), (7, None, 2.0)]
+    ui = spark.createDataFrame(rows, "user long, item long, rating double")
+    sims, shared, _ = brute([(u, i, r) for u, i, r in rows if u is not None and i is not None and i != 3])
+    got = sharing.pairs(ui, "item", "user")
+    found = [list(p) for p in got.rdd.mapPartitions(lambda p: [[(r.a, r.b, r.shared, r.sim) for r in p]]).collect()]
+    found = [p for p in found if p]
+    assert len(found) > 4
+    assert all(len({r[1] // 1000 for r in p}) <= 3 for p in found)
+    ends = sorted((min(r[0] for r in p), max(r[0] for r in p)) for p in found)
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:], strict=False))
+    all_rows = {(a, b): (n, s) for p in found for a, b, n, s in p if 3 not in (a, b)}
+    assert set(all_rows) == {p for p in sims if p[0] < p[1] and 3 not in p}
+    assert all(n == shared[p] and s == pytest.approx(sims[p], abs=2e-6) for p, (n, s) in all_rows.items())
+    assert sum(map(len, found)) == len({(a, b) for p in found for a, b, *_ in p})

@@ -1,10 +1,11 @@
 """Entities that share keys, row by row: each entity's lists meet in one task, so that no pair is shuffled, and what
 leaves the task is a pair's similarity, an entity's nearest ones or a prediction.
 
-Entities are dealt into ``parts`` by a hash. Lists and norms are packed once (about 3 bytes an entry) into the shared folder,
+Entities are dealt into ``parts`` by a hash, for pairs by ranges of ids with equal numbers of entries, so that what lies
+together is written together. Lists and norms are packed once (about 3 bytes an entry) into the shared folder,
 where each part's task reads all of them and holds the lists with one of its entities: nothing is sent, so disk doesn't grow
-with the parts. Only beyond ``SCANS`` parts a list is sent to every part that owns one of its entities. A part expands
-about ``PAIRS`` pairs at a time."""
+with the parts. Only beyond ``SCANS`` parts a list is sent to every part that owns one of its entities, by a hash always. A
+part expands about ``PAIRS`` pairs at a time."""
 
 from __future__ import annotations
 
@@ -179,9 +180,10 @@ def _unrolled(n: np.ndarray, step: np.ndarray) -> np.ndarray:
 
 
 class _Lists:
-    """The lists that hold an entity of the part: entries as codes of the norm table and ratings, list by list."""
+    """The lists that hold an entity of the part: entries as codes of the norm table and ratings, list by list. With ``half``
+    a part is a range of ids with its share of the entries (the table has them as means), and its lists start there."""
 
-    def __init__(self, norms: list[bytes], lists: Iterable[bytes], part: int, parts: int):
+    def __init__(self, norms: list[bytes], lists: Iterable[bytes], part: int, parts: int, half: bool = False):
         tables = []
         while norms:
             step, squares, mean = _split(norms.pop())
@@ -189,7 +191,12 @@ class _Lists:
         ids, squares, self.mean = (np.concatenate(c) for c in zip(*tables, strict=True))
         order = np.argsort(ids)
         self.ids, self.norm, self.mean = ids[order], np.sqrt(squares[order]), self.mean[order]
-        self.mine = _part(self.ids, parts) == part
+        if half:
+            total = np.cumsum(self.mean)
+            self.mine = ((total - self.mean / 2) * parts // total[-1]).astype(np.int64) == part
+        else:
+            self.mine = _part(self.ids, parts) == part
+        least = int(np.argmax(self.mine)) if half else 0  # before it none is needed
         low, high = int(self.ids[0]), int(self.ids[-1])
         table = None
         if high - low < 8 * len(ids) + 1000:
@@ -201,9 +208,10 @@ class _Lists:
             ent = _unrolled(n, step)
             codes = table[ent - low] if table is not None else np.searchsorted(self.ids, ent).astype(np.int32)
             held = np.logical_or.reduceat(self.mine[codes], np.cumsum(n) - n)
-            if not held.all():
-                entries = np.repeat(held, n)
-                codes, rat, n, keys = codes[entries], rat[entries], n[held], [k[held] for k in keys]
+            if least or not held.all():
+                entries = np.repeat(held, n) & (codes >= least)
+                n = np.add.reduceat(entries, np.cumsum(n) - n, dtype=np.int64)[held]
+                codes, rat, keys = codes[entries], rat[entries], [k[held] for k in keys]
             code.add(codes)
             rating.add(_small(rat))
             size.add(n)
@@ -350,7 +358,7 @@ def _visit(mode: str, k: int, support: int, centred: bool, slots: np.ndarray, pa
     part_of = {int(s): i for i, s in enumerate(slots)}
 
     def visit(lists: _Lists):
-        for pieces in _rows(lists, half):
+        for turn, pieces in enumerate(_rows(lists, half)):
             a, b, shared, dot, least, again = _sums(lists, pieces)
             sim, none = _similar(lists, a, b, dot, least)
             if mode == "predict":
@@ -370,6 +378,8 @@ def _visit(mode: str, k: int, support: int, centred: bool, slots: np.ndarray, pa
             if support > 1:
                 a, b, shared, sim, none = (x[shared >= support] for x in (a, b, shared, sim, none))
             if mode == "pairs":
+                if not turn:  # Parquet keeps a dictionary if it pays on the first page: that has equal cosines side by side
+                    a, b, shared, sim, none = (x[np.argsort(sim, kind="stable")] for x in (a, b, shared, sim, none))
                 yield [lists.ids[a], lists.ids[b], shared, pa.array(sim, mask=none)]
                 continue
             best, rank = _best(a, np.where(none, -2.0, np.where(np.isnan(sim), 2.0, sim)), k)
@@ -381,7 +391,7 @@ def _visit(mode: str, k: int, support: int, centred: bool, slots: np.ndarray, pa
         if part is not None:
             norms, blobs = _tables_first(batches, tables)
             if norms:
-                yield from _batches(visit(_Lists(norms, blobs, part, parts)), names)
+                yield from _batches(visit(_Lists(norms, blobs, part, parts, half)), names)
             return
         held: dict[int, tuple[list, list]] = {}
         for slot, norm, blob in _packed(batches):
@@ -486,7 +496,8 @@ def _over_lists(ui: DataFrame, entity: str, by: str, mode: str, schema: str, k:
     slots = np.arange(parts) if parts <= SCANS else _slots(spark, parts)
 
     def stats(rows: DataFrame) -> DataFrame:
-        return rows.filter("entity IS NOT NULL").groupBy("entity").agg(F.sum(F.col("rating") * F.col("rating")).alias("squares"), F.avg("rating").alias("mean") if mode == "predict" else F.lit(0.0).alias("mean"))
+        other = {"predict": F.avg("rating"), "pairs": F.count(F.lit(1)).cast("double")}.get(mode, F.lit(0.0))
+        return rows.filter("entity IS NOT NULL").groupBy("entity").agg(F.sum(F.col("rating") * F.col("rating")).alias("squares"), other.alias("mean"))
 
     if parts <= SCANS:
         once = np.zeros(1, np.int64)
