@@ -230,7 +230,7 @@ def written(frame, path):
     return sum(g.total_byte_size for g in groups) / sum(m.num_rows for m in files), all("PLAIN" not in g.column(at).encodings for g in groups)
 
 
-@pytest.mark.parametrize("name", ["item_cosine"])
+@pytest.mark.parametrize("name", ["item_cosine", "user_cosine"])
 def test_written_pairs_are_small(spark, tmp_path, name):
     """Cosines repeat: as a dictionary they take about two bytes each instead of eight."""
     size, dictionary = written(catalog.QUERIES[name](spark, "/root/testdata/sf0.01"), f"{tmp_path}/out")
