@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from tidemill.functions.clean import dot
 from tidemill.operators import sharing
 from tidemill.operators.positions import label_encode
-from tidemill.runtime import materialize, table
+from tidemill.runtime import collect_shuffles, discard, materialize, table
+
+CHUNK = 100_000  # ratings that are packed, and descend, at once
+NARROW = 3  # ratings under which a wave isn't worth arrays
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,6 +232,39 @@ def _descend(ratings, p, q, mu: float, rate: float, reg: float) -> None:
         b[:-1] += rate * (error * a[:-1] - reg * b[:-1])
 
 
+def _waves(u: list[int], i: list[int]) -> np.ndarray:
+    """The wave of each rating, by dense codes of its user and its item: the one after those of the ratings before it of
+    either. Ratings of one wave share neither users nor items."""
+    of_user, of_item, waves = [0] * (max(u) + 1), [0] * (max(i) + 1), []
+    for x, y in zip(u, i, strict=True):
+        wave, other = of_user[x], of_item[y]
+        if other > wave:
+            wave = other
+        of_user[x] = of_item[y] = wave = wave + 1
+        waves.append(wave)
+    return np.array(waves, np.int64)
+
+
+def _descend_in_waves(u, i, r, waves, p, q, mu: float, rate: float, reg: float) -> None:
+    """``_descend`` a wave at a time: each rating meets the factors that it would meet in its turn."""
+    order = np.argsort(waves, kind="stable")
+    u, i, r, waves = u[order], i[order], r[order], waves[order]
+    edges = np.flatnonzero(np.r_[True, waves[1:] != waves[:-1], True]).tolist() if len(u) else []
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        x, y = u[lo:hi], i[lo:hi]
+        if hi - lo < NARROW:
+            _descend(zip(x.tolist(), y.tolist(), r[lo:hi].tolist(), strict=True), p, q, mu, rate, reg)
+            continue
+        a, b = p[x], q[y]
+        error = r[lo:hi] - ((a[:, :-1] * b[:, :-1]).sum(axis=1) + a[:, -1] + b[:, -1] + mu)
+        by = error[:, None]
+        mine = a + rate * (by * b - reg * a)
+        mine[:, -1] = a[:, -1] + rate * (error - reg * a[:, -1])
+        other = b + rate * (by * mine - reg * b)
+        other[:, -1] = b[:, -1] + rate * (error - reg * b[:, -1])
+        p[x], q[y] = mine, other
+
+
 def _descend_cells(k: int, mu: float, rate: float, reg: float):
     """Cells in order, of each the users' factors, the items' and the ratings by user and item: the factors are held as
     arrays, the ratings pass by in batches."""
@@ -239,7 +275,12 @@ def _descend_cells(k: int, mu: float, rate: float, reg: float):
         def factors(kind):
             if not isinstance(held.get(kind), tuple):
                 parts = held.get(kind) or [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, k + 1)))]
-                held[kind] = tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+                held[kind] = []
+                ids, block, f = (np.concatenate(c) for c in zip(*parts, strict=True))
+                del parts
+                order = np.argsort(ids, kind="stable")
+                ids, block = ids[order], block[order]
+                held[kind] = ids, block, f[order]
             return held[kind]
 
         def moved():
@@ -264,13 +305,77 @@ def _descend_cells(k: int, mu: float, rate: float, reg: float):
                     held.setdefault(kind, []).append((ids.copy(), rows.column("block").to_numpy().copy(), f.copy()))
                     continue
                 (users, _, p), (items, _, q) = factors("p"), factors("q")
-                u, i = np.searchsorted(users, ids).tolist(), np.searchsorted(items, rows.column("item").to_numpy()).tolist()
-                _descend(zip(u, i, rows.column("rating").to_numpy().tolist(), strict=True), p, q, mu, rate, reg)
+                (some_users, u), (some_items, i) = (np.unique(x, return_inverse=True) for x in (ids, rows.column("item").to_numpy()))
+                waves = _waves(u.tolist(), i.tolist())
+                u, i = np.searchsorted(users, some_users)[u], np.searchsorted(items, some_items)[i]
+                _descend_in_waves(u, i, rows.column("rating").to_numpy(), waves, p, q, mu, rate, reg)
         yield from moved()
 
     return run
 
 
+def _pack_ratings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (stratum, cell, user, item, rating) to (stratum, cell, user, item, blob): chunks with their first pair."""
+    held: list[list[np.ndarray]] = []
+
+    def chunk():
+        stratum, cell, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
+        first = [pa.array([stratum[0]], pa.int32()), pa.array([cell[0]], pa.int32()), pa.array([columns[0][0]], pa.int64()), pa.array([columns[1][0]], pa.int64())]
+        return pa.RecordBatch.from_arrays([*first, pa.array([sharing._joined(columns)], pa.binary())], ["stratum", "cell", "user", "item", "blob"])
+
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns]
+        stratum, cell = columns[:2]
+        edges = np.flatnonzero(np.r_[True, (stratum[1:] != stratum[:-1]) | (cell[1:] != cell[:-1])]) if len(cell) else []
+        for lo, hi in zip(edges, [*edges[1:], len(cell)], strict=True):
+            if held and ((held[-1][0][0], held[-1][1][0]) != (stratum[lo], cell[lo]) or sum(len(h[0]) for h in held) >= CHUNK):
+                yield chunk()
+                held.clear()
+            held.append([c[lo:hi].copy() for c in columns])
+    if held:
+        yield chunk()
+
+
+def _pack_factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, id, block, f) to (kind, block, blob)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kinds, ids, blocks = (batch.column(c).to_numpy(zero_copy_only=c == "id") for c in ("kind", "id", "block"))
+        f = batch.column("f").flatten().to_numpy().reshape(len(ids), -1)
+        for kind in set(kinds):
+            for block in np.unique(blocks[kinds == kind]):
+                mine = (kinds == kind) & (blocks == block)
+                blob = sharing._joined([ids[mine], f[mine].ravel()])
+                yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([block], pa.int32()), pa.array([blob], pa.binary())], ["kind", "block", "blob"])
+
+
+def _unpack_cells(k: int):
+    """Packed (cell, kind, block, blob) to the rows of ``_descend_cells``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                cell, kind, block, blob = (batch.column(c)[at].as_py() for c in ("cell", "kind", "block", "blob"))
+                ids, *rest = sharing._split(blob)
+                n = len(ids)
+                none = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.float64()))]
+                if kind == "r":
+                    columns = [pa.array(rest[0]), pa.array(rest[1].astype(np.float64)), none[2], none[3]]
+                else:
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (k + 1)), pa.array(rest[0].astype(np.float64)))
+                    columns = [none[0], none[1], pa.array(np.full(n, block, np.int32)), lists]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, cell, np.int32)), pa.array([kind] * n), pa.array(ids), *columns], ["cell", "kind", "id", "item", "rating", "block", "f"])
+
+    return run
+
+
+def _factors_of(packed: DataFrame, kind: str, k: int) -> DataFrame:
+    """(id, block, f) of one kind."""
+    rows = packed.filter(F.col("kind") == kind).select(F.lit(0).alias("cell"), "kind", "block", "blob")
+    return rows.mapInArrow(lambda batches: (b.select(["id", "block", "f"]) for b in _unpack_cells(k)(batches)), "id long, block int, f array<double>")
+
+
 def _first_factors(df: DataFrame, entity: str, k: int, seed: int, blocks: int) -> DataFrame:
     """(id, block, f): factors from 0 to 6 / k by a hash of the id, and a bias of 0."""
     draw = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.pmod(F.xxhash64("id", F.lit(entity), j, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20) * 6.0 / k)
@@ -291,35 +396,48 @@ def block_sgd(
     cell_of = F.pmod(F.xxhash64("user"), F.lit(blocks)).cast("int")
     rows = train.select(F.col("user").cast("long").alias("user"), F.col("item").cast("long").alias("item"), F.col("rating").cast("double").alias("rating"))
     rows = materialize(rows.withColumns({"cell": cell_of, "column": F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")}), "ratings")
+    collect_shuffles(train.sparkSession)
     mu = rows.groupBy("item").agg(F.avg("rating").alias("m")).agg(F.avg("m")).head()[0] or 0.0
-    p, q = (materialize(_first_factors(rows, e, k, seed, blocks), e) for e in ("user", "item"))
-    schema = "kind string, id long, block int, f array<double>"
+    first = [_first_factors(rows, e, k, seed, blocks).withColumn("kind", F.lit(kind)) for e, kind in (("user", "p"), ("item", "q"))]
+    factors = materialize(first[0].unionByName(first[1]).mapInArrow(_pack_factors, "kind string, block int, blob binary"), "factors")
+    ratings = rows.select(F.pmod(F.col("column") - F.col("cell"), F.lit(blocks)).alias("stratum"), "cell", "user", "item", "rating")
+    ratings = ratings.repartitionByRange("user", "item").sortWithinPartitions("stratum", "cell", "user", "item", "rating")
+    ratings = materialize(ratings.mapInArrow(_pack_ratings, "stratum int, cell int, user long, item long, blob binary"), "packed", by="stratum")
+    discard(rows)
+    collect_shuffles(train.sparkSession)
     slots = sharing._slots(train.sparkSession, blocks)  # each cell is a partition of its own
     slot_of = F.element_at(F.array(*[F.lit(int(x)) for x in slots]), F.col("cell") + 1)
+    descend = _descend_cells(k, mu, rate, reg)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _pack_factors(descend(_unpack_cells(k)(batches)))
 
-    errors, best = [], None
+    errors, best, kept = [], None, None
     none = F.lit(None)
     for _ in range(epochs):
         for stratum in range(blocks):
-            ratings = rows.filter(F.pmod(F.col("column") - F.col("cell"), F.lit(blocks)) == stratum)
+            of_kind = F.when(F.col("kind") == "p", F.col("block")).otherwise(F.pmod(F.col("block") - stratum, F.lit(blocks)))
             parts = [
-                ratings.select("cell", F.lit("r").alias("kind"), F.col("user").alias("id"), "item", "rating", none.cast("int").alias("block"), none.cast("array<double>").alias("f")),
-                p.select(F.col("block").alias("cell"), F.lit("p").alias("kind"), "id", none.cast("long").alias("item"), none.cast("double").alias("rating"), "block", "f"),
-                q.select(F.pmod(F.col("block") - stratum, F.lit(blocks)).alias("cell"), F.lit("q").alias("kind"), "id", none.cast("long").alias("item"), none.cast("double").alias("rating"), "block", "f"),
+                ratings.filter(F.col("stratum") == stratum).select("cell", F.lit("r").alias("kind"), none.cast("int").alias("block"), "user", "item", "blob"),
+                factors.select(of_kind.alias("cell"), "kind", "block", none.cast("long").alias("user"), none.cast("long").alias("item"), "blob"),
             ]
-            moved = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("slot", slot_of)
-            moved = moved.repartition(blocks, "slot").sortWithinPartitions("cell", "kind", "id", "item").drop("slot")
-            moved = moved.mapInArrow(_descend_cells(k, mu, rate, reg), schema)
-            moved = materialize(moved, "factors")
-            p, q = (moved.filter(F.col("kind") == kind).drop("kind") for kind in "pq")
+            moved = parts[0].unionByName(parts[1]).withColumn("slot", slot_of)
+            moved = moved.repartition(blocks, "slot").sortWithinPartitions("cell", "kind", "user", "item").select("cell", "kind", "block", "blob")
+            moved = materialize(moved.mapInArrow(run, "kind string, block int, blob binary"), "factors")
+            if factors is not kept:
+                discard(factors)
+            factors = moved
         if valid is not None:
-            model = {"p": p, "q": q, "mu": mu}
+            model = {"p": _factors_of(factors, "p", k), "q": _factors_of(factors, "q", k), "mu": mu}
             errors.append(rmse(block_sgd_predict(model, valid)).head()[0])
             if best is None or errors[-1] < min(errors[:-1]):
-                best = model
+                if kept is not None:
+                    discard(kept)
+                best, kept = model, factors
             elif len(errors) - 1 - errors.index(min(errors)) >= patience:
                 break
-    return {**(best or {"p": p, "q": q, "mu": mu}), "errors": errors}
+    discard(ratings)
+    return {**(best or {"p": _factors_of(factors, "p", k), "q": _factors_of(factors, "q", k), "mu": mu}), "errors": errors}
 
 
 def block_sgd_predict(model: dict, test: DataFrame) -> DataFrame:

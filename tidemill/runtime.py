@@ -106,15 +106,16 @@ def _delete_written() -> None:
         _delete(spark, path)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors.
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors. With ``by`` the
+    values of that column lie in folders of their own, so that a filter on it reads no others.
 
     The files live until ``discard`` or until the driver exits, because lazily evaluated results still read them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemill/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _written[path] = spark
     return spark.read.schema(schema).parquet(path)
 
@@ -139,7 +140,7 @@ def materialize_in_passes(df: DataFrame, label: str, column: str, passes: int, s
 def discard(df: DataFrame) -> None:
     """Delete a materialised table that nothing reads any more."""
     spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for name in {re.sub(r"(.*/tidemill/[^/]+)/.*", r"\1", f) for f in df.inputFiles()}:
         if "/tidemill/" in name:
             _delete(spark, name)
             for path in [p for p in _written if p.rsplit("/", 1)[-1] == name.rsplit("/", 1)[-1]]:
